@@ -109,3 +109,30 @@ def feature_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lit_names():
     return F.array(*[F.lit(n) for n in FEATURE_NAMES])
+
+
+def report_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document with sixteen sections per row of documents, with defects to score and repair."""
+    from ..rules.documents import CLARITY, HEADINGS
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    i, text = F.col("doc_id"), F.col("text")
+    step = F.floor(F.length("text") / 16).cast("int")
+    phrase = F.element_at(F.array(*[F.lit(p) for p in CLARITY]), (F.floor(i / 4) % len(CLARITY) + 1).cast("int"))
+    extra = {
+        2: F.when(i % 4 == 0, F.concat(F.lit("It is "), phrase, F.lit("\n"))).otherwise(""),
+        4: F.when(i % 3 == 0, "").when(i % 3 == 1, "| Role | Task |\n| End User | works |\n").otherwise("| Role | Task |\n|---|---|\n| Billing Manager | pays |\n"),
+        5: F.concat(F.lit("FR-1 SHALL run\nFR-12 later\n"), F.when(i % 6 == 0, "FR-999 SHALL vanish\n").otherwise(""),
+                    F.when(i % 2 == 0, "Order Search\n").otherwise("dashboard_report\n")),
+        6: F.when(i % 5 == 0, "NFR-1 TBD\n").otherwise("NFR-1 within 500 ms\n"),
+        10: F.when(i % 4 == 0, "| Host | Docker image |\n").when(i % 4 == 1, "Kubernetes and gRPC\n").when(i % 4 == 2, "GDPR applies to the iOS client\n\n\n\n").otherwise(""),
+    }
+    parts = [F.when((i + h) % 17 == 0, "").otherwise(F.concat(
+        F.lit(heading + "\n"), extra.get(h, F.lit("")), F.substr(text, (h - 1) * step + 1, step), F.lit("\n")))
+        for h, heading in enumerate(HEADINGS, 1)]
+    return docs.select(F.concat(F.lit("doc"), i.cast("string")).alias("doc_key"), F.col("source").alias("repo"), F.concat(*parts).alias("text"))
+
+
+def inferred_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A learned tier made from the corpus: its unknown extensions, plus one curated collision."""
+    exts = corpus_files(spark, sf_dir).select("ext").distinct().filter(F.col("ext").isin(".abcml", ".py"))
+    return exts.select("ext", F.concat(F.lit("learned_"), F.substring("ext", 2, 100)).alias("language"), F.lit("backend").alias("role"))
