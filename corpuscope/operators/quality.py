@@ -69,7 +69,7 @@ def _stakeholder_points(text: Column) -> Column:
     stop = F.locate("\n## ", tail, 11)
     section = F.when(stop > 0, F.substr(tail, F.lit(1), stop - 1)).otherwise(tail)
     rows = F.filter(F.split(section, "\n"), lambda x: F.trim(x).startswith("|") & ~x.contains("---") & ~x.contains("Role"))
-    role = lambda row: F.get(F.filter(F.transform(F.split(F.lower(row), r"\|"), F.trim), lambda c: c != ""), F.lit(0))
+    role = lambda row: F.get(F.filter(F.transform(F.split(F.lower(row), r"\|"), lambda c: F.trim(c)), lambda c: c != ""), F.lit(0))
     named = F.exists(rows, lambda r: F.coalesce(~role(r).isin(D.GENERIC_ROLES), F.lit(False)))
     return F.when(start == 0, 10000).when(F.size(rows) == 0, 5000).when(named, 10000).otherwise(6000)
 

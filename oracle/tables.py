@@ -177,7 +177,7 @@ for name, fam in [("middleware_signals", "middleware"), ("orchestrators", "orche
 q("ml_stages", "SELECT repo, signal, n_files, least(90, 60 + 10 * n_files) / 100 AS confidence FROM sig_counts WHERE family = 'stage'")
 q("model_types", "SELECT repo, signal, n_files, least(90, 70 + 5 * n_files) / 100 AS confidence FROM sig_counts WHERE family = 'model'")
 q("eval_metrics", "SELECT repo, path, signal, row_number() OVER (PARTITION BY repo, signal ORDER BY path) AS rank FROM signals WHERE family = 'metric' QUALIFY rank <= 3")
-q("apply_rules", "SELECT repo, 'user' AS family, signal, count(*) AS n_files FROM files, (" + values([("import", r"(?m)^(?:import|from) \w+", ".py"), ("html", r"(?i)<html", None), ("digits", r"\d{4}", None), ("question", r"\?", None)]) + ") v(signal, regex, only) WHERE (only IS NULL OR ext = only) AND regexp_matches(content, regex) GROUP BY ALL")
+q("apply_rules", "SELECT repo, 'user' AS family, signal, count(*) AS n_files FROM files, (" + values([("import", r"(?m)^(?:import|from) \w+", ".py"), ("html", r"(?i)<html", None), ("digits", r"\d{4}", None), ("question", r"\?", None)]) + ") v(signal, regex, for_ext) WHERE (for_ext IS NULL OR ext = for_ext) AND regexp_matches(content, regex) GROUP BY ALL")
 cte("defect_rules", "SELECT * FROM (" + values([(i, *r) for i, r in enumerate(S.DEFECT_RULES)]) + ") v(rule, regex, type, severity, message)")
 cte("defects", f"""SELECT repo, path, n AS line, type, severity, CASE WHEN contains(message, '{{detail}}') THEN replace(message, '{{detail}}', trim(regexp_extract(text, regex, 1))) ELSE message END AS description, rule
 FROM (SELECT repo, path, unnest(string_split(content, chr(10))) AS text, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS n,
@@ -244,8 +244,8 @@ UNION ALL SELECT *, 1, upper(regexp_extract(text, {lit(S.REQUEST_MAPPING)}, 1)),
 cte("endpoints", f"""SELECT repo, method, CASE WHEN kind = 0 AND sub = '' THEN CASE WHEN base = '' THEN '/' ELSE base END ELSE replace(base || '/' || sub, '//', '/') END AS path,
  controller || coalesce('.' || list_filter(list_transform(list_slice(ls, line, line + 4), lambda x: regexp_extract(x, {lit(S.FUNCTION_NAME)}, 1)), lambda x: x <> '')[1], '') AS handler, source_file, line, kind FROM ctl_hits""")
 q("spring_endpoints", "SELECT repo, method, path, handler, source_file, line FROM endpoints")
-cte("services", f"SELECT repo, path AS source_file, unnest(regexp_extract_all(content, {lit(S.PROTO_SERVICE)}, 1)) AS service, unnest(regexp_extract_all(content, {lit(S.PROTO_SERVICE)}, 2)) AS body, unnest(range(len(regexp_extract_all(content, {lit(S.PROTO_SERVICE)}, 1)))) AS at FROM files WHERE ext = '.proto'")
-cte("rpcs", "SELECT repo, service, " + ", ".join(f"unnest(regexp_extract_all(body, {lit(S.PROTO_RPC)}, {g})) AS {n}" for g, n in ((1, "rpc"), (2, "request"), (3, "response"))) + f", source_file, at * 1000 + unnest(range(len(regexp_extract_all(body, {lit(S.PROTO_RPC)}, 1)))) AS pos FROM services")
+cte("services", f"SELECT repo, path AS source_file, unnest(regexp_extract_all(content, {lit(S.PROTO_SERVICE)}, 1)) AS service, unnest(regexp_extract_all(content, {lit(S.PROTO_SERVICE)}, 2)) AS body, unnest(range(len(regexp_extract_all(content, {lit(S.PROTO_SERVICE)}, 1)))) AS svc_no FROM files WHERE ext = '.proto'")
+cte("rpcs", "SELECT repo, service, " + ", ".join(f"unnest(regexp_extract_all(body, {lit(S.PROTO_RPC)}, {g})) AS {n}" for g, n in ((1, "rpc"), (2, "request"), (3, "response"))) + f", source_file, svc_no * 1000 + unnest(range(len(regexp_extract_all(body, {lit(S.PROTO_RPC)}, 1)))) AS pos FROM services")
 q("proto_rpcs", "SELECT repo, service, rpc, request, response, source_file FROM rpcs")
 JVM = f"ext IN ('.kt', '.java') AND NOT contains(lower(path), '/test/') AND NOT contains(lower({stem()}), 'test')"
 TABLE = f"nullif(regexp_extract(content, {lit(S.TABLE_NAME)}, 1), '')"
@@ -344,8 +344,8 @@ FROM flag_rows f LEFT JOIN dep_flags d USING (repo) LEFT JOIN compliance c USING
 FLAGS = "has_http_api has_grpc has_database has_auth has_docker has_kubernetes has_android has_ios has_desktop has_gdpr_mention has_tests".split()
 cte("evid", "SELECT repo, " + ", ".join(FLAGS) + ", CASE WHEN has_android THEN 'android' WHEN has_ios THEN 'ios' WHEN has_desktop THEN 'desktop' WHEN has_http_api OR has_grpc THEN 'server' WHEN has_index THEN 'web' ELSE 'library' END AS platform, build_tool, primary_language, n_endpoints, n_rpcs, n_deps FROM ev0")
 q("evidence", "SELECT * FROM evid")
-q("infra_files", f"""SELECT DISTINCT repo, item FROM (SELECT repo, unnest([CASE WHEN {inlist(base(), S.DOCKER_NAMES)} THEN path END, CASE WHEN at > 0 THEN array_to_string(list_slice(string_split(path, '/'), 1, at), '/') END, CASE WHEN {K8S_YAML} THEN path END]) AS item
-FROM (SELECT *, list_position(list_transform(list_slice(string_split(lower(path), '/'), 1, len(string_split(path, '/')) - 1), lambda d: list_contains({S.K8S_DIRS}, d)), true) AS at FROM files)) WHERE item IS NOT NULL""")
+q("infra_files", f"""SELECT DISTINCT repo, item FROM (SELECT repo, unnest([CASE WHEN {inlist(base(), S.DOCKER_NAMES)} THEN path END, CASE WHEN dir_no > 0 THEN array_to_string(list_slice(string_split(path, '/'), 1, dir_no), '/') END, CASE WHEN {K8S_YAML} THEN path END]) AS item
+FROM (SELECT *, list_position(list_transform(list_slice(string_split(lower(path), '/'), 1, len(string_split(path, '/')) - 1), lambda d: list_contains({S.K8S_DIRS}, d)), true) AS dir_no FROM files)) WHERE item IS NOT NULL""")
 cte("evflags", " UNION ALL ".join(f"SELECT repo, '{f}' AS flag, {f} AS value FROM evid" for f in FLAGS))
 q("evidence_flags", "SELECT * FROM evflags")
 cte("dep_labels", rf"""SELECT repo, label, rank + 4 AS ord FROM (SELECT repo, label, row_number() OVER (PARTITION BY repo ORDER BY rank, manifest, pos) AS rank FROM (
@@ -362,7 +362,7 @@ def glob(g):
     return ("^(.*/)?" if anywhere else "^") + body + "$"
 
 
-q("path_globs", "SELECT repo, path, glob FROM files, (" + values([(g, glob(g)) for g in ["**/*.proto", "**/controllers/**", "docs/*", "**/test_*", "src/**/*.{js,ts}", "**/models/**/*.sql"]]) + ") v(glob, regex) WHERE regexp_matches(lower(path), regex)")
+q("path_globs", 'SELECT repo, path, "glob" FROM files, (' + values([(g, glob(g)) for g in ["**/*.proto", "**/controllers/**", "docs/*", "**/test_*", "src/**/*.{js,ts}", "**/models/**/*.sql"]]) + ') v("glob", regex) WHERE regexp_matches(lower(path), regex)')
 cte("pack_globs", "SELECT DISTINCT repo, pack, g FROM files, (" + values([(p, g, glob(g)) for p, (_, _, _, gs) in P.PACKS.items() for g in gs]) + ") v(pack, g, regex) WHERE regexp_matches(lower(path), regex)")
 cte("pack_words", "SELECT DISTINCT repo, pack, w FROM deps, (" + values([(p, w) for p, (_, _, ws, _) in P.PACKS.items() for w in ws]) + ") v(pack, w) WHERE contains(lower(name), lower(w))")
 cte("pack_flags", " UNION ALL ".join(f"SELECT repo, '{p}' AS pack, {int(round(t * 1000))} AS threshold, " + (f"(({' + '.join(f'CASE WHEN {f} THEN 1 ELSE 0 END' for f in fl)}) * 1000) // {len(fl)}" if fl else "0") + " AS flag FROM evid" for p, (t, fl, _, _) in P.PACKS.items()))
