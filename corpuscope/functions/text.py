@@ -1,6 +1,8 @@
 """Text helpers. Every function takes and returns a Column; none needs a UDF."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from ..rules.packs import ACRONYMS
@@ -8,9 +10,15 @@ from ..rules.packs import ACRONYMS
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"  # the URL namespace of RFC 4122
 
 
+def sql_text(value: str) -> str:
+    """A Spark SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def lit_array(values) -> Column:
-    values = list(values)
-    return F.array(*[F.lit(v) for v in values]) if values else F.expr("array()").cast("array<string>")
+    """Array literal, made as one expression."""
+    items = [sql_text(v) if isinstance(v, str) else str(v) for v in values]
+    return F.expr(f"array({', '.join(items)})" if items else "cast(array() as array<string>)")
 
 
 def contains_any(text: Column, words) -> Column:
@@ -20,6 +28,46 @@ def contains_any(text: Column, words) -> Column:
     return out
 
 
+def _alternatives(regex: str) -> list[str]:
+    """Top-level alternatives of a pattern (those not inside brackets)."""
+    out, depth, cur, skip = [], 0, "", False
+    for ch in regex:
+        if skip or ch == "\\":
+            cur, skip = cur + ch, not skip
+            continue
+        depth += ch in "([{"
+        depth -= ch in ")]}"
+        if ch == "|" and depth == 0:
+            out.append(cur)
+            cur = ""
+        else:
+            cur += ch
+    return out + [cur]
+
+
+def occurs(regex: str, content: str = "content", lowered: str = "lowered") -> str:
+    """SQL condition that ``regex`` occurs in a text column, with cheap tests first.
+
+    Alternatives of an ignore-case pattern that are plain text become ``contains`` on the
+    lower-case text, a byte search. Others run as regexes, behind the plain text they start
+    with if there is any. The answer is that of the regex itself.
+    """
+    if not regex.startswith("(?i)"):
+        return f"{content} rlike {sql_text(regex)}"
+    tests = []
+    for alt in _alternatives(regex[4:]):
+        plain = re.match(r"(?:[A-Za-z0-9_ :/@=,;-]|\\[.()/*+?-])*", alt).group(0)
+        if plain != alt and alt[len(plain):][:1] in ("*", "?", "{", "+"):  # the last character may be absent
+            plain = re.sub(r"\\?.$", "", plain)
+        bare = re.sub(r"\\(.)", r"\1", plain).lower()
+        if plain == alt:
+            tests.append(f"contains({lowered}, {sql_text(bare)})")
+        else:
+            test = f"{content} rlike {sql_text('(?i)' + alt)}"
+            tests.append(f"(contains({lowered}, {sql_text(bare)}) and {test})" if len(bare) >= 2 else f"({test})")
+    return "(" + " or ".join(tests) + ")"
+
+
 def snake(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "_"), "^_+|_+$", "")
 

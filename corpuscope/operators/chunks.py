@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import contains_any
 from ..rules import signals as S
+from ..session import hold
 from .classify import business_path
 from .numbering import top_k
 
@@ -67,9 +68,9 @@ def key_snippets(chunks: DataFrame) -> DataFrame:
         contains_any(lower, S.SNIPPET_MODEL_DIRS).alias("p3")).filter(
             (F.col("content") != "") & (F.col("p1") | F.col("p2") | F.col("p3")))
     # the first non-empty chunk of a file stands for it in every pass
-    files = heads.groupBy("repo", "path").agg(
+    files = hold(heads.groupBy("repo", "path").agg(
         F.min_by("content", "chunk_no").alias("content"),
-        *[F.bool_or(p).alias(p) for p in ("p1", "p2", "p3")])
+        *[F.bool_or(p).alias(p) for p in ("p1", "p2", "p3")]))
     chosen = top_k(files.filter("p1"), ["repo"], ["path"], 6).select("repo", "path", "content", F.lit(1).alias("pass"))
     for number, total in ((2, 8), (3, 10)):
         taken = chosen.groupBy("repo").agg(F.count("*").alias("taken"))

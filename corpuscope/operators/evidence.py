@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.paths import basename, dirs
 from ..functions.text import contains_any, glob_regex, lit_array, md5_fingerprint, title
 from ..rules import packs as P, signals as S
-from .manifests import dep_bucket
+from .manifests import MANIFESTS, dep_bucket
 from .numbering import top_k
 
 FLAGS = ["has_http_api", "has_grpc", "has_database", "has_auth", "has_docker", "has_kubernetes",
@@ -17,6 +17,20 @@ def _has_dir(names):
     return F.arrays_overlap(dirs(F.lower("path")), lit_array(names))
 
 
+def relevant_contents(scan: DataFrame) -> DataFrame:
+    """All files, but with the content only where an evidence operator can use it.
+
+    Held once, this table serves endpoints, RPCs, dependencies, flags and compliance without
+    reading the corpus again for each.
+    """
+    name, ext, content = basename(F.col("path")), F.col("ext"), F.col("content")
+    doc = name.endswith(".md") | name.rlike("^(README|readme|PRIVACY|privacy)")
+    build = name.isin([n for _, names, _ in MANIFESTS for n in names])
+    needed = (build | (ext == ".proto") | (ext.isin(".kt", ".java") & content.contains("Controller"))
+              | (ext.isin(".yaml", ".yml") & k8s_manifest(content)) | (doc & content.rlike(S.COMPLIANCE)))
+    return scan.select("repo", "path", "ext", "size", F.when(needed, content).alias("content"))
+
+
 def k8s_manifest(content):
     """A Kubernetes kind at the start of a line."""
     return content.rlike(S.K8S_KIND)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.text import (contains_any, display, feature_key, lit_array, numbered, snake, title,
                               title_with_acronyms, trim_to_words)
 from ..rules import packs as P, signals as S
+from ..session import hold
 from .chunks import chunk_array
 from .classify import negative_path
 from .numbering import number_rows, top_k, with_ids
@@ -91,8 +92,8 @@ def feature_file_counts(features: DataFrame, classified: DataFrame, shared_limit
     use = kws.groupBy("repo", "keyword").agg((F.count("*") > shared_limit).alias("shared"))
     vocabulary = words.select("repo", "word").distinct()
     matched = contains_join(vocabulary, "word", use, "keyword", ["repo"]).select("repo", "word", "keyword", "shared")
-    per_file = words.join(matched, ["repo", "word"]).select("repo", "path", "keyword", "shared").distinct() \
-        .withColumn("neg", negative_path(F.lower("path")).cast("int"))
+    per_file = hold(words.join(matched, ["repo", "word"]).select("repo", "path", "keyword", "shared").distinct()
+                    .withColumn("neg", negative_path(F.lower("path")).cast("int")))
 
     # keywords few features share: plain pairs
     own = kws.join(use.filter("not shared"), ["repo", "keyword"]).select("repo", "feature_id", "keyword")

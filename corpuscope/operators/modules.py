@@ -24,10 +24,18 @@ def modules(chunks: DataFrame) -> DataFrame:
             .agg(F.count("*").alias("n_files"), F.sum("chunks").alias("n_chunks")))
 
 
-def normal_module_files(members: DataFrame) -> DataFrame:
-    """(repo, name, path) without noise modules; modules with the same snake name meet."""
+def normal_names(members: DataFrame) -> DataFrame:
+    """Rows of modules that are not noise, with the snake form of the module as ``name``."""
     kept = members.filter(~F.col("module").isin(MODULE_NOISE) & ~F.col("module").startswith("."))
-    return kept.select("repo", module_snake(F.col("module")).alias("name"), "path").distinct()
+    return kept.withColumn("name", module_snake(F.col("module")))
+
+
+def normal_module_files(members: DataFrame) -> DataFrame:
+    """(repo, name, path) without noise modules; modules with the same snake name meet.
+
+    A path lies in one module, so distinct members stay distinct.
+    """
+    return normal_names(members).select("repo", "name", "path")
 
 
 def normalize_modules(members: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.paths import basename, in_dirs, stem
-from ..functions.text import lit_array
+from ..functions.text import lit_array, occurs, sql_text
 from ..rules import signals as S
 from ..sources.files import pack_filter, pack_files
 from .numbering import first_per_key, top_k, with_ids
@@ -32,36 +32,34 @@ def notebook_code(df: DataFrame) -> DataFrame:
              .filter(F.col("content").isNotNull())
 
 
+def _hits(rules, guard) -> Column:
+    """Array of (family, signal) of the rules that hit; ``guard`` gives a rule's file condition."""
+    sqls = [f"case when {guard(r)} and {occurs(r.regex)} then named_struct('family', {sql_text(r.family)}, "
+            f"'signal', {sql_text(r.signal)}) end" for r in rules]
+    return F.array_distinct(F.array_compact(F.array(*[F.expr(x) for x in sqls])))
+
+
 def apply_rules(df: DataFrame, rules) -> DataFrame:
     """K1: (repo, path, family, signal) for every rule whose regex occurs in the file.
 
     ``rules`` are built-in or user-made ``Rule`` rows; a file yields a signal at most once.
     """
-    def hit(rule):
-        cond = F.col("content").rlike(rule.regex)
-        if rule.exts:
-            cond = F.col("ext").isin(list(rule.exts)) & cond
-        return F.when(cond, F.struct(F.lit(rule.family).alias("family"), F.lit(rule.signal).alias("signal")))
-
-    hits = F.array_distinct(F.array_compact(F.array(*[hit(r) for r in rules])))
-    return df.select("repo", "path", F.explode(hits).alias("hit")).select("repo", "path", "hit.family", "hit.signal")
+    guard = lambda r: f"ext in ({', '.join(sql_text(e) for e in r.exts)})" if r.exts else "true"
+    rows = df.select("repo", "path", "ext", "content", F.lower("content").alias("lowered"))
+    return rows.select("repo", "path", F.explode(_hits(rules, guard)).alias("hit")).select("repo", "path", "hit.family", "hit.signal")
 
 
 def presence_signals(df: DataFrame, families=None) -> DataFrame:
     """All built-in families (or some of them) in one scan, each behind its pack's file limits."""
     rules = [r for r in S.presence_rules() if families is None or r.family in families]
-    packs = {S.FAMILY_PACK[r.family] for r in rules}
-    kept = df.filter(reduce(lambda a, b: a | b, [pack_filter(p) for p in sorted(packs)]))
+    packs = sorted({S.FAMILY_PACK[r.family] for r in rules})
+    kept = df.filter(reduce(lambda a, b: a | b, [pack_filter(p) for p in packs]))
     if "ml" in packs:
         kept = notebook_code(kept)
-    content = F.col("content")
-
-    def hit(rule):
-        cond = pack_filter(S.FAMILY_PACK[rule.family]) & content.rlike(rule.regex)
-        return F.when(cond, F.struct(F.lit(rule.family).alias("family"), F.lit(rule.signal).alias("signal")))
-
-    hits = F.array_distinct(F.array_compact(F.array(*[hit(r) for r in rules])))
-    return kept.select("repo", "path", F.explode(hits).alias("hit")).select("repo", "path", "hit.family", "hit.signal")
+    rows = kept.select("repo", "path", "content", F.lower("content").alias("lowered"),
+                       *[pack_filter(p).alias(f"in_{p}") for p in packs])
+    hits = _hits(rules, lambda r: f"in_{S.FAMILY_PACK[r.family]}")
+    return rows.select("repo", "path", F.explode(hits).alias("hit")).select("repo", "path", "hit.family", "hit.signal")
 
 
 def signal_counts(signals: DataFrame) -> DataFrame:
@@ -141,6 +139,19 @@ def matches(content: Column, regex: str, groups, fields) -> Column:
     return F.transform(zipped, lambda z: F.struct(*[z[n].alias(n) for n in fields]))
 
 
+def named_contents(df: DataFrame) -> DataFrame:
+    """All files, but with the content only where a rule that extracts names can hit.
+
+    Held once, it serves contracts, authentication, pipelines, screens and permissions.
+    """
+    regexes = ([rx for _, rx in S.ROUTE_REGEXES] + [S.GRPC_NAME] + [rx for _, rx in S.AUTH_RULES]
+               + [S.AIRFLOW_DAG, S.DBT_REF, S.DBT_SOURCE, S.DAGSTER, S.PREFECT, S.LUIGI]
+               + [rx for _, rx, _ in S.SCREEN_RULES] + [S.ANDROID_PERMISSION, S.IOS_PERMISSION])
+    wanted = F.expr(" or ".join(occurs(rx) for rx in regexes))
+    return df.withColumn("lowered", F.lower("content")).select(
+        "repo", "path", "ext", "size", F.when(wanted, F.col("content")).alias("content"))
+
+
 def http_contracts(df: DataFrame) -> DataFrame:
     """C14: distinct (method, path) of routes and gRPC names, with the first file that has them."""
     content = F.col("content")
@@ -263,8 +274,8 @@ def scan_defects(df: DataFrame) -> DataFrame:
     """
     path, name = F.col("path"), F.lower(basename(F.col("path")))
     is_test = F.lower(path).contains("/test/") | F.lower(stem(path)).contains("test")
-    anywhere = reduce(lambda a, b: a | b, [F.col("content").rlike(rx) for rx, *_ in S.DEFECT_RULES])
-    kept = df.filter((F.col("ext").isin(S.DEFECT_EXTS) | name.isin(S.DEFECT_NAMES))
+    anywhere = F.expr(" or ".join(occurs(rx) for rx, *_ in S.DEFECT_RULES))
+    kept = df.withColumn("lowered", F.lower("content")).filter((F.col("ext").isin(S.DEFECT_EXTS) | name.isin(S.DEFECT_NAMES))
                      & ~F.arrays_overlap(F.split("path", "/"), lit_array(S.DEFECT_SKIP_DIRS))).filter(anywhere)
     lines = kept.select("repo", "path", is_test.alias("is_test"),
                         F.posexplode(F.split("content", r"\R")).alias("pos", "text"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import chunks as C, classify, code, evidence as E, features as FT, manifests as M, modules as MO
 from ..operators import quality as Q, repair, report as R, requirements as RQ, signals as S
+from ..functions.paths import top_dir
 from ..session import hold
 from ..sources.files import drop_binary, scan_files
 
@@ -17,7 +18,7 @@ def extract(files: DataFrame) -> dict:
     """Extraction only: scan, classify, chunk, group into modules, check, and sum up."""
     scan = drop_binary(scan_files(files))
     classified = classify.classify_files(scan)
-    chunk_ids = C.chunk_lines(classified).select("repo", "path", "chunk_no", "chunk_id")
+    chunk_ids = hold(C.chunk_lines(classified).select("repo", "path", "chunk_no", "chunk_id"))
     members = MO.module_files(chunk_ids)
     norm = MO.normalize_modules(members)
     validation = MO.validate_modules(norm, scan)
@@ -29,11 +30,8 @@ def extract(files: DataFrame) -> dict:
 def module_overview(files: DataFrame) -> DataFrame:
     """The flagship query: every module with its size and the verdict on its repository."""
     scan = drop_binary(scan_files(files))
-    counts = C.chunk_lines(classify.classify_files(scan)).select("repo", "path")
-    per_file = counts.groupBy("repo", "path").agg(F.count("*").alias("chunks"))
-    from ..functions.paths import top_dir
-    members = per_file.select("repo", top_dir(F.col("path")).alias("module"), "path", "chunks")
-    rows = MO.normal_module_files(members).join(members.select("repo", "path", "chunks"), ["repo", "path"])
+    per_file = C.chunk_lines(classify.classify_files(scan)).groupBy("repo", "path").agg(F.count("*").alias("chunks"))
+    rows = MO.normal_names(per_file.withColumn("module", top_dir(F.col("path"))))
     mods = rows.groupBy("repo", "name").agg(F.count("*").alias("n_files"), F.sum("chunks").alias("n_chunks"))
     check = MO.validate_modules(mods.withColumn("confidence", F.lit(1.0)), scan)
     return mods.join(check.select("repo", "score", "valid"), "repo")
@@ -49,23 +47,23 @@ def convert(payload: dict) -> dict:
 
 
 def gather_evidence(scan: DataFrame) -> dict:
-    """Endpoints, RPCs, dependencies and the evidence record; the small tables are held."""
-    endpoints, rpcs = hold(code.spring_endpoints(scan)), hold(code.proto_rpcs(scan))
-    deps = hold(M.dependencies(scan))
-    ev = hold(E.evidence(scan, endpoints, rpcs, deps, M.build_facts(scan)))
+    """Endpoints, RPCs, dependencies and the evidence record, from one pass over the contents."""
+    slim = hold(E.relevant_contents(scan))
+    endpoints, rpcs, deps = code.spring_endpoints(slim), code.proto_rpcs(slim), hold(M.dependencies(slim))
+    ev = hold(E.evidence(slim, endpoints, rpcs, deps, M.build_facts(slim)))
     return {"endpoints": endpoints, "rpcs": rpcs, "deps": deps, "evidence": ev, "labels": E.stack_labels(deps, ev)}
 
 
 def pack_features(scan: DataFrame) -> DataFrame:
     """All pack features from one pass over the rule families and one per name extractor."""
-    found = hold(S.presence_signals(scan))
+    found, named = hold(S.presence_signals(scan)), hold(S.named_contents(scan))
     family = lambda name: S.signal_counts(found.filter(F.col("family") == name)).drop("family")
     conf = lambda df, base, step: df.withColumn("confidence", F.least(F.lit(90), base + step * F.col("n_files")) / 100)
     return FT.signal_features({
-        "web_api": FT.web_features(S.http_contracts(scan), S.auth_signals(scan), family("middleware")),
-        "data_platform": FT.data_features(S.pipeline_definitions(scan), family("orchestrator"), family("source"), family("quality")),
+        "web_api": FT.web_features(S.http_contracts(named), S.auth_signals(named), family("middleware")),
+        "data_platform": FT.data_features(S.pipeline_definitions(named), family("orchestrator"), family("source"), family("quality")),
         "ml_pipeline": FT.ml_features(conf(family("stage"), 60, 10), conf(family("model"), 70, 5)),
-        "mobile_app": FT.mobile_features(S.app_screens(scan), S.device_permissions(scan), S.mobile_platforms(scan))})
+        "mobile_app": FT.mobile_features(S.app_screens(named), S.device_permissions(named), S.mobile_platforms(named))})
 
 
 def derive_features(ex: dict, found: dict) -> DataFrame:

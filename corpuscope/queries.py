@@ -30,52 +30,56 @@ class Tables:
 
     @property
     def files(self):
-        return corpus.corpus_files(self.spark, self.sf)
+        return self._once("files", lambda: corpus.corpus_files(self.spark, self.sf))
 
     @property
     def web(self):
-        return corpus.web_files(self.spark, self.sf)
+        return self._once("web", lambda: corpus.web_files(self.spark, self.sf))
 
     @property
     def scan(self):
-        return FS.drop_binary(FS.scan_files(self.files))
+        return self._once("scan", lambda: FS.drop_binary(FS.scan_files(self.files)))
 
     @property
     def classified(self):
-        return CL.classify_files(self.scan)
+        return self._once("classified", lambda: CL.classify_files(self.scan))
 
     @property
     def chunks(self):
-        return C.chunk_lines(self.classified)
+        return self._once("chunks", lambda: C.chunk_lines(self.classified))
 
     @property
     def members(self):
-        return MO.module_files(self.chunks.select("repo", "path"))
+        return self._once("members", lambda: MO.module_files(self.chunks.select("repo", "path")))
 
     @property
     def modules(self):
-        return MO.normalize_modules(self.members)
+        return self._once("modules", lambda: MO.normalize_modules(self.members))
 
     @property
     def repos(self):
-        return self.scan.select("repo").distinct()
+        return self._once("repos", lambda: self.scan.select("repo").distinct())
+
+    @property
+    def slim(self):
+        return self._once("slim", lambda: hold(E.relevant_contents(self.scan)))
 
     @property
     def deps(self):
-        return M.dependencies(self.scan)
+        return self._once("deps", lambda: M.dependencies(self.slim))
 
     @property
     def evidence(self):
-        return self._once("evidence", lambda: E.evidence(self.scan, CO.spring_endpoints(self.scan), CO.proto_rpcs(self.scan),
-                                                         self.deps, M.build_facts(self.scan)))
+        return self._once("evidence", lambda: E.evidence(
+            self.slim, CO.spring_endpoints(self.slim), CO.proto_rpcs(self.slim), self.deps, M.build_facts(self.slim)))
 
     @property
     def labels(self):
-        return E.stack_labels(self.deps, self.evidence)
+        return self._once("labels", lambda: E.stack_labels(self.deps, self.evidence))
 
     @property
     def seed(self):
-        return corpus.feature_seed(self.spark, self.sf)
+        return self._once("seed", lambda: corpus.feature_seed(self.spark, self.sf))
 
     @property
     def features(self):
@@ -87,7 +91,7 @@ class Tables:
 
     @property
     def docs(self):
-        return corpus.report_docs(self.spark, self.sf)
+        return self._once("docs", lambda: corpus.report_docs(self.spark, self.sf))
 
     @property
     def fallback(self):
@@ -95,7 +99,7 @@ class Tables:
 
     @property
     def validation(self):
-        return MO.validate_modules(self.modules, self.scan)
+        return self._once("validation", lambda: MO.validate_modules(self.modules, self.scan))
 
     @property
     def payload(self):
@@ -865,7 +869,7 @@ def layer_inventory(t):
 
 @query
 def interface_table(t):
-    return R.interface_table(t.evidence, CO.spring_endpoints(t.scan), CO.proto_rpcs(t.scan))
+    return R.interface_table(t.evidence, CO.spring_endpoints(t.slim), CO.proto_rpcs(t.slim))
 
 
 @query
@@ -927,7 +931,7 @@ def review_items(t):
 @query
 def render_report(t):
     ev = hold(t.evidence)
-    found = {"evidence": ev, "labels": E.stack_labels(t.deps, ev), "deps": t.deps, "endpoints": CO.spring_endpoints(t.scan), "rpcs": CO.proto_rpcs(t.scan)}
+    found = {"evidence": ev, "labels": E.stack_labels(t.deps, ev), "deps": t.deps, "endpoints": CO.spring_endpoints(t.slim), "rpcs": CO.proto_rpcs(t.slim)}
     lines = R.report_lines(A.report_tables(t.features, found, t.repos), DATE)
     return R.render_report(lines)
 

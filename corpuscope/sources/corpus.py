@@ -7,6 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.paths import suffix
+from .files import spread
+
 # (number, kind, dir, name, append the document text, content)
 SNIPPETS = [
     (0, 0, "src", "util.py", True, "def helper(x):\n    return x\n"),
@@ -46,7 +49,7 @@ SNIPPET_SCHEMA = "s int, kind int, dir string, name string, app boolean, snip st
 
 def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table as files of 20 repositories (see FIXTURES.md)."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"), "doc_id")
     i, r = F.col("doc_id"), F.col("doc_id") % 20
     s = (7 * i + F.floor(i / 20)) % 31
     snippets = F.broadcast(spark.createDataFrame(SNIPPETS, SNIPPET_SCHEMA))  # 31 rows, fixed
@@ -70,7 +73,6 @@ def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                .when(second & (r % 2 == 0), F.concat(F.lit('{"name": "app'), rs, F.lit('", "description": "fixture", "dependencies": {"react": "^18.2.0"}}')))
                .when(second, F.concat(F.lit('name = "app'), rs, F.lit('"\ndescription = "fixture"\n')))
                .otherwise(F.concat("snip", F.when(F.col("app"), text).otherwise(""))))
-    from ..functions.paths import suffix
     out = docs.join(snippets, "s").select(F.col("source").alias("repo"), path.alias("path"), content.alias("content"))
     return out.select("repo", "path", suffix(F.col("path")).alias("ext"),
                       F.octet_length("content").cast("long").alias("size"), "content")
@@ -78,7 +80,7 @@ def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def web_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages table as files: host -> repository, URL path -> directory."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id")
     bare = F.regexp_replace("url", r"[?#].*$", "")
     host = F.regexp_extract(bare, r"^[a-z]+://([^/]+)", 1)
     folder = F.regexp_replace(F.regexp_replace(bare, r"^[a-z]+://[^/]+/?", ""), "/+$", "")
@@ -114,7 +116,7 @@ def lit_names():
 def report_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One document with sixteen sections per row of documents, with defects to score and repair."""
     from ..rules.documents import CLARITY, HEADINGS
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"), "doc_id")
     i, text = F.col("doc_id"), F.col("text")
     step = F.floor(F.length("text") / 16).cast("int")
     phrase = F.element_at(F.array(*[F.lit(p) for p in CLARITY]), (F.floor(i / 4) % len(CLARITY) + 1).cast("int"))

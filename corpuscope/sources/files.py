@@ -24,6 +24,16 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
               .withColumn("ext", suffix(F.col("path")))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use all cores on an input that comes in fewer pieces than there are cores.
+
+    A large table has many more pieces than cores and is left as it is, unshuffled. The keys
+    make the placement repeatable when a task runs again.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def prune_dirs(df: DataFrame, names) -> DataFrame:
     return df.filter(~F.arrays_overlap(dirs(F.col("path")), lit_array(names)))
 
