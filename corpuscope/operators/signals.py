@@ -112,7 +112,7 @@ def eval_metrics(df):
 
 def auth_hits(df: DataFrame) -> DataFrame:
     """Hits per file and auth type; one regex counts at most three times in a file."""
-    kept = pack_files(df, "web")
+    kept = pack_files(df, "web").filter("content is not null")
     types = list(dict.fromkeys(t for t, _ in S.AUTH_RULES))
     count = lambda t: sum((F.least(F.regexp_count("content", F.lit(rx)), F.lit(3)) for n, rx in S.AUTH_RULES if n == t), F.lit(0))
     per_type = F.filter(F.array(*[F.struct(F.lit(t).alias("auth_type"), F.lit(i).alias("ord"), count(t).alias("hits"))

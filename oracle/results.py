@@ -136,7 +136,7 @@ def pathcat(e):
 q("feature_category", f"SELECT repo, module, coalesce(arg_min(c, path) FILTER (WHERE c IS NOT NULL), 'unknown') AS category FROM (SELECT repo, path, {topdir()} AS module, {pathcat('path')} AS c FROM files) GROUP BY ALL")
 cte("mod_cat", f"SELECT m.repo, m.name, coalesce((SELECT arg_min({pathcat('path')}, path) FILTER (WHERE {pathcat('path')} IS NOT NULL) FROM module_names n WHERE n.repo = m.repo AND n.name = m.name), {pathcat('m.name')}, 'unknown') AS category, m.n_files FROM modules_norm m")
 cte("payload", f"""SELECT repo, {num('feat-', 'n', 3)} AS feature_id, name, conf, n_files, category, n AS ord, module FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY kind, module) AS n FROM (
- SELECT repo, 0 AS kind, name AS module, {title("replace(name, '_', ' ')")} AS name, 100::BIGINT AS conf, n_files, category FROM mod_cat UNION ALL SELECT repo, 1, '', 'Structural Validation Quality', round(score * 100)::BIGINT, 1, 'core_pipeline' FROM validation))""")
+ SELECT repo, 0 AS kind, name AS module, array_to_string(list_transform(string_split(name, '_'), lambda w: upper(w[1:1]) || w[2:]), ' ') AS name, 100::BIGINT AS conf, n_files, category FROM mod_cat UNION ALL SELECT repo, 1, '', 'Structural Validation Quality', round(score * 100)::BIGINT, 1, 'core_pipeline' FROM validation))""")
 q("payload_features", "SELECT repo, feature_id, name, conf, n_files, category FROM payload")
 PRIO = "CASE WHEN conf < 40 AND category IN ('core_pipeline', 'api') THEN 'Medium' WHEN conf < 20 THEN 'Low' WHEN category IN ('core_pipeline', 'api') THEN 'High' WHEN category = 'feature_detection' THEN 'Medium' ELSE 'Low' END"
 q("payload_requirements", f"SELECT repo, {num('REQ-', 'ord', 3)} AS req_id, feature_id, 'The system SHALL implement the ''' || name || ''' capability as evidenced by ' || n_files || ' source file(s) with a structural confidence of ' || (conf / 100)::VARCHAR || '.' AS description, {PRIO} AS priority FROM payload")
