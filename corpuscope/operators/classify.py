@@ -33,7 +33,7 @@ def entry_point_column(name: Column, registry: Registry = REGISTRY) -> Column:
 
 def build_file_column(name: Column, registry: Registry = REGISTRY) -> Column:
     """B5"""
-    return name.isin(list(registry.build_files))
+    return F.lower(name).isin(list(registry.build_files))
 
 
 def describe_ext(df: DataFrame, registry: Registry = REGISTRY) -> DataFrame:

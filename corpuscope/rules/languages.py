@@ -106,7 +106,7 @@ class Registry:
 
     lang_ext: tuple = ()       # (ext, language, role, tier), one row per extension
     entry_points: tuple = ()   # lower-case file names
-    build_files: tuple = ()
+    build_files: tuple = ()    # lower-case file names
     languages: tuple = ()      # (language, role, tier)
     ignore_dirs: tuple = tuple(IGNORE_DIRS)
     binary_exts: tuple = tuple(BINARY_EXTS)
@@ -151,7 +151,7 @@ def default_registry() -> Registry:
                 seen.add(ext)
                 ext_rows.append((ext, name, role, "curated"))
         entries += [e.lower() for e in entry]
-        builds += build
+        builds += [b.split("/")[-1].lower() for b in build]
     return Registry(tuple(ext_rows), tuple(dict.fromkeys(entries)), tuple(dict.fromkeys(builds)),
                     tuple((n, r, "curated") for n, r, *_ in _parse()))
 

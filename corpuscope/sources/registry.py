@@ -54,7 +54,8 @@ def registry_from(spark: SparkSession, path: str) -> Registry:
     table = language_table(spark, path)
     names = lambda col: tuple(r[0] for r in small_rows(table.select(F.explode(col)).distinct().orderBy("col")))
     langs = tuple(tuple(r) for r in small_rows(table.select("language", "role", "tier").orderBy("language")))
-    return Registry(ext, tuple(dict.fromkeys(n.lower() for n in names("entry_points"))), names("build_files"), langs)
+    lower = lambda col: tuple(dict.fromkeys(n.split("/")[-1].lower() for n in names(col)))
+    return Registry(ext, lower("entry_points"), lower("build_files"), langs)
 
 
 def lang_ext(spark: SparkSession, registry: Registry = REGISTRY) -> DataFrame:

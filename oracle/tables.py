@@ -108,7 +108,7 @@ q("path_parts", f"SELECT repo, path, {base()} AS name, {stem()} AS stem, {ext()}
 q("language_of", "SELECT repo, coalesce(language, 'unknown') AS language, count(*) AS n FROM files LEFT JOIN lang_ext USING (ext) GROUP BY ALL")
 q("role_of", f"SELECT repo, {role()} AS role, count(*) AS n FROM both_files GROUP BY ALL")
 q("entry_points", f"SELECT repo, path FROM files WHERE {inlist('lower(' + base() + ')', REGISTRY.entry_points)}")
-q("build_files", f"SELECT repo, path FROM files WHERE {inlist(base(), REGISTRY.build_files)}")
+q("build_files", f"SELECT repo, path FROM files WHERE {inlist('lower(' + base() + ')', REGISTRY.build_files)}")
 q("describe_ext", "SELECT DISTINCT f.ext, language, role, tier FROM files f LEFT JOIN lang_ext USING (ext)")
 q("language_names", "SELECT DISTINCT language FROM (SELECT language FROM (" + values([(n,) for n, *_ in REGISTRY.languages]) + ") v(language) UNION SELECT 'learned_abcml' FROM files WHERE ext = '.abcml')")
 q("inferred_tier", "SELECT ext, coalesce(language, CASE WHEN ext = '.abcml' THEN 'learned_abcml' ELSE 'unknown' END) AS language, count(*) AS n FROM files LEFT JOIN lang_ext USING (ext) GROUP BY ALL")
