@@ -79,18 +79,22 @@ def term_regex(term: str) -> str:
 
 
 def mentions(text: Column) -> Column:
-    """Which of the technology terms a text mentions, in rule order."""
-    return F.array(*[text.rlike(term_regex(t)) for t, _ in D.GROUNDING])
+    """Which of the technology terms a text mentions, in rule order; a byte search goes first."""
+    lowered = F.lower(text)
+    return F.array(*[lowered.contains(t.lower()) & text.rlike(term_regex(t)) for t, _ in D.GROUNDING])
 
 
 def text_scores(docs: DataFrame) -> DataFrame:
     """Every score that needs the text only, plus the mentioned terms. Drops the text."""
-    text, lower = F.col("text"), F.lower("text")
-    base = docs.withColumn("pos", heading_positions(text))
-    fr = _lines_with(text, D.FR_ID)
-    nfr = _lines_with(text, D.NFR_ID)
+    text, lower = F.col("text"), F.col("lowered")
+    # one projection for what several scores share, so that it is computed once per document
+    lines = F.filter(F.split(text, "\n"), lambda x: x.contains("FR-"))
+    base = docs.withColumn("pos", heading_positions(text)).withColumn("lowered", F.lower("text")).withColumn("id_lines", lines)
+    base = base.withColumn("fr", F.filter("id_lines", lambda x: x.rlike(D.FR_ID))) \
+               .withColumn("nfr", F.filter("id_lines", lambda x: x.rlike(D.NFR_ID)))
+    fr, nfr = F.col("fr"), F.col("nfr")
     bodies = _bodies(text, F.col("pos"))
-    deep = [here & (word_count(body) >= (60 if i == 0 else 30)) for i, (here, body) in enumerate(bodies)]
+    deep = [here & (F.regexp_count(body, F.lit(r"\S+")) >= (60 if i == 0 else 30)) for i, (here, body) in enumerate(bodies)]
     return base.select(
         "doc_key", "repo",
         ratio(_count([here for here, _ in bodies]), F.lit(len(bodies))).alias("completeness"),

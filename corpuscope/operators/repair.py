@@ -3,16 +3,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import display
+from ..functions.text import contains_any, display
 from ..rules import documents as D
 from ..session import hold
 from . import quality as Q
 
 
 def clear_phrases(text: Column) -> Column:
+    """Precise phrases for vague ones; a text that holds none is left alone after a byte search."""
+    clear = text
     for phrase, precise in D.CLARITY.items():
-        text = F.regexp_replace(text, Q.quoted(phrase), precise)
-    return text
+        clear = F.regexp_replace(clear, Q.quoted(phrase), precise)
+    return F.when(contains_any(F.lower(text), D.CLARITY), clear).otherwise(text)
 
 
 def repair_clarity(docs: DataFrame) -> DataFrame:
