@@ -48,17 +48,17 @@ def feature_sources(features: DataFrame) -> DataFrame:
 
 # ---- matching features and files -----------------------------------------------------
 
-def contains_join(hay: DataFrame, hay_col: str, needles: DataFrame, needle_col: str, keys) -> DataFrame:
+def contains_join(hay: DataFrame, hay_col: str, needles: DataFrame, needle_col: str, keys, shortest: int = 1) -> DataFrame:
     """Rows of ``hay`` joined to ``needles`` they contain, as an equi join.
 
     A needle is looked up by its first three characters among the three-character pieces of
     the haystack (shorter needles by all they have), then checked. No cross product, and a
     pair cannot come twice because pieces are distinct. Meant for short haystacks such as
-    words and names.
+    words and names. ``shortest`` is the length of the shortest needle, if that is known.
     """
     n = needles.filter(F.length(needle_col) > 0).withColumn("_piece", F.substring(needle_col, 1, 3))
     text = F.col(hay_col)
-    pieces = F.array_distinct(F.flatten(F.transform(lit_array([1, 2, 3]), lambda k: F.transform(
+    pieces = F.array_distinct(F.flatten(F.transform(lit_array(range(min(shortest, 3), 4)), lambda k: F.transform(
         F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - k + 1)), lambda i: F.substring(text, i, k)))))
     h = hay.withColumn("_piece", F.explode(pieces))
     return h.join(n, [*keys, "_piece"]).filter(F.col(hay_col).contains(F.col(needle_col))).drop("_piece")
@@ -91,7 +91,7 @@ def feature_file_counts(features: DataFrame, classified: DataFrame, shared_limit
     words = file_words(classified)
     use = kws.groupBy("repo", "keyword").agg((F.count("*") > shared_limit).alias("shared"))
     vocabulary = words.select("repo", "word").distinct()
-    matched = contains_join(vocabulary, "word", use, "keyword", ["repo"]).select("repo", "word", "keyword", "shared")
+    matched = contains_join(vocabulary, "word", use, "keyword", ["repo"], shortest=3).select("repo", "word", "keyword", "shared")
     per_file = hold(words.join(matched, ["repo", "word"]).select("repo", "path", "keyword", "shared").distinct()
                     .withColumn("neg", negative_path(F.lower("path")).cast("int")))
 
