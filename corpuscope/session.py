@@ -1,38 +1,51 @@
-"""Session helpers: stable intermediate tables and size-checked reads of small tables."""
+"""Session helpers: intermediate tables on shared storage and size-checked reads of small tables."""
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+FOLDER = "spark.checkpoint.dir"
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of this session, setting one only where nothing is configured.
 
-    On a cluster the folder comes from ``spark.checkpoint.dir``. A private temporary folder
-    is used in local mode only, since other machines could not read it.
+def stage_dir(spark: SparkSession) -> str:
+    """The folder for intermediate tables, from ``spark.checkpoint.dir``.
+
+    Only a local session (``local[n]``, as in tests) may leave it unset; it then gets a
+    temporary folder, since there all tasks run on this machine.
     """
-    sc = spark.sparkContext
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="run-")
-    sc.setCheckpointDir(folder)
+    folder = spark.conf.get(FOLDER, None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith(("local[", "local:")) and spark.sparkContext.master != "local":
+        raise RuntimeError(f"set {FOLDER} to a folder every executor can reach")
+    folder = tempfile.mkdtemp(prefix="run-")
+    spark.conf.set(FOLDER, folder)
     return folder
 
 
 def hold(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder once; later steps read it instead of recomputing.
+    """Write ``df`` as Parquet to the shared folder once; later steps read it, column by column.
 
-    A reliable checkpoint survives lost executors and fixes the rows, so that numbers derived
-    from their order cannot change when a task is run again.
+    The rows survive lost executors, and numbers derived from partitions cannot change when a
+    task is run again. ``release`` deletes the files when their readers are done.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{stage_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stage_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of held tables that nothing reads any more; others are left alone."""
+    for df in tables:
+        path = getattr(df, "_stage_path", None)
+        if path:
+            session = df.sparkSession
+            where = session._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def small_rows(df: DataFrame, limit: int = 20_000) -> list:
