@@ -3,23 +3,52 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corpuscope.llm.common import table
+from corpuscope.llm import langid, quality, toxicity
+from corpuscope.llm.common import fold, table
 from corpuscope.llm.exact_dedup import exact_dedup
 from corpuscope.llm.packing import pack
 
+def _learn() -> Column:
+    return fold(F.col("doc_id"), 5) != 0
+
+
+def _classified(scored: DataFrame, cut: float) -> DataFrame:
+    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.train(toxicity.labelled_sample(docs, table(spark, folder, "labels"), "toxic", _learn()))
+    return _classified(toxicity.score(docs, model), 0.5)
+
+
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = quality.train(toxicity.labelled_sample(docs, table(spark, folder, "labels"), "quality", _learn()))
+    return _classified(quality.score(docs, model), quality.CUT_SCORE)
+
 
 def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(table(spark, folder, "documents"))
 
 
+def op6_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = langid.train(docs, fold(F.col("doc_id"), 4) != 2)
+    return langid.predict(docs, model).withColumn("held_out", fold(F.col("doc_id"), 4) == 2)
+
+
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_quality": op2_quality,
     "op3_exact_dedup": op3_exact_dedup,
+    "op6_language": op6_language,
     "op7_packing": op7_packing,
 }
 
