@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corpuscope.llm import hmm, langid, quality, toxicity
+from corpuscope.llm import decontaminate, hmm, langid, ngram_join, quality, toxicity
 from corpuscope.llm.common import fold, table
 from corpuscope.llm.exact_dedup import exact_dedup
 from corpuscope.llm.packing import pack
@@ -38,6 +38,10 @@ def op4_language_model(spark: SparkSession, folder: str) -> DataFrame:
     return hmm.score_documents(table(spark, folder, "documents"))
 
 
+def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, folder, "documents"))
+
+
 def op6_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = langid.train(docs, fold(F.col("doc_id"), 4) != 2)
@@ -48,13 +52,20 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """One row for each document and item found in it; clean documents have none."""
+    return decontaminate.find_passages(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_language_model": op4_language_model,
+    "op5_ngram_join": op5_ngram_join,
     "op6_language": op6_language,
     "op7_packing": op7_packing,
+    "op8_decontamination": op8_decontamination,
 }
 
 SQL: dict[str, str] = {
