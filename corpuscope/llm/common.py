@@ -41,29 +41,25 @@ def packed(batch: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
 
 def summed_gradient(rows: DataFrame, columns: list[str],
                     gradient: Callable[[dict[str, np.ndarray]], np.ndarray], size: int) -> np.ndarray:
-    """Sum over all rows of a gradient vector of fixed length.
+    """Sum over the rows of a bounded sample of a gradient vector of fixed length.
 
-    Each task adds up its own rows and sends blocks of the vector; Spark adds the blocks, so the
-    driver gets ``size`` numbers however many tasks there are.
+    Each task adds up its own rows and returns one vector. ``in_few_files`` bounds the tasks.
     """
-    block = 4096
-    schema = pa.schema([("block", pa.int32()), ("part", pa.list_(pa.float64()))])
+    schema = pa.schema([("part", pa.list_(pa.float64()))])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
         for b in batches:
             if b.num_rows:
                 total += gradient({c: b.column(c).to_numpy(zero_copy_only=False) for c in columns})
-        cuts = range(0, size, block)
-        yield packed({"block": [i // block for i in cuts], "part": [total[i:i + block] for i in cuts]}, schema)
-
-    parts = rows.select(*columns).mapInArrow(part, "block int, part array<double>")
-    parts = (parts.select("block", F.posexplode("part").alias("at", "v")).groupBy("block", "at").agg(F.sum("v").alias("v"))
-             .groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("s")).select("block", F.col("s.v").alias("part")))
-    out = np.zeros(size)
-    for r in parts.collect():
-        out[r["block"] * block:r["block"] * block + len(r["part"])] = r["part"]
-    return out
+        yield packed({"part": [total]}, schema)
+
+    return np.sum([np.zeros(size), *(r["part"] for r in rows.select(*columns).mapInArrow(part, "part array<double>").collect())], axis=0)
+
+
+def in_few_files(sample: DataFrame) -> DataFrame:
+    """The rows of a bounded sample, held in a few files for the jobs that read them again and again."""
+    return hold(sample.coalesce(8))
 
 
 def adam(start: np.ndarray, gradient: Callable[[np.ndarray], np.ndarray], steps: int, rate: float) -> np.ndarray:

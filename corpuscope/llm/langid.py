@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpuscope.llm.common import bounded_sample, hold, packed, release, summed_gradient
+from corpuscope.llm.common import bounded_sample, in_few_files, packed, release, summed_gradient
 
 #: Rows of the sample (its most, chosen by the hash of the id), landmarks among them, n-gram slots.
 SAMPLE, LANDMARKS, SLOTS = 6000, 192, 8192
@@ -58,7 +58,7 @@ def train(docs: DataFrame, learn: Column, n: int = SAMPLE, n_landmarks: int = LA
     """Model from the rows for which ``learn`` holds and whose lang is known; None without any."""
     good = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     ids = bounded_sample(good.select("doc_id"), F.col("doc_id"), n)
-    sample = hold(good.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("doc_id", "lang", F.col("text").cast("binary").alias("text")))
+    sample = in_few_files(good.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("doc_id", "lang", F.col("text").cast("binary").alias("text")))
     langs = [r[0] for r in sample.select("lang").distinct().orderBy("lang").collect()]
     if not langs:
         return None

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from corpuscope.llm.common import adam, bytes_of, hold, packed, release, summed_gradient
+from corpuscope.llm.common import adam, bytes_of, hold, in_few_files, packed, release, summed_gradient
 
 #: Pairs made of each good document of the sample; the score at the cut.
 PAIRS, CUT_SCORE = 4, 0.3
@@ -92,7 +92,7 @@ def train(sample: DataFrame, pairs: int = PAIRS, steps: int = STEPS, cut_score:
         return {"constant": 0.0 if n and not good else 1.0}
     parts = rows.select(F.posexplode("x").alias("at", "v")).groupBy("at").agg(F.avg("v").alias("c"), F.stddev_pop("v").alias("s")).orderBy("at").collect()
     centre, spread = np.array([r["c"] for r in parts]), np.array([max(r["s"], 1e-9) for r in parts])
-    pair_rows = hold(preference_pairs(rows, pairs))
+    pair_rows = in_few_files(preference_pairs(rows, pairs))
     n_pairs = pair_rows.count()
 
     def gradient(w: np.ndarray) -> np.ndarray:

@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corpuscope.llm import decontaminate, hmm, langid, ngram_join, quality, toxicity
+from corpuscope.llm import decontaminate, hmm, langid, licenses, ngram_join, quality, toxicity
 from corpuscope.llm.common import fold, table
 from corpuscope.llm.exact_dedup import exact_dedup
 from corpuscope.llm.packing import pack
@@ -57,6 +57,11 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.find_passages(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op9_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """One row for each document and license whose notice is found in it."""
+    return licenses.find_notices(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
@@ -66,9 +71,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language": op6_language,
     "op7_packing": op7_packing,
     "op8_decontamination": op8_decontamination,
+    "op9_licenses": op9_licenses,
 }
 
 SQL: dict[str, str] = {
+    "op9_licenses": licenses.duckdb_sql(),
     "op3_exact_dedup": r"""
 WITH keyed AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpuscope.llm.common import adam, bounded_sample, bytes_of, hold, packed, release, summed_gradient
+from corpuscope.llm.common import adam, bounded_sample, bytes_of, hold, in_few_files, packed, release, summed_gradient
 
 #: At most so many labelled rows of each label teach; so many terms are known; rank of the pairs.
 SAMPLE, TERMS, RANK = 6000, 512, 8
@@ -138,7 +138,7 @@ def train(sample: DataFrame, n_terms: int = TERMS, rank: int = RANK, steps: int
                 found.append(at[(at < len(lookup)) & (lookup[np.minimum(at, len(lookup) - 1)] == t)].astype(np.int32) if len(lookup) else t[:0])
             yield packed({"y": b.column(0).to_pylist(), "ids": found}, schema)
 
-    indexed = hold(rows.mapInArrow(index, "y int, ids array<int>"))
+    indexed = in_few_files(rows.mapInArrow(index, "y int, ids array<int>"))
     release(rows)
     def gradient(p: np.ndarray) -> np.ndarray:
         def of(batch: dict[str, np.ndarray]) -> np.ndarray:
