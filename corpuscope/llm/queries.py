@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corpuscope.llm import decontaminate, hmm, langid, licenses, ngram_join, quality, toxicity
+from corpuscope.llm import decontaminate, hmm, langid, licenses, ngram_join, quality, suffix_dedup, toxicity
 from corpuscope.llm.common import fold, table
 from corpuscope.llm.exact_dedup import exact_dedup
 from corpuscope.llm.packing import pack
@@ -62,6 +62,10 @@ def op9_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.find_notices(table(spark, folder, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_packing": op7_packing,
     "op8_decontamination": op8_decontamination,
     "op9_licenses": op9_licenses,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 SQL: dict[str, str] = {
