@@ -2,10 +2,11 @@
 
 Texts are compared as bytes, ASCII lower case, runs of ASCII white space as one blank. Every
 item is cut into windows of about 100 bytes, and a window of m bytes is found where a region of a
-text is within  e = m / 10  edits. By the q-gram lemma such a region shares at least
+text is within  e = 0.08 m  edits. By the q-gram lemma such a region shares at least
 m - q + 1 - q e  q-grams with the window, on diagonals no more than e apart. So shared q-grams
 are counted in overlapping diagonal bands, twice as wide as e at least and half overlapping; bands
-with enough of them are verified by an alignment within the band.
+with enough of them are verified by an alignment within the band. A window's most common q-grams
+are not counted, and as many fewer are asked of a band, so nothing is lost by it.
 
 Items are sent to the tasks in blocks of bounded size; each block is one pass over the documents.
 
@@ -23,7 +24,10 @@ from pyspark.sql import DataFrame, functions as F
 from corpuscope.llm.common import bytes_of, hold, packed
 
 #: Length of q-grams, window length and step, edits per byte of a window, width of a band.
-Q, WINDOW, STEP, EDITS, BAND = 8, 100, 50, 0.1, 32
+Q, WINDOW, STEP, EDITS, BAND = 8, 100, 50, 0.08, 32
+#: Shared q-grams asked of a band at least: what a window has to share beyond is spent on leaving
+#: its q-grams that most windows have out of the index.
+ASKED = 6
 #: Bytes of items sent to the tasks at a time; bytes of documents looked at together.
 BLOCK_BYTES, TEXT_BYTES = 16_000_000, 4_000_000
 _FILTER = 20
@@ -75,6 +79,15 @@ class Patterns:
         code = np.concatenate(each) if each else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(each)), [len(c) for c in each])
         at = np.concatenate([np.arange(len(c)) for c in each]) if each else np.zeros(0, np.int64)
+        _, kind, often = np.unique(code, return_inverse=True, return_counts=True)
+        # within a window the most common q-grams come first; those are left out of the index
+        order = np.lexsort((at, -often[kind], owner))
+        spare = np.maximum(self.need - ASKED, 0)
+        starts = np.cumsum([0, *(len(c) for c in each)])[:-1]
+        rank = np.arange(len(code)) - np.repeat(starts, [len(c) for c in each])
+        order = order[rank >= spare[owner[order]]] if len(order) else order
+        self.need = self.need - spare
+        code, owner, at = code[order], owner[order], at[order]
         order = np.argsort(code, kind="stable")
         self.owner, self.at = owner[order], at[order]
         self.code, self.first = np.unique(code[order], return_index=True)
