@@ -35,6 +35,11 @@ def bounded_sample(df: DataFrame, key: Column, n: int) -> DataFrame:
     return df.withColumn("_h", F.xxhash64(key)).orderBy("_h", key).limit(n).drop("_h")
 
 
+def whole_rows(docs: DataFrame, **columns: Column) -> DataFrame:
+    """All columns of ``docs`` as the struct _doc, so that no name meets those given here."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *[c.alias(n) for n, c in columns.items()])
+
+
 def packed(batch: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(batch[f.name], f.type) for f in schema], schema=schema)
 

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corpuscope.llm.common import bytes_of, hold, packed
+from corpuscope.llm.common import bytes_of, packed
 
 #: Length of q-grams, window length and step, edits per byte of a window, width of a band.
 Q, WINDOW, STEP, EDITS, BAND = 8, 100, 50, 0.08, 32
@@ -145,6 +145,30 @@ class Patterns:
         return best, end
 
 
+def look(patterns: Patterns, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the text, window, edits, end in the normalised text) of every found window."""
+    gap = b"\x00" * (2 * BAND)  # no alignment within the budget crosses it
+    whole = np.frombuffer(gap + gap.join(texts) + gap, np.uint8)
+    starts = np.cumsum([len(gap), *(len(t) + len(gap) for t in texts[:-1])])
+    window, diagonal = patterns.candidates(whole)
+    edits, end = patterns.distances(whole, window, diagonal)
+    ok = edits <= patterns.edits[window]
+    window, edits, end = window[ok], edits[ok], end[ok]
+    doc = np.searchsorted(starts, end - 1, side="right") - 1
+    return doc, window, edits, end - starts[doc]
+
+
+def in_chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """(number of the first, normalised texts) of runs of texts of bounded size."""
+    first, some, size = 0, [], 0
+    for i, t in enumerate(texts):
+        some.append(normal(t))
+        size += len(some[-1])
+        if size >= TEXT_BYTES or i == len(texts) - 1:
+            yield first, some
+            first, some, size = i + 1, [], 0
+
+
 FOUND = "doc_id long, item_id long, edits int, at long"
 
 
@@ -155,48 +179,47 @@ def matches(docs: DataFrame, items: list[tuple[int, bytes]], doc_id: str = "doc_
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         patterns = Patterns(shared.value)
-        keys, texts, size = [], [], 0
-
-        def look() -> pa.RecordBatch:
-            gap = b"\x00" * (2 * BAND)  # no alignment within the budget crosses it
-            whole = np.frombuffer(gap + gap.join(texts) + gap, np.uint8)
-            starts = np.cumsum([len(gap), *(len(t) + len(gap) for t in texts[:-1])])
-            window, diagonal = patterns.candidates(whole)
-            edits, end = patterns.distances(whole, window, diagonal)
-            ok = edits <= patterns.edits[window]
-            window, edits, end = window[ok], edits[ok], end[ok]
-            doc = np.searchsorted(starts, end - 1, side="right") - 1
-            return packed({"doc_id": [keys[i] for i in doc], "item_id": [patterns.item[w] for w in window], "edits": edits, "at": end - starts[doc]}, schema)
-
         for b in batches:
-            for key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                keys.append(key)
-                texts.append(normal(t))
-                size += len(texts[-1])
-                if size >= TEXT_BYTES:
-                    yield look()
-                    keys, texts, size = [], [], 0
-        if texts:
-            yield look()
+            keys = b.column(0).to_pylist()
+            for first, some in in_chunks(b.column(1).to_pylist()):
+                doc, window, edits, at = look(patterns, some)
+                yield packed({"doc_id": [keys[first + i] for i in doc], "item_id": [patterns.item[w] for w in window], "edits": edits, "at": at}, schema)
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), bytes_of(text).alias("text")).mapInArrow(part, FOUND)
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, item_id, n_windows, edits (fewest) and first_end of every document and item that share a window."""
+def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
+    """The items in blocks of bounded size."""
     good = benchmark.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text"))
     volume = good.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = int(volume) // BLOCK_BYTES + 1
-    found = None
     for k in range(blocks):
-        own = good if blocks == 1 else good.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        items = [(r["item_id"], normal(bytes(r["text"]))) for r in own.collect()]
+        own = good if blocks == 1 else good.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+        yield [(r["item_id"], normal(bytes(r["text"]))) for r in own.collect()]
+
+
+def find_passages(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, item_id, n_windows, edits (fewest) and first_end of every document and item that share a window."""
+    found = None
+    for items in item_blocks(benchmark):
         part = matches(docs, items, doc_id, text)
         found = part if found is None else found.union(part)
     return found.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_windows"), F.min("edits").alias("edits"), F.min("at").alias("first_end"))
 
 
-def without_passages(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents in which no passage of the benchmark is found, with all their columns."""
-    found = hold(find_passages(docs, benchmark, doc_id, text).select(F.col("doc_id").alias("_found")).distinct())
-    return docs.join(found, F.col(doc_id) == F.col("_found"), "left_anti")
+def without_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """The documents in which no passage of the benchmark is found, with all their columns, in their own tasks."""
+    at = docs.columns.index(text)
+    for items in item_blocks(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+
+        def part(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            patterns = Patterns(shared.value)
+            for b in batches:
+                clean = np.ones(b.num_rows, bool)
+                for first, some in in_chunks([(t or "").encode() for t in b.column(at).to_pylist()]):
+                    clean[first + look(patterns, some)[0]] = False
+                yield b.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(part, docs.schema)
+    return docs

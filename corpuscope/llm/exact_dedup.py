@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpuscope.llm.common import SPACES, text_of, hold
+from corpuscope.llm.common import SPACES, hold, text_of, whole_rows
 
 #: Cells of the filter per row, and the most cells. The filter is sent to every task, so its size
 #: is bounded (2**26 bits are 8 MB); beyond that it fills up and lets more rows be shuffled.
@@ -74,10 +74,12 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     are left to one by their number within id and digest.
     """
     found = exact_dedup(docs, doc_id, text)
-    gone = found.filter("not kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("copies"), F.max(F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("own"))
-    keyed = docs.withColumn("_sha", digest(text))
-    joined = keyed.join(gone.withColumnRenamed("doc_id", "_id"), F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("text_sha256")), "left")
-    whole = joined.filter(F.col("copies").isNull()).select(*docs.columns)
-    # ids that were kept once and dropped as repeats of themselves: one row of each stays
-    own = joined.filter(F.col("own")).dropDuplicates([doc_id, "_sha"]).select(*docs.columns)
+    gone = (found.filter("not kept").groupBy("doc_id", "text_sha256")
+            .agg(F.max(F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("own"))
+            .select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha"), "own"))
+    keyed = whole_rows(docs, id=F.col(doc_id), sha=digest(text))
+    joined = keyed.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("sha") == F.col("gone_sha")), "left")
+    whole = joined.filter(F.col("own").isNull()).select("_doc.*")
+    # ids of which one row was kept and others dropped as its repeats: one row of each stays
+    own = joined.filter(F.col("own")).dropDuplicates(["id", "sha"]).select("_doc.*")
     return whole.unionByName(own)

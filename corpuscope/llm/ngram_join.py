@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from corpuscope.llm.common import bytes_of, hold, packed, release
+from corpuscope.llm.common import bytes_of, hold, packed, release, whole_rows
 
 #: Cells of the count sketches; a shingle is frequent when its cell has so many times the mean.
 CELLS, FREQUENT = 1 << 20, 8
@@ -425,6 +425,9 @@ def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that have the smallest id of their component, with all their columns."""
-    gone = ngram_components(docs, doc_id, text).filter("doc_id != component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    """The documents that have the smallest id of their component, with all their columns.
+
+    Rows without an id stay; rows that share an id go or stay together.
+    """
+    gone = ngram_components(docs, doc_id, text).filter("doc_id != component_id").select(F.col("doc_id").alias("gone"))
+    return whole_rows(docs, id=F.col(doc_id)).join(gone, F.col("id") == F.col("gone"), "left_anti").select("_doc.*")

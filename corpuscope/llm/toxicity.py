@@ -24,6 +24,8 @@ from corpuscope.llm.common import adam, bounded_sample, bytes_of, hold, in_few_f
 
 #: At most so many labelled rows of each label teach; so many terms are known; rank of the pairs.
 SAMPLE, TERMS, RANK = 6000, 512, 8
+#: A small sample supports fewer terms: one for so many rows, but so many at least.
+ROWS_PER_TERM, LEAST_TERMS = 6, 64
 STEPS, RATE, PENALTY = 40, 0.1, 5e-4
 #: Terms in fewer documents of the sample, or than this share of them, are not learned.
 LEAST, LEAST_SHARE = 8, 0.001
@@ -66,6 +68,7 @@ def choose_terms(rows: DataFrame, n: int = TERMS) -> dict[int, float]:
     total, positive = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not total:
         return {}
+    n = min(n, max(LEAST_TERMS, total // ROWS_PER_TERM))
     share = positive / total
     counts = (rows.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("y").alias("pos"))
               .filter(F.col("df") >= max(LEAST, LEAST_SHARE * total)).withColumn("chi", F.pow(F.col("pos") - F.col("df") * share, 2) / F.col("df")))
