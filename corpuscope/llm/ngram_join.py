@@ -1,9 +1,9 @@
 """Jaccard self-join on word 5-shingles with token-combination prefixes, and its components.
 
 A document is the set of its shingles. Sets x and y link when 100 |x & y| >= 75 |x u y|; then at
-most ``missing(x)`` shingles of x are not in y. Shingles have one global order: by how often
-their words occur, rare first, those in the *frequent* class last; both come from count sketches
-over all documents. A prefix of that order is indexed: rare shingles one by one, frequent ones as
+most ``missing(x)`` shingles of x are not in y. Shingles have one global order, rare first: by how
+often they and then their words occur, those in the *frequent* class last; both come from count
+sketches over all documents. A prefix of that order is indexed: rare shingles one by one, frequent ones as
 pairs within each of 64 subclasses. The prefix is extended until
 
     (rare shingles) + sum over subclasses of (its frequent shingles - 1)  >  missing(x)
@@ -40,6 +40,8 @@ CELLS, FREQUENT = 1 << 20, 8
 SUBCLASSES, SHORT = 64, 96
 #: Entries with at most so many sets give all their pairs; others work by hubs.
 FEW = 6
+#: Pairs that wait for the next reading of the texts, which verifies them.
+TOGETHER = 200_000
 #: Index entries per task, texts handled before a task hands on its entries, bits of the filter of needed sets.
 ENTRIES, TEXTS, FILTER_BITS = 1_000_000, 1000, 1 << 24
 SALTS = 32
@@ -136,8 +138,11 @@ def read_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(part, SETS)
 
 
-def _sketches(held: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(level of each word cell, whether each shingle cell is frequent): a byte a cell."""
+def _sketches(held: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(level of each word cell, how common each shingle cell is, whether it is frequent): a byte a cell.
+
+    A shingle is as common as its cell exceeds the mean, in half powers of two.
+    """
     def add(key: tuple, t: pa.Table) -> pa.Table:
         total = np.zeros(1 << 14, np.uint64)
         for c in t.column("cells").to_pylist():
@@ -150,7 +155,9 @@ def _sketches(held: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         counts[r["sketch"] << 14:(r["sketch"] + 1) << 14] = np.frombuffer(bytes(r["cells"]), np.uint64)
     words, shingles = counts[:CELLS], counts[CELLS:]
     level = np.round(4 * np.log2(words.astype(float) + 1)).astype(np.uint8)
-    return level, shingles > FREQUENT * max(shingles.mean(), 1.0)
+    mean = max(shingles.mean(), 1.0)
+    common = np.round(np.clip(2 * np.log2(np.maximum(shingles / mean, 1.0)), 0, 255)).astype(np.uint8)
+    return level, common, shingles > FREQUENT * mean
 
 
 def missing(n: int) -> int:
@@ -182,13 +189,13 @@ def entries(shingles: np.ndarray, order: np.ndarray, frequent: np.ndarray, short
     return np.concatenate(out)
 
 
-def index(docs: DataFrame, level: np.ndarray, hot: np.ndarray, buckets: int) -> DataFrame:
+def index(docs: DataFrame, level: np.ndarray, common: np.ndarray, hot: np.ndarray, buckets: int) -> DataFrame:
     """Index entries, dealt to buckets by their hash: arrays of (entry, set, size)."""
     schema = pa.schema([("bucket", pa.int32()), ("entry", pa.binary()), ("sets", pa.binary()), ("sizes", pa.binary())])
-    shared = docs.sparkSession.sparkContext.broadcast((level, hot))
+    shared = docs.sparkSession.sparkContext.broadcast((level, common, hot))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, hot = shared.value
+        level, common, hot = shared.value
         known, seen = _Hashes(), set()
         for b in batches:
             for at in range(0, b.num_rows, TEXTS):
@@ -204,8 +211,9 @@ def index(docs: DataFrame, level: np.ndarray, hot: np.ndarray, buckets: int) ->
                     seen.add(key)
                     lw = level[(w >> np.uint64(44)).astype(np.int64)].astype(np.int64)
                     ls = sum(lw[j:len(lw) - 4 + j] for j in range(5)) if len(w) >= 5 else np.array([lw.sum()])
-                    f = hot[(s >> np.uint64(44)).astype(np.int64)]
-                    order = np.lexsort((s, ls[place], f))
+                    cell = (s >> np.uint64(44)).astype(np.int64)
+                    f = hot[cell]
+                    order = np.lexsort((s, ls[place], common[cell], f))
                     n = len(s)
                     e = [entries(s, order, f, True)] if 3 * n < 4 * SHORT else []
                     if n >= SHORT:
@@ -318,8 +326,9 @@ def whole_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
     return found.join(needed, "set_id", "left_semi").groupBy("set_id").agg(F.first("shingles").alias("shingles"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that link, by their whole sets."""
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs that link, by the whole sets of the documents."""
+    sets = whole_sets(docs, pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct())
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,35 +384,47 @@ def _open(members: DataFrame, roots: DataFrame, hubs: int) -> DataFrame:
     return members.join(still.select("entry"), "entry", "left_semi")
 
 
+def _with_links(links: DataFrame, waiting: list[DataFrame], rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The links with those among the waiting pairs, and their components; empties the list."""
+    pairs = waiting[0]
+    for more in waiting[1:]:
+        pairs = pairs.union(more)
+    links = links.union(hold(verified(pairs.distinct(), rows)))
+    release(*waiting)
+    waiting.clear()
+    return links, components(links)
+
+
 def links_and_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents with their set ids, (node, root) of the sets that link with another set)."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), bytes_of(text).alias("text"))
     read = hold(read_sets(rows))
     per_doc = read.filter("sketch is null").select("doc_id", "n", "set_id", "bits")
-    level, hot = _sketches(read)
+    level, common, hot = _sketches(read)
     total = per_doc.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    found = hold(shared_entries(index(rows, level, hot, max(12, int(0.3 * total) // ENTRIES + 1))))
+    found = hold(shared_entries(index(rows, level, common, hot, max(12, int(0.3 * total) // ENTRIES + 1))))
     sets = per_doc.filter("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
     members = found.filter("b is null").select("entry", "a", "size")
     first = found.filter("b is not null").select("a", "b").distinct()
     empty = first.limit(0).select(F.col("a").alias("node"), F.col("b").alias("root"))
     some = hold(_bounded(first.union(_hub_pairs(members, empty, 1, 0)).distinct(), sets))
-    needed = some.select(F.col("a").alias("set_id")).union(some.select("b")).union(members.select("a")).distinct()
-    whole = hold(whole_sets(rows, needed))
-    links = hold(verified(some, whole))
+    links = hold(verified(some, rows))
     release(some)
     roots = components(links)
-    before, hubs = 1, 4
+    before, hubs, waiting, n_waiting = 1, 4, [], 0
     members = hold(_open(members, roots, before))
     while members.head(1):
-        more = hold(verified(_bounded(_hub_pairs(members, roots, hubs, before), sets), whole))
-        if more.head(1):
-            links = links.union(more)
-            roots = components(links)
+        waiting.append(hold(_bounded(_hub_pairs(members, roots, hubs, before), sets)))
+        n_waiting += waiting[-1].count()
+        if n_waiting > TOGETHER:  # so many links could change what is still open
+            links, roots = _with_links(links, waiting, rows)
+            n_waiting = 0
         left = hold(_open(members, roots, hubs))
         release(members)
         members, before, hubs = left, hubs, 4 * hubs
-    release(found, whole, members)
+    if n_waiting:
+        links, roots = _with_links(links, waiting, rows)
+    release(found, members)
     return per_doc.select("doc_id", "n", "set_id"), roots
 
 
