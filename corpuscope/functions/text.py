@@ -83,7 +83,7 @@ def feature_key(name: Column) -> Column:
 
 
 def capitalize(word: Column) -> Column:
-    return F.concat(F.upper(F.left(word, F.lit(1))), F.lower(F.substring(word, 2, 1_000_000)))
+    return F.concat(F.upper(F.left(word, F.lit(1))), F.lower(F.substr(word, F.lit(2))))
 
 
 def title(text: Column) -> Column:

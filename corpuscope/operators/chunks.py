@@ -10,31 +10,46 @@ from .classify import business_path
 from .numbering import top_k
 
 
-def _cuts(lines: Column, limit: int) -> Column:
-    """Line numbers at which a chunk ends: whole lines until ``limit`` characters are reached.
+def _spans(lines: Column, limit: int) -> Column:
+    """(first, lines) of the chunks: whole lines until ``limit`` characters are reached.
 
-    The fold carries two numbers and the list of cuts, never text.
+    The fold carries three numbers and the list of spans, never text.
     """
-    zero = F.struct(F.lit(0).alias("line"), F.lit(0).alias("held"), F.expr("cast(array() as array<int>)").alias("cuts"))
+    zero = F.struct(F.lit(0).alias("line"), F.lit(1).alias("first"), F.lit(0).alias("held"),
+                    F.expr("cast(array() as array<struct<first:int,lines:int>>)").alias("spans"))
+
+    def span(acc, end):
+        return F.array_append(acc["spans"], F.struct(acc["first"].alias("first"), (end - acc["first"] + 1).alias("lines")))
 
     def step(acc, line):
         held = acc["held"] + F.length(line)
         full = held >= limit
         at = acc["line"] + 1
-        return F.struct(at.alias("line"), F.when(full, 0).otherwise(held).alias("held"),
-                        F.when(full, F.array_append(acc["cuts"], at)).otherwise(acc["cuts"]).alias("cuts"))
+        return F.struct(at.alias("line"), F.when(full, at + 1).otherwise(acc["first"]).alias("first"),
+                        F.when(full, 0).otherwise(held).alias("held"),
+                        F.when(full, span(acc, at)).otherwise(acc["spans"]).alias("spans"))
+
+    return F.aggregate(lines, zero, step, lambda acc: F.when(acc["held"] > 0, span(acc, acc["line"])).otherwise(acc["spans"]))
+
 
-    return F.aggregate(lines, zero, step, lambda acc: F.when(
-        acc["held"] > 0, F.array_append(acc["cuts"], acc["line"])).otherwise(acc["cuts"]))
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once per row.
+
+    A lambda computes every expression in its body again for each element; what it takes from
+    outside must be a variable, and here the element of a one-element array is one.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def chunk_array(content: Column, limit: int = S.CHUNK_CHARS) -> Column:
     """C1 as a column: the texts of the chunks, in order. Joined, they give the content back."""
-    lines = F.split(content, r"(?<=\n)")
-    cuts = _cuts(lines, limit)
-    return F.transform(cuts, lambda end, i: F.array_join(F.slice(
-        lines, F.when(i == 0, 0).otherwise(F.get(cuts, i - 1)) + 1,
-        end - F.when(i == 0, 0).otherwise(F.get(cuts, i - 1))), ""))
+    return bound(F.split(content, r"(?<=\n)"), lambda lines: F.transform(
+        _spans(lines, limit), lambda s: F.array_join(F.slice(lines, s["first"], s["lines"]), "")))
+
+
+def chunk_count(content: Column, limit: int = S.CHUNK_CHARS) -> Column:
+    """How many chunks C1 makes of a content, without making them."""
+    return F.size(_spans(F.split(content, r"(?<=\n)"), limit))
 
 
 def chunk_lines(classified: DataFrame, limit: int = S.CHUNK_CHARS) -> DataFrame:
@@ -83,10 +98,13 @@ def key_snippets(chunks: DataFrame) -> DataFrame:
     return chosen.select("repo", "path", reason.alias("reason"), "content")
 
 
-def model_candidate_files(df: DataFrame, limit: int = 15, prefix: int = 3000) -> DataFrame:
-    """Files that look like data models, the most promising ``limit`` per repository."""
+def model_candidate_files(df: DataFrame, limit: int = 15, prefix: int | None = None) -> DataFrame:
+    """Files that look like data models, the most promising ``limit`` per repository.
+
+    The whole content is looked at unless a ``prefix`` of so many characters is asked for.
+    """
     lower = F.lower("path")
-    head = F.substring("content", 1, prefix)
+    head = F.col("content") if prefix is None else F.substring("content", 1, prefix)
     name = F.substring_index("path", "/", -1)
     looks = contains_any(head, S.MODEL_WORDS) | name.contains("message ") | contains_any(F.lower(head), S.MODEL_WORDS_LOWER)
     priority = (F.when(lower.contains("model") | lower.contains("entity"), 0)

@@ -53,7 +53,7 @@ def proto_rpcs(df: DataFrame) -> DataFrame:
     rpcs = matches(F.col("s.body"), S.PROTO_RPC, (1, 2, 3), ("rpc", "request", "response"))
     return rows.select("repo", "source_file", "at", F.col("s.service").alias("service"), F.posexplode(rpcs).alias("pos", "r")) \
                .select("repo", "service", "r.rpc", "r.request", "r.response", "source_file",
-                       (F.col("at") * 1000 + F.col("pos")).alias("pos"))
+                       F.struct("at", F.col("pos").alias("rpc")).alias("pos"))
 
 
 ENTITY = "array<struct<name:string,fields:array<string>>>"
@@ -61,7 +61,7 @@ ENTITY = "array<struct<name:string,fields:array<string>>>"
 
 def _entity_rows(kept, table, found, kind, order):
     rows = kept.select("repo", F.col("path").alias("source_file"), table.alias("table_name"), F.posexplode(found).alias("pos", "e"))
-    return rows.select("repo", "e.name", "source_file", "table_name", F.slice("e.fields", 1, 15).alias("fields"),
+    return rows.select("repo", "e.name", "source_file", "table_name", F.col("e.fields").alias("fields"),
                        F.lit(kind).alias("entity_type"), F.lit(order).alias("kind"), "pos")
 
 

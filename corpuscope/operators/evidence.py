@@ -41,18 +41,12 @@ def k8s_manifests(df: DataFrame) -> DataFrame:
     return df.filter(F.col("ext").isin(".yaml", ".yml") & k8s_manifest(F.col("content"))).select("repo", "path")
 
 
-def compliance_mentions(df: DataFrame, md_limit: int = 20) -> DataFrame:
-    """Does a README, a privacy file or one of the first 20 Markdown files name a rule?
-
-    The content is reduced to one flag per file before anything is ranked.
-    """
+def compliance_mentions(df: DataFrame) -> DataFrame:
+    """Does a README, a privacy file or a Markdown file name a rule?"""
     name, path = basename(F.col("path")), F.col("path")
     named = (~path.contains("/") & name.rlike("^(README|readme)")) | name.rlike("^(PRIVACY|privacy)")
     is_md = name.endswith(".md")
-    marks = df.filter(named | is_md).select("repo", "path", named.alias("named"), is_md.alias("md"),
-                                            F.col("content").rlike(S.COMPLIANCE).alias("hit"))
-    first_md = top_k(marks.filter("md"), ["repo"], ["path"], md_limit).drop("rank")
-    return marks.filter("named").unionByName(first_md).groupBy("repo").agg(F.bool_or("hit").alias("has_gdpr_mention"))
+    return df.filter(named | is_md).groupBy("repo").agg(F.bool_or(F.col("content").rlike(S.COMPLIANCE)).alias("has_gdpr_mention"))
 
 
 def file_flags(df: DataFrame) -> DataFrame:

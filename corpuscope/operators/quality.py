@@ -128,10 +128,9 @@ def grounding_scores(scored: DataFrame, ev: DataFrame) -> DataFrame:
 def claims(docs: DataFrame, ev: DataFrame) -> DataFrame:
     """(doc_key, term, flag) of the claims no evidence supports."""
     from .evidence import unpivot_flags
-    rules = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(f).alias("flag")) for t, f in D.GROUNDING])
-    told = docs.select("doc_key", "repo", F.explode(F.filter(rules, lambda r: F.exists(
-        F.array(*[F.when(F.col("text").rlike(term_regex(t)), F.lit(t)) for t, _ in D.GROUNDING]),
-        lambda t: F.coalesce(t == r["term"], F.lit(False))))).alias("r")).select("doc_key", "repo", "r.*")
+    found = F.array_compact(F.array(*[F.when(F.col("text").rlike(term_regex(t)), F.struct(F.lit(t).alias("term"), F.lit(f).alias("flag")))
+                                      for t, f in D.GROUNDING]))
+    told = docs.select("doc_key", "repo", F.explode(found).alias("r")).select("doc_key", "repo", "r.*")
     return told.join(unpivot_flags(ev), ["repo", "flag"]).filter("not value").select("doc_key", "term", "flag")
 
 

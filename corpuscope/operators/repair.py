@@ -88,7 +88,7 @@ def traceability_appendix(docs: DataFrame, features: DataFrame, frs: DataFrame)
         .join(Q.id_references(docs, frs), ["doc_key", "req_id"], "left_anti")
     listed = with_ids.filter("req_id is not null").select("doc_key", "req_id").distinct()
     alone = absent.join(listed, ["doc_key", "req_id"], "left_anti").select(
-        "doc_key", (F.col("fr_ord") + 1_000_000_000).cast("long").alias("ord"),
+        "doc_key", (F.col("fr_ord").cast("long") + 1_000_000_000_000).alias("ord"),
         F.concat(F.lit("| "), display(F.col("linked_feature")), F.lit(" | "), "req_id", F.lit(" | _(see FR section)_ |")).alias("line"))
     return named.unionByName(alone)
 

@@ -15,8 +15,6 @@ from ..rules import documents as D, packs as P
 from .features import component_layer
 from .numbering import number_rows, top_k, with_ids
 
-PART_LINES = 20_000
-
 
 # ---- tables of the sections ----------------------------------------------------------------
 
@@ -299,8 +297,15 @@ def cicd_tool(stack: DataFrame) -> DataFrame:
     return stack.groupBy("repo").agg(F.coalesce(*[F.when(hits(kw), name) for kw, name in D.CICD_TOOLS]).alias("tool"))
 
 
-def render_report(lines: DataFrame, part_lines: int = PART_LINES) -> DataFrame:
-    """Text of the reports, in parts of ``part_lines`` lines; a normal report is one part."""
+def render_report(lines: DataFrame, part_lines: int | None = None) -> DataFrame:
+    """Text of the reports, each in one part, or in parts of ``part_lines`` lines.
+
+    A report is a document: all its lines meet in one value, as they do in its file.
+    """
+    if part_lines is None:
+        ordered = F.array_sort(F.collect_list(F.struct("section", "block", "ord", "sub", "line")))
+        return lines.groupBy("repo").agg(F.array_join(F.transform(ordered, lambda s: s["line"]), "\n").alias("text"), F.count("*").alias("n_lines")) \
+            .select("repo", F.lit(0).alias("part"), "text", "n_lines")
     placed = number_rows(lines, ["repo"], ["section", "block", "ord", "sub"], "n")
     part = F.floor((F.col("n") - 1) / part_lines).cast("int")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda s: s["line"]), "\n")  # part_lines at most

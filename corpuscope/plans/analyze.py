@@ -30,7 +30,7 @@ def extract(files: DataFrame) -> dict:
 def module_overview(files: DataFrame) -> DataFrame:
     """The flagship query: every module with its size and the verdict on its repository."""
     scan = drop_binary(scan_files(files))
-    per_file = C.chunk_lines(classify.classify_files(scan)).groupBy("repo", "path").agg(F.count("*").alias("chunks"))
+    per_file = classify.classify_files(scan).select("repo", "path", C.chunk_count(F.col("content")).alias("chunks")).filter("chunks > 0")
     rows = MO.normal_names(per_file.withColumn("module", top_dir(F.col("path"))))
     mods = rows.groupBy("repo", "name").agg(F.count("*").alias("n_files"), F.sum("chunks").alias("n_chunks"))
     check = MO.validate_modules(mods.withColumn("confidence", F.lit(1.0)), scan)
@@ -99,7 +99,6 @@ def full_run(files: DataFrame, date: str) -> dict:
     tables = report_tables(feats, found, repos)
     lines = hold(R.report_lines(tables, date))
     parts = R.render_report(lines)
-    docs = parts.filter("part = 0").join(parts.filter("part > 0").select("repo").distinct(), "repo", "left_anti") \
-        .select(F.col("repo").alias("doc_key"), "repo", "text")
+    docs = hold(parts.select(F.col("repo").alias("doc_key"), "repo", "text"))
     repaired = repair.repair_loop(docs, feats, tables["frs"], found["evidence"])
     return {**ex, **found, "features": feats, **tables, "lines": lines, "parts": parts, "documents": repaired}

@@ -30,7 +30,6 @@ SKIP_DIRS = {
     "ml": "node_modules .git __pycache__ venv .venv vendor dist build .next target .gradle".split(),
     "mobile": "node_modules .git __pycache__ venv .venv vendor build dist .gradle .idea Pods .dart_tool".split(),
 }
-MAX_BYTES = {"web": 500_000, "data": 500_000, "ml": 1_000_000, "mobile": 500_000}
 PACK_EXTS = {"web": WEB_EXTS, "data": DATA_EXTS, "ml": ML_EXTS, "mobile": MOBILE_EXTS}
 
 # routes: (kind, regex); group 1 is the method, group 2 the path

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.paths import dirs, suffix
 from ..functions.text import lit_array
 from ..rules.languages import REGISTRY, Registry
-from ..rules.signals import MAX_BYTES, PACK_EXTS, SKIP_DIRS
+from ..rules.signals import PACK_EXTS, SKIP_DIRS
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
@@ -15,8 +15,9 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
     The text stays null where the bytes are not valid UTF-8 (see ``drop_binary``).
     """
     raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root))
-    base = root.rstrip("/")
-    rel = F.regexp_extract("path", f"{base}/(.+)$", 1)
+    base = F.lit(root.rstrip("/") + "/")
+    # the reported path has a scheme in front; the root is looked for as it stands
+    rel = F.substr("path", F.instr("path", base) + F.length(base))
     text = F.when(F.expr("is_valid_utf8(cast(content as string))"), F.col("content").cast("string"))
     return raw.select(F.substring_index(rel, "/", 1).alias("repo"),
                       F.regexp_replace(rel, "^[^/]+/", "").alias("path"),
@@ -50,16 +51,20 @@ def drop_binary(df: DataFrame, registry: Registry = REGISTRY) -> DataFrame:
     return text.filter(F.col("content").isNotNull() & F.expr("is_valid_utf8(content)"))
 
 
-def read_with_limits(df: DataFrame, exts, max_bytes: int, skip_dirs) -> DataFrame:
-    """A10: pre-filter of the analysis packs; touches path, extension and size only."""
-    return prune_dirs(df.filter(F.col("ext").isin(list(exts)) & (F.col("size") <= max_bytes)), skip_dirs)
+def read_with_limits(df: DataFrame, exts, skip_dirs, max_bytes: int | None = None) -> DataFrame:
+    """A10: pre-filter of the analysis packs; touches path and extension only.
+
+    Files of any size are read; ``max_bytes`` leaves larger ones out where a caller wants that.
+    """
+    kept = df.filter(F.col("ext").isin(list(exts)))
+    return prune_dirs(kept if max_bytes is None else kept.filter(F.col("size") <= max_bytes), skip_dirs)
 
 
 def pack_filter(pack: str):
-    """The same limits as a condition, for operators that serve several packs in one pass."""
-    return (F.col("ext").isin(list(PACK_EXTS[pack])) & (F.col("size") <= MAX_BYTES[pack])
+    """The same as a condition, for operators that serve several packs in one pass."""
+    return (F.col("ext").isin(list(PACK_EXTS[pack]))
             & ~F.arrays_overlap(dirs(F.col("path")), lit_array(SKIP_DIRS[pack])))
 
 
 def pack_files(df: DataFrame, pack: str) -> DataFrame:
-    return read_with_limits(df, PACK_EXTS[pack], MAX_BYTES[pack], SKIP_DIRS[pack])
+    return read_with_limits(df, PACK_EXTS[pack], SKIP_DIRS[pack])

@@ -236,7 +236,7 @@ q("repair_grounding", f"SELECT doc_key, md5(text) AS digest FROM grounded{len(D.
 STUBS = " || ".join(f"CASE WHEN contains(text, {lit(h)}) THEN '' ELSE chr(10) || {lit(h)} || chr(10) || {lit('*' + h[3:] + ' — content pending.*')} || chr(10) END" for h in D.STUB_HEADINGS)
 q("repair_structure", f"SELECT doc_key, md5({stripped('regexp_replace(text || ' + STUBS + ', ' + lit(chr(92) + 'n{3,}') + ', chr(10) || chr(10), ' + lit('g') + ')')}) AS digest FROM docs")
 q("traceability_appendix", f"""SELECT doc_key, ord::BIGINT AS ord, '| ' || shown || ' | ' || coalesce((SELECT string_agg(req_id, ', ' ORDER BY ord) FROM frs f WHERE f.repo = r.repo AND f.linked_feature = r.name), '—') || ' | — |' AS line FROM feat_refs r WHERE NOT found
-UNION ALL SELECT doc_key, 1000000000 + ford, '| ' || {display('linked_feature')} || ' | ' || req_id || ' | _(see FR section)_ |' FROM id_refs i WHERE NOT found AND NOT EXISTS (SELECT 1 FROM feat_refs r WHERE r.doc_key = i.doc_key AND r.name = i.linked_feature AND NOT r.found)""")
+UNION ALL SELECT doc_key, 1000000000000 + ford, '| ' || {display('linked_feature')} || ' | ' || req_id || ' | _(see FR section)_ |' FROM id_refs i WHERE NOT found AND NOT EXISTS (SELECT 1 FROM feat_refs r WHERE r.doc_key = i.doc_key AND r.name = i.linked_feature AND NOT r.found)""")
 
 # ---- reports ------------------------------------------------------------------------------------
 q("layer_inventory", "SELECT repo, " + case([(anyword("name", f), lit(x)) for x, f in P.LAYERS], "'Application Layer'") + f" AS layer, {display('name')} AS component, conf || '%' AS confidence, CASE WHEN {anyword('name', P.DOMAIN_WORDS)} THEN string_split(description, '.')[1] END AS domain_text FROM vfeats")

@@ -100,7 +100,7 @@ q("drop_binary", f"SELECT repo, ext, count(*) AS n, CAST(sum(size) AS BIGINT) AS
 
 
 def pack_where(pack):
-    return f"({inlist('ext', S.PACK_EXTS[pack])} AND size <= {S.MAX_BYTES[pack]} AND NOT {hasdir(S.SKIP_DIRS[pack])})"
+    return f"({inlist('ext', S.PACK_EXTS[pack])} AND NOT {hasdir(S.SKIP_DIRS[pack])})"
 
 
 q("read_with_limits", f"SELECT repo, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM files WHERE {pack_where('web')} GROUP BY repo")
@@ -144,7 +144,7 @@ q("key_snippets", "SELECT repo, path, reason, content FROM (SELECT * FROM snip12
 q("model_candidate_files", f"""SELECT repo, path, priority::BIGINT AS priority, row_number() OVER (PARTITION BY repo ORDER BY priority, path) AS rank FROM (
  SELECT repo, path, CASE WHEN contains(lower(path), 'model') OR contains(lower(path), 'entity') THEN 0 WHEN contains(lower(path), 'schema') OR contains(lower(path), 'dto') THEN 1 ELSE 2 END AS priority
  FROM files WHERE {inlist('ext', S.MODEL_EXTS)} AND NOT {anyword('lower(path)', S.MODEL_PATH_SKIP)}
- AND ({anyword('content[1:3000]', S.MODEL_WORDS)} OR contains({base()}, 'message ') OR {anyword('lower(content[1:3000])', S.MODEL_WORDS_LOWER)})) QUALIFY rank <= 15""")
+ AND ({anyword('content', S.MODEL_WORDS)} OR contains({base()}, 'message ') OR {anyword('lower(content)', S.MODEL_WORDS_LOWER)})) QUALIFY rank <= 15""")
 cte("kw_files", " UNION ALL ".join(f"SELECT repo, path, {lit(n)} AS feature FROM files WHERE {anyword('lower(path)', k)} OR {anyword('lower(content)', k)}" for n, k in S.KEYWORD_FEATURES))
 q("keyword_files", "SELECT repo, path, feature FROM kw_files")
 q("keyword_features", "SELECT repo, feature, count(*) AS n_files, least(100, count(*) * 20) / 100 AS confidence FROM kw_files GROUP BY ALL")
@@ -231,7 +231,7 @@ q("react_docker_signals", "SELECT * EXCLUDE (has_deps), (CASE WHEN dockerfiles >
 NAMED_DOC = f"((NOT contains(path, '/') AND regexp_matches({base()}, '^(README|readme)')) OR regexp_matches({base()}, '^(PRIVACY|privacy)'))"
 cte("compliance", f"""SELECT repo, bool_or(hit) AS has_gdpr_mention FROM (
  SELECT repo, {rx('content', S.COMPLIANCE)} AS hit FROM files WHERE {NAMED_DOC}
- UNION ALL SELECT repo, hit FROM (SELECT repo, {rx('content', S.COMPLIANCE)} AS hit, row_number() OVER (PARTITION BY repo ORDER BY path) AS n FROM files WHERE ends_with({base()}, '.md')) WHERE n <= 20) GROUP BY repo""")
+ UNION ALL SELECT repo, {rx('content', S.COMPLIANCE)} AS hit FROM files WHERE ends_with({base()}, '.md')) GROUP BY repo""")
 q("compliance_mentions", "SELECT * FROM compliance")
 K8S_YAML = f"(ext IN ('.yaml', '.yml') AND {rx('content', S.K8S_KIND)})"
 q("k8s_manifests", f"SELECT repo, path FROM files WHERE {K8S_YAML}")
@@ -250,10 +250,10 @@ q("proto_rpcs", "SELECT repo, service, rpc, request, response, source_file FROM
 JVM = f"ext IN ('.kt', '.java') AND NOT contains(lower(path), '/test/') AND NOT contains(lower({stem()}), 'test')"
 TABLE = f"nullif(regexp_extract(content, {lit(S.TABLE_NAME)}, 1), '')"
 kf, jf = f"regexp_extract_all(content, {lit(S.KOTLIN_FIELD)}, 1)", f"regexp_extract_all(content, {lit(S.JAVA_FIELD)}, 1)"
-cte("jpa", f"SELECT repo, unnest(regexp_extract_all(content, {lit(S.JPA_ENTITY)}, 1)) AS name, path AS source_file, {TABLE} AS table_name, array_to_string(list_slice(list_filter(CASE WHEN len({kf}) > 0 THEN {kf} ELSE {jf} END, lambda f: NOT list_contains({S.FIELD_NOISE}, f)), 1, 15), ',') AS fields, 'jpa_entity' AS entity_type, 0 AS kind, unnest(range(len(regexp_extract_all(content, {lit(S.JPA_ENTITY)}, 1)))) AS pos FROM files WHERE {JVM}")
-cte("kdata", f"""SELECT repo, name, path AS source_file, table_name, array_to_string(list_slice(regexp_extract_all(body, {lit(S.KOTLIN_FIELD)}, 1), 1, 15), ',') AS fields, 'data_class' AS entity_type, 1 AS kind, pos FROM (
+cte("jpa", f"SELECT repo, unnest(regexp_extract_all(content, {lit(S.JPA_ENTITY)}, 1)) AS name, path AS source_file, {TABLE} AS table_name, array_to_string(list_filter(CASE WHEN len({kf}) > 0 THEN {kf} ELSE {jf} END, lambda f: NOT list_contains({S.FIELD_NOISE}, f)), ',') AS fields, 'jpa_entity' AS entity_type, 0 AS kind, unnest(range(len(regexp_extract_all(content, {lit(S.JPA_ENTITY)}, 1)))) AS pos FROM files WHERE {JVM}")
+cte("kdata", f"""SELECT repo, name, path AS source_file, table_name, array_to_string(regexp_extract_all(body, {lit(S.KOTLIN_FIELD)}, 1), ',') AS fields, 'data_class' AS entity_type, 1 AS kind, pos FROM (
  SELECT repo, path, {TABLE} AS table_name, unnest(regexp_extract_all(content, {lit(S.KOTLIN_DATA_CLASS)}, 1)) AS name, unnest(regexp_extract_all(content, {lit(S.KOTLIN_DATA_CLASS)}, 2)) AS body, unnest(range(len(regexp_extract_all(content, {lit(S.KOTLIN_DATA_CLASS)}, 1)))) AS pos FROM files WHERE {JVM}) WHERE len(regexp_extract_all(body, {lit(S.KOTLIN_FIELD)}, 1)) >= 2""")
-cte("pmsg", f"""SELECT repo, name, path AS source_file, CAST(NULL AS VARCHAR) AS table_name, array_to_string(list_slice(regexp_extract_all(body, {lit(S.PROTO_FIELD)}, 1), 1, 15), ',') AS fields, 'proto_message' AS entity_type, 2 AS kind, pos FROM (
+cte("pmsg", f"""SELECT repo, name, path AS source_file, CAST(NULL AS VARCHAR) AS table_name, array_to_string(regexp_extract_all(body, {lit(S.PROTO_FIELD)}, 1), ',') AS fields, 'proto_message' AS entity_type, 2 AS kind, pos FROM (
  SELECT repo, path, unnest(regexp_extract_all(content, {lit(S.PROTO_MESSAGE)}, 1)) AS name, unnest(regexp_extract_all(content, {lit(S.PROTO_MESSAGE)}, 2)) AS body, unnest(range(len(regexp_extract_all(content, {lit(S.PROTO_MESSAGE)}, 1)))) AS pos FROM files WHERE ext = '.proto')""")
 ENT = "repo, name, source_file, table_name, fields, entity_type"
 for name, src in [("jpa_entities", "jpa"), ("kotlin_data_classes", "kdata"), ("proto_messages", "pmsg")]:

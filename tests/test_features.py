@@ -113,3 +113,13 @@ def test_full_run_and_report_parts(spark, files, tmp_path):
 def test_priorities(spark):
     df = spark.createDataFrame([("api", 15), ("api", 90), ("feature_detection", 15), ("unknown", 90)], "c string, conf int")
     assert [r.p for r in df.select(RQ.requirement_priority(F.col("c"), F.col("conf")).alias("p")).collect()] == ["Medium", "High", "Low", "Low"]
+
+
+def test_a_long_report_is_scored_and_repaired(spark, files):
+    """A report of more than 20,000 lines is one document and passes through the repair like others."""
+    run = A.full_run(files({"one": {"src/a.py": "x"}}), "January 01, 2026")
+    lines = run["lines"]
+    more = spark.range(25_000).select(F.col("id").alias("k")).crossJoin(lines.limit(1)).withColumn("ord", (F.col("k") + 1000).cast(lines.schema["ord"].dataType)) \
+        .withColumn("line", F.concat(F.lit("row "), F.col("k").cast("string"))).select(*lines.columns)
+    r = R.render_report(lines.unionByName(more)).first()
+    assert r.part == 0 and r.n_lines > 25_000 and r.text.count("\n") == r.n_lines - 1
