@@ -133,15 +133,18 @@ def clean_dep_name(raw: Column) -> Column:
     return F.regexp_replace(raw, r"""^[\s"']+|[\s"']+$""", "")
 
 
-def top_docstring(content: Column, limit: int = 500) -> Column:
+def top_docstring(content: Column, limit: int | None = None) -> Column:
+    """Docstring or leading comment of a source text, whole unless ``limit`` characters are asked for."""
+    cut = (lambda c: c) if limit is None else (lambda c: F.substring(c, 1, limit))
+
     def found(pattern):
         text = F.regexp_extract(content, pattern, 1)
-        return F.when(content.rlike(pattern), F.substring(F.trim(F.regexp_replace(text, r"^\s+|\s+$", "")), 1, limit))
+        return F.when(content.rlike(pattern), cut(F.trim(F.regexp_replace(text, r"^\s+|\s+$", ""))))
 
     comment = F.filter(F.slice(F.split(content, "\n"), 1, 10), lambda x: F.trim(x).rlike("^[/#*]"))
     comment = F.transform(comment, lambda x: F.trim(F.regexp_replace(x, "^[/ #*]+", "")))
     return F.coalesce(found(r'(?s)^\s*"""(.*?)"""'), found(r"(?s)^\s*'''(.*?)'''"),
-                      found(r"(?s)/\*\*(.*?)\*/"), F.substring(F.array_join(comment, " "), 1, limit))
+                      found(r"(?s)/\*\*(.*?)\*/"), cut(F.array_join(comment, " ")))
 
 
 def uuid5(name: Column, namespace: str = URL_NAMESPACE) -> Column:

@@ -6,15 +6,14 @@ from pyspark.sql import DataFrame, functions as F
 from ..rules.languages import REGISTRY, Registry
 from ..rules.packs import LANGUAGE_TOKENS
 from .chunks import snippet_of
-from .numbering import first_per_key
 
 SCORED = "ext string, language string, role string, confidence double, evidence string"
 
 
 def representative_per_ext(classified: DataFrame) -> DataFrame:
     """the first unclassified file of every extension of a repository."""
-    unknown = classified.filter("category = 'unknown' and ext <> ''").select("repo", "ext", "path", "content")
-    return first_per_key(unknown, ["repo", "ext"], ["path"])
+    unknown = classified.filter("category = 'unknown' and ext <> ''")
+    return unknown.groupBy("repo", "ext").agg(F.min("path").alias("path"), F.min_by("content", "path").alias("content"))
 
 
 def drop_known(files: DataFrame, cache: DataFrame) -> DataFrame:

@@ -157,14 +157,13 @@ def package_metadata(df: DataFrame) -> DataFrame:
     """Name, description and keywords of the first root manifest that can be read."""
     path, content = F.col("path"), F.col("content")
     js = F.from_json("content", "struct<name:string,description:string,keywords:array<string>>")
-    toml = lambda key, n: F.regexp_extract(F.substring("content", 1, n), key + r'\s*=\s*"([^"]+)"', 1)
-    limits = {"pyproject.toml": 2000, "Cargo.toml": 1000}
+    toml = lambda key: F.regexp_extract("content", key + r'\s*=\s*"([^"]+)"', 1)
+    others = ["pyproject.toml", "Cargo.toml"]
     ranks = F.when((path == "package.json") & F.get_json_object("content", "$").isNotNull(), 0)
-    for i, name in enumerate(limits):
+    for i, name in enumerate(others):
         ranks = ranks.when(path == name, i + 1)
-    pick = lambda key: F.when(F.col("rank") == 0, F.coalesce(js[key], F.lit(""))) \
-        .when(F.col("rank") == 1, toml(key, 2000)).otherwise(toml(key, 1000))
-    rows = df.filter(path.isin("package.json", *limits)).withColumn("rank", ranks).filter("rank is not null")
+    pick = lambda key: F.when(F.col("rank") == 0, F.coalesce(js[key], F.lit(""))).otherwise(toml(key))
+    rows = df.filter(path.isin("package.json", *others)).withColumn("rank", ranks).filter("rank is not null")
     rows = rows.select("repo", "rank", F.col("path").alias("source"), pick("name").alias("package_name"),
                        pick("description").alias("package_description"),
                        F.when(F.col("rank") == 0, F.coalesce(F.array_join(js["keywords"], ","), F.lit(""))).otherwise("").alias("keywords"))
@@ -179,9 +178,9 @@ def intent_waterfall(df: DataFrame) -> DataFrame:
     first = lambda names, value: (df.filter(path.isin(names)).groupBy("repo")
                                   .agg(F.min_by(F.struct(path.alias("name"), value.alias("text")), rank_in(names)).alias("f"))
                                   .select("repo", "f.name", "f.text"))
-    readme = first(S.README_NAMES, F.substring("content", 1, 4000)).filter(F.regexp_replace("text", r"\s", "") != "") \
+    readme = first(S.README_NAMES, F.col("content")).filter(F.regexp_replace("text", r"\s", "") != "") \
         .select("repo", F.col("name").alias("readme_name"), F.col("text").alias("readme"))
-    entry = first(S.ENTRY_NAMES, top_docstring(F.substring("content", 1, 2000))).filter("text <> ''") \
+    entry = first(S.ENTRY_NAMES, top_docstring(F.col("content"))).filter("text <> ''") \
         .select("repo", F.col("text").alias("doc"))
     meta = package_metadata(df).select("repo", "package_name", "package_description")
     out = (df.select("repo").distinct().join(readme, "repo", "left").join(entry, "repo", "left").join(meta, "repo", "left"))

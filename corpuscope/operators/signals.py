@@ -249,7 +249,7 @@ def react_docker_signals(df: DataFrame) -> DataFrame:
     maps = F.from_json("content", "struct<dependencies:map<string,string>,devDependencies:map<string,string>,peerDependencies:map<string,string>>")
     keys = F.concat(*[F.coalesce(F.map_keys(maps[k]), F.expr("cast(array() as array<string>)"))
                       for k in ("dependencies", "devDependencies", "peerDependencies")])
-    names = F.when(manifest, F.lower(F.array_join(F.slice(F.array_distinct(keys), 1, 50), " ")))
+    names = F.when(manifest, F.lower(F.array_join(F.array_distinct(keys), " ")))
     uses = lambda word: (js & content.contains(word)) | F.coalesce(names.contains(word), F.lit(False))
     tailwind = uses("tailwind") | (js & content.contains("className") & content.contains("tw-"))
     react = js & (content.rlike(r"""\bReact\b|from\s+['"]react['"]""") | basename(F.col("path")).rlike(r"\.tsx?\b"))

@@ -312,25 +312,25 @@ q("build_facts", "SELECT * FROM build_rows")
 BUCKETS = case([(anyword("lower(name)", f), lit(b)) for b, f in S.DEP_BUCKETS] + [("category = 'framework'", "'framework'")], "'other'")
 q("dep_buckets", f"SELECT DISTINCT repo, {BUCKETS} AS bucket, name FROM deps")
 cte("meta_rows", r"""SELECT repo, 0 AS rank, path AS source, coalesce(content->>'$.name', '') AS package_name, coalesce(content->>'$.description', '') AS package_description, '' AS keywords FROM files WHERE path = 'package.json' AND json_valid(content)
-UNION ALL SELECT repo, 1, path, regexp_extract(content[1:2000], 'name\s*=\s*"([^"]+)"', 1), regexp_extract(content[1:2000], 'description\s*=\s*"([^"]+)"', 1), '' FROM files WHERE path = 'pyproject.toml'""")
+UNION ALL SELECT repo, 1, path, regexp_extract(content, 'name\s*=\s*"([^"]+)"', 1), regexp_extract(content, 'description\s*=\s*"([^"]+)"', 1), '' FROM files WHERE path = 'pyproject.toml'""")
 cte("meta", "SELECT * EXCLUDE (rank) FROM meta_rows QUALIFY row_number() OVER (PARTITION BY repo ORDER BY rank) = 1")
 q("package_metadata", "SELECT * FROM meta")
 
 
 def docstring(c):
     def part(p, g=1):
-        return f"CASE WHEN {rx(c, p)} THEN ({stripped(f'regexp_extract({c}, {lit(p)}, 1)')})[1:500] END"
+        return f"CASE WHEN {rx(c, p)} THEN ({stripped(f'regexp_extract({c}, {lit(p)}, 1)')}) END"
     lines = f"list_transform(list_filter(list_slice(string_split({c}, chr(10)), 1, 10), lambda x: regexp_matches(trim(x), '^[/#*]')), lambda x: trim(regexp_replace(x, '^[/ #*]+', '')))"
-    return f"""coalesce({part('(?s)^' + chr(92) + 's*' + '"' * 3 + '(.*?)' + '"' * 3)}, {part("(?s)^" + chr(92) + "s*'''(.*?)'''")}, {part('(?s)/' + chr(92) + '*' + chr(92) + '*(.*?)' + chr(92) + '*/')}, array_to_string({lines}, ' ')[1:500])"""
+    return f"""coalesce({part('(?s)^' + chr(92) + 's*' + '"' * 3 + '(.*?)' + '"' * 3)}, {part("(?s)^" + chr(92) + "s*'''(.*?)'''")}, {part('(?s)/' + chr(92) + '*' + chr(92) + '*(.*?)' + chr(92) + '*/')}, array_to_string({lines}, ' '))"""
 
 
-q("intent_waterfall", f"""SELECT r.repo, coalesce(d.content[1:4000], '[Extracted from entry point]' || chr(10) || e.doc, '') AS intent, coalesce(d.path, CASE WHEN e.doc IS NOT NULL THEN 'entry_point_docstring' END, 'none') AS source,
+q("intent_waterfall", f"""SELECT r.repo, coalesce(d.content, '[Extracted from entry point]' || chr(10) || e.doc, '') AS intent, coalesce(d.path, CASE WHEN e.doc IS NOT NULL THEN 'entry_point_docstring' END, 'none') AS source,
  coalesce(package_name, '') AS package_name, coalesce(package_description, '') AS package_description,
  CASE WHEN d.path IS NOT NULL OR e.doc IS NOT NULL THEN 'README present (source: ' || coalesce(d.path, 'entry_point_docstring') || ') — high confidence context.'
   WHEN coalesce(package_description, '') <> '' THEN 'No README found. Context derived from package manifest: ''' || package_description || ''''
   ELSE '[NO_DOCUMENTATION] No README or package description found. Infer from structure only. Assign lower confidence to all features.' END AS confidence_note
 FROM (SELECT DISTINCT repo FROM files) r LEFT JOIN (SELECT repo, path, content FROM files WHERE path = 'README.md' AND trim(content) <> '') d USING (repo)
-LEFT JOIN (SELECT repo, {docstring('content[1:2000]')} AS doc FROM files WHERE path = 'main.py') e ON e.repo = r.repo AND e.doc <> '' LEFT JOIN meta m ON m.repo = r.repo""")
+LEFT JOIN (SELECT repo, {docstring('content')} AS doc FROM files WHERE path = 'main.py') e ON e.repo = r.repo AND e.doc <> '' LEFT JOIN meta m ON m.repo = r.repo""")
 
 # evidence
 cte("flag_rows", rf"""SELECT repo, bool_or({inlist(base(), S.DOCKER_NAMES)}) AS has_docker, bool_or({hasdir(S.K8S_DIRS, True)} OR {K8S_YAML}) AS has_kubernetes, bool_or({base()} = 'AndroidManifest.xml') AS has_android,
