@@ -4,10 +4,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
-def write_stage(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Persist a stage, one folder per repository. Rows keep the task they are in, so a
-    large repository is written by many tasks; AQE merges small partitions first."""
-    df.write.mode("overwrite").partitionBy("repo").format(fmt).save(path)
+def write_stage(df: DataFrame, path: str, fmt: str = "parquet", files: int = 8) -> None:
+    """Persist a stage, one folder per repository of at most ``files`` files.
+
+    Rows are dealt by repository and a salt from their path, so that a repository of a third of
+    all rows is written by several tasks and a small one does not get a file from every task.
+    """
+    salt = F.pmod(F.xxhash64("path" if "path" in df.columns else "repo"), F.lit(files))
+    df.repartition(F.col("repo"), salt).write.mode("overwrite").partitionBy("repo").format(fmt).save(path)
 
 
 def write_documents(lines: DataFrame, path: str) -> None:
