@@ -12,12 +12,13 @@ so that whatever shingles are missing, two linked sets share an indexed token or
 the shorter of two prefixes every shingle they share lies in both, more than ``missing`` would
 have to go to break every single and leave at most one of each subclass. Subclasses need a
 certain size for that, so sets below ``SHORT`` index frequent shingles one by one, and sets a
-little above do both.
+little above do both. A set needs a shorter prefix towards sets of at least its size, of which it
+can miss fewer shingles: two sets are compared only if their entry lies in that of the smaller.
 
 Candidates share an entry. An upper bound on the overlap from bitmaps drops most of the others,
 the rest is verified on the whole sets. Entries with many sets do not give all pairs: the first
 set is tested against all others, and only sets of different components go on to the next round,
-with four times as many such hubs. Equal sets are one node throughout.
+with sixteen times as many such hubs. Equal sets are one node throughout.
 
 Shingles and sets are known by 64-bit hashes. Edge cases: fewer than five words make one shingle;
 no words or null text make an empty set, linked with nothing; a null id has no part in
@@ -165,32 +166,41 @@ def missing(n: int) -> int:
     return n - (3 * n + 3) // 4
 
 
-def entries(shingles: np.ndarray, order: np.ndarray, frequent: np.ndarray, short: bool) -> np.ndarray:
-    """Index entries of a set: its shingles in global order, whether each is frequent, and the mode."""
-    need = missing(len(shingles))
+def missing_in_larger(n: int) -> int:
+    """How many shingles of a set of n may be absent from a linked set of at least its size."""
+    return n - (6 * n + 6) // 7
+
+
+def entries(shingles: np.ndarray, order: np.ndarray, frequent: np.ndarray, short: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Index entries of a set in global order, and whether each lies in the prefix for larger sets."""
+    need, less = missing(len(shingles)), missing_in_larger(len(shingles))
     s, f = shingles[order], frequent[order]
     sub = ((s >> np.uint64(38)) & np.uint64(SUBCLASSES - 1)).astype(np.int64)
     if short or not f.any():
         chosen = s[:need + 1]
-        return chosen if not short else _mix(chosen ^ np.uint64(0x5555))
+        return (chosen if not short else _mix(chosen ^ np.uint64(0x5555))), np.arange(len(chosen)) <= less
     gains = np.ones(len(s), np.int64)
     first_of: dict[int, int] = {}
     for i in np.flatnonzero(f).tolist():  # the first frequent shingle of a subclass gains nothing
         if sub[i] not in first_of:
             first_of[sub[i]] = i
             gains[i] = 0
-    end = int(np.searchsorted(np.cumsum(gains), need + 1)) + 1
-    out = [s[:end][~f[:end]]]
+    gained = np.cumsum(gains)
+    end, early = (int(np.searchsorted(gained, k + 1)) + 1 for k in (need, less))
+    single = np.flatnonzero(~f[:end])
+    out, flags = [s[single]], [single < early]
     for c in first_of:
-        members = np.sort(s[:end][f[:end] & (sub[:end] == c)])
-        if len(members) > 1:
-            i, j = np.triu_indices(len(members), 1)
-            out.append(_mix(members[i] * _ODD[1] + members[j] * _ODD[2]))
-    return np.concatenate(out)
+        at = np.flatnonzero(f[:end] & (sub[:end] == c))
+        if len(at) > 1:
+            at = at[np.argsort(s[at])]
+            i, j = np.triu_indices(len(at), 1)
+            out.append(_mix(s[at[i]] * _ODD[1] + s[at[j]] * _ODD[2]))
+            flags.append(np.maximum(at[i], at[j]) < early)
+    return np.concatenate(out), np.concatenate(flags)
 
 
 def index(docs: DataFrame, level: np.ndarray, common: np.ndarray, hot: np.ndarray, buckets: int) -> DataFrame:
-    """Index entries, dealt to buckets by their hash: arrays of (entry, set, size)."""
+    """Index entries, dealt to buckets by their hash: arrays of (entry, set, twice the size, plus one in the early prefix)."""
     schema = pa.schema([("bucket", pa.int32()), ("entry", pa.binary()), ("sets", pa.binary()), ("sizes", pa.binary())])
     shared = docs.sparkSession.sparkContext.broadcast((level, common, hot))
 
@@ -218,10 +228,9 @@ def index(docs: DataFrame, level: np.ndarray, common: np.ndarray, hot: np.ndarra
                     e = [entries(s, order, f, True)] if 3 * n < 4 * SHORT else []
                     if n >= SHORT:
                         e.append(entries(s, order, f, False))
-                    e = np.concatenate(e)
-                    found.append(e)
-                    ids.append(np.full(len(e), key, np.int64))
-                    sizes.append(np.full(len(e), n, np.int32))
+                    found += [x for x, _ in e]
+                    sizes += [(2 * n + early).astype(np.int32) for _, early in e]
+                    ids.append(np.full(sum(len(x) for x, _ in e), key, np.int64))
                 if not found:
                     continue
                 e, i, z = np.concatenate(found), np.concatenate(ids), np.concatenate(sizes)
@@ -237,7 +246,9 @@ def index(docs: DataFrame, level: np.ndarray, common: np.ndarray, hot: np.ndarra
 
 
 def _fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return 4 * np.minimum(a, b) >= 3 * np.maximum(a, b)
+    """Whether sizes allow a link and the entry lies in the early prefix of the smaller set (of a, if equal)."""
+    small, large = np.where(a // 2 <= b // 2, a, b), np.where(a // 2 <= b // 2, b, a)
+    return (4 * (small // 2) >= 3 * (large // 2)) & (small % 2 == 1)
 
 
 def shared_entries(indexed: DataFrame) -> DataFrame:
@@ -366,14 +377,24 @@ def components(links: DataFrame) -> DataFrame:
         roots = jumped
 
 
+def _distinct_entries(members: DataFrame) -> DataFrame:
+    """Members of one entry of each member list: what sets share of a passage gives many alike."""
+    lists = members.groupBy("entry").agg(F.bit_xor(F.xxhash64("a", "size")).alias("x"), F.bit_xor(F.xxhash64("size", "a")).alias("y"), F.count("*").alias("n"))
+    first = lists.groupBy("x", "y", "n").agg(F.min("entry").alias("entry")).select("entry")
+    return members.join(first, "entry", "left_semi")
+
+
 def _hub_pairs(members: DataFrame, roots: DataFrame, hubs: int, before: int) -> DataFrame:
     """Pairs of the hubs numbered before .. hubs of each entry with its other sets of other components."""
     placed = members.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
     ranked = placed.groupBy("entry").agg(F.slice(F.array_sort(F.collect_set("a")), before + 1, hubs - before).alias("h"))
     # only the hubs' own rows are looked up again, and each meets the members of its entry
     chosen = ranked.select("entry", F.explode("h").alias("a")).join(placed, ["entry", "a"]).select("entry", F.col("a").alias("hub"), F.col("size").alias("hub_size"), F.col("root").alias("hub_root"))
-    met = placed.join(chosen, "entry").filter((F.col("a") != F.col("hub")) & (F.col("root") != F.col("hub_root"))
-                                              & (4 * F.least("size", "hub_size") >= 3 * F.greatest("size", "hub_size")))
+    half = lambda c: F.shiftright(c, 1)
+    hub_smaller = (half("hub_size") < half("size")) | ((half("hub_size") == half("size")) & (F.col("hub") < F.col("a")))
+    early = F.when(hub_smaller, F.col("hub_size") % 2 == 1).otherwise(F.col("size") % 2 == 1)
+    met = placed.join(chosen, "entry").filter((F.col("a") != F.col("hub")) & (F.col("root") != F.col("hub_root")) & early
+                                              & (4 * F.least(half("size"), half("hub_size")) >= 3 * F.greatest(half("size"), half("hub_size"))))
     return met.select(F.least("a", "hub").alias("a"), F.greatest("a", "hub").alias("b")).distinct()
 
 
@@ -404,15 +425,17 @@ def links_and_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     total = per_doc.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     found = hold(shared_entries(index(rows, level, common, hot, max(12, int(0.3 * total) // ENTRIES + 1))))
     sets = per_doc.filter("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    members = found.filter("b is null").select("entry", "a", "size")
+    members = hold(_distinct_entries(found.filter("b is null").select("entry", "a", "size")))
     first = found.filter("b is not null").select("a", "b").distinct()
     empty = first.limit(0).select(F.col("a").alias("node"), F.col("b").alias("root"))
     some = hold(_bounded(first.union(_hub_pairs(members, empty, 1, 0)).distinct(), sets))
     links = hold(verified(some, rows))
     release(some)
     roots = components(links)
-    before, hubs, waiting, n_waiting = 1, 4, [], 0
-    members = hold(_open(members, roots, before))
+    before, hubs, waiting, n_waiting = 1, 16, [], 0
+    still = hold(_open(members, roots, before))
+    release(members)
+    members = still
     while members.head(1):
         waiting.append(hold(_bounded(_hub_pairs(members, roots, hubs, before), sets)))
         n_waiting += waiting[-1].count()
@@ -421,7 +444,7 @@ def links_and_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             n_waiting = 0
         left = hold(_open(members, roots, hubs))
         release(members)
-        members, before, hubs = left, hubs, 4 * hubs
+        members, before, hubs = left, hubs, 16 * hubs
     if n_waiting:
         links, roots = _with_links(links, waiting, rows)
     release(found, members)
