@@ -3,8 +3,9 @@
 A text is the set of its terms (runs of letters, lower case), each known by its 32-bit hash. The
 machine scores a set x by  w0 + sum w_i + sum_{i<j} <v_i, v_j>  over the terms it knows, so that
 pairs such as an insult and the mention of a group count beyond their single weights. Terms,
-weights and factors are learned from a bounded sample of labelled rows; gradients are summed by
-Spark over the sample's partitions. Scoring reads every whole text once and shuffles nothing.
+weights and factors are learned from a bounded sample of labelled rows, in which a row counts as
+many times as its label has learning rows for each one sampled; gradients are summed by Spark over
+the sample's partitions. Scoring reads every whole text once and shuffles nothing.
 
 Edge cases: a null, empty or wordless text scores by the bias alone; labels that are null or
 neither 0 nor 1, and labels without a document, teach nothing; without both labels every score
@@ -39,39 +40,59 @@ def terms(text: bytes) -> set[int]:
     return {zlib.crc32(t) for t in set(_WORD.findall(text.lower()))}
 
 
+def learning_labels(labels: DataFrame, label: str, learn: Column) -> DataFrame:
+    """doc_id and y (0 or 1) of every id whose label teaches."""
+    good = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("y"))
+    return good.filter(learn).dropDuplicates(["doc_id"])
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, n: int = SAMPLE) -> DataFrame:
     """Texts and labels y of at most ``n`` labelled rows of each label, by the hash of their id.
 
-    Only ids and labels are sampled, so texts meet at most 2n rows, which are broadcast.
+    ``stands_for`` is the number of all learning labels of a row's label for each one sampled (1
+    where none was left out). Only ids and labels are sampled, so texts meet at most 2n rows,
+    which are broadcast.
     """
-    good = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("y"))
-    good = good.filter(learn).dropDuplicates(["doc_id"])
+    good = learning_labels(labels, label, learn)
+    count = dict(good.groupBy("y").count().collect())
+    each = [max(count.get(y, 0) / n, 1.0) for y in (0, 1)]
     some = bounded_sample(good.filter("y = 1"), F.col("doc_id"), n).unionByName(bounded_sample(good.filter("y = 0"), F.col("doc_id"), n))
+    some = some.withColumn("stands_for", F.when(F.col("y") == 1, each[1]).otherwise(each[0]))
     return docs.select("doc_id", bytes_of().alias("text")).join(F.broadcast(some), "doc_id")
 
 
 def _term_table(sample: DataFrame) -> DataFrame:
-    schema = pa.schema([("y", pa.int32()), ("terms", pa.list_(pa.int64()))])
+    schema = pa.schema([("y", pa.int32()), ("terms", pa.list_(pa.int64())), ("stands_for", pa.float64())])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield packed({"y": b.column(1).to_pylist(), "terms": [list(terms(t)) for t in b.column(0).to_pylist()]}, schema)
+            yield packed({"y": b.column(1).to_pylist(), "terms": [list(terms(t)) for t in b.column(0).to_pylist()], "stands_for": b.column(2)}, schema)
+
+    return sample.select("text", "y", "stands_for").mapInArrow(part, "y int, terms array<long>, stands_for double")
+
 
-    return sample.select("text", "y").mapInArrow(part, "y int, terms array<long>")
+def _by_label(rows: DataFrame) -> list[tuple[int, float]]:
+    """For label 0 and label 1: rows of the sample, and for how many learning rows each stands."""
+    found = {y: (n, each) for y, n, each in rows.groupBy("y").agg(F.count("*"), F.max("stands_for")).collect()}
+    return [found.get(y, (0, 1.0)) for y in (0, 1)]
 
 
 def choose_terms(rows: DataFrame, n: int = TERMS) -> dict[int, float]:
     """Hash and inverse document frequency (1 for the rarest) of the terms to learn.
 
-    Half are chosen by the chi-square of term and label, half by document frequency.
+    Half are chosen by the chi-square of term and label, half by document frequency; both are of
+    the learning rows that the sample stands for.
     """
-    total, positive = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    if not total:
+    (n0, each0), (n1, each1) = _by_label(rows)
+    if not n0 + n1:
         return {}
-    n = min(n, max(LEAST_TERMS, total // ROWS_PER_TERM))
-    share = positive / total
-    counts = (rows.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("y").alias("pos"))
-              .filter(F.col("df") >= max(LEAST, LEAST_SHARE * total)).withColumn("chi", F.pow(F.col("pos") - F.col("df") * share, 2) / F.col("df")))
+    n = min(n, max(LEAST_TERMS, (n0 + n1) // ROWS_PER_TERM))
+    total = n0 * each0 + n1 * each1
+    share = n1 * each1 / total
+    counts = (rows.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("found"), F.sum("y").alias("pos"))
+              .filter(F.col("found") >= LEAST)
+              .withColumn("pos", F.col("pos") * each1).withColumn("df", (F.col("found") - F.col("pos") / each1) * each0 + F.col("pos"))
+              .filter(F.col("df") >= LEAST_SHARE * total).withColumn("chi", F.pow(F.col("pos") - F.col("df") * share, 2) / F.col("df")))
     telling = counts.orderBy(F.desc("chi"), "term").limit(n // 2).select("term", "df")
     common = counts.orderBy(F.desc("df"), "term").limit(n // 2).select("term", "df")
     chosen = telling.union(common).distinct().collect()
@@ -118,17 +139,18 @@ class Machine:
 def train(sample: DataFrame, n_terms: int = TERMS, rank: int = RANK, steps: int = STEPS) -> tuple[dict[int, float], np.ndarray, int]:
     """(values of the known terms by hash, parameters, rank)."""
     rows = hold(_term_table(sample))
-    total, positive = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    if positive in (0, total):  # nothing to tell apart
+    (n0, each0), (n1, each1) = _by_label(rows)
+    if not n0 or not n1:  # nothing to tell apart
         release(rows)
-        return {}, np.array([30.0 if positive else -30.0]), rank
+        return {}, np.array([30.0 if n1 else -30.0]), rank
     known = choose_terms(rows, n_terms)
     machine = Machine(np.array(list(known.values())), rank)
-    weight = float(np.clip((total - positive) / positive, 1, MOST_WEIGHT))
-    whole = total - positive + weight * positive
+    # of all learning rows first, then against a row of label 0 of the sample
+    weight = float(np.clip(n0 * each0 / (n1 * each1), 1, MOST_WEIGHT)) * each1 / each0
+    whole = n0 + weight * n1
     start = np.random.default_rng(1).normal(0, 0.01, machine.size)
     start[:1 + machine.n] = 0
-    start[0] = np.log(weight * positive / (total - positive))
+    start[0] = np.log(weight * n1 / n0)
     lookup = np.array(list(known), dtype=np.int64)
     schema = pa.schema([("y", pa.int32()), ("ids", pa.list_(pa.int32()))])
 

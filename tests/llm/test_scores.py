@@ -51,6 +51,26 @@ def test_toxicity_with_few_labels(spark, odd_docs, rows, score):
     assert len(got) == odd_docs.count() and all(abs(s - score) < 1e-6 for s in got)
 
 
+def test_thinned_labels_keep_the_share_of_toxic(spark):
+    """Wordless texts score by the bias alone: it has to be the same however small the sample is."""
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("!!!").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 10 == 0).cast("int").alias("toxic"))
+    for n in (1000, 40, 20):
+        model = toxicity.train(toxicity.labelled_sample(docs, labels, "toxic", F.lit(True), n))
+        assert abs(toxicity.score(docs, model).first()["score"] - 3 * 40 / (3 * 40 + 360)) < 0.01
+
+
+def test_small_sample_flags_as_many(spark):
+    """A word in 40 % of toxic and 20 % of other texts, one in ten toxic: no text is more likely toxic than not."""
+    i = F.col("id")
+    word = F.floor(i / 10) % 5 < F.when(i % 10 == 0, 2).otherwise(1)
+    docs = spark.range(2000).select(i.alias("doc_id"), F.when(word, "some bad").otherwise("some").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 10 == 0).cast("int").alias("toxic"))
+    for n in (6000, 200):
+        model = toxicity.train(toxicity.labelled_sample(docs, labels, "toxic", F.lit(True), n))
+        assert toxicity.score(docs, model).filter("score >= 0.5").count() == 0
+
+
 def test_labels_of_odd_documents(spark, odd_docs, no_docs):
     labels = labels_of(spark, [(i, i % 2, i % 2) for i in range(1, 14)] + [(4, 0, 0), (5, 7, 7)])
     for learn, label in ((toxicity, "toxic"), (quality, "quality")):
