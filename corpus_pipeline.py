@@ -10,13 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpuscope.llm import decontaminate, exact_dedup, ngram_join, packing, quality
 from corpuscope.llm.common import fold, hold, release, table
-from corpuscope.llm.toxicity import labelled_sample
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that the ranking puts at or above its cut; it learns from labels of folds 1 to 4 of 5."""
-    sample = labelled_sample(docs, table(spark, folder, "labels"), "quality", fold(F.col("doc_id"), 5) != 0)
-    return quality.keep_good(docs, quality.train(sample))
+    return quality.keep_good(docs, quality.learn(docs, table(spark, folder, "labels"), fold(F.col("doc_id"), 5) != 0))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -3,7 +3,8 @@
 Each text has a short vector of measures (shares of character classes, repetition, word shapes).
 Every labelled good document of a bounded sample is preferred to several bad ones; the strengths
 w.x are fitted by logistic loss on the differences of the two vectors. The cut is the quantile of
-the labelled rows' strengths at their share of bad documents, and the score is a logistic curve
+the strengths of all labelled learning rows at their share of bad documents (``learn``; its rank is
+off by at most 1 in ``ACCURACY`` of the rows), and the score is a logistic curve
 through the cut, where it equals ``cut_score``.
 
 Edge cases: a null or empty text has zero measures and is scored by them; labels that are null or
@@ -16,13 +17,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from corpuscope.llm.common import adam, bytes_of, hold, in_few_files, packed, release, summed_gradient
+from corpuscope.llm.toxicity import SAMPLE, labelled_sample, learning_labels
 
 #: Pairs made of each good document of the sample; the score at the cut.
 PAIRS, CUT_SCORE = 4, 0.3
 STEPS, RATE, PENALTY = 60, 0.2, 1e-4
+#: Of the quantiles of strengths.
+ACCURACY = 100_000
 _UPPER, _LOWER, _DIGIT = range(65, 91), range(97, 123), range(48, 58)
 _STOP = b".,;:'\"()-"
 
@@ -84,7 +88,7 @@ def preference_pairs(rows: DataFrame, pairs: int = PAIRS) -> DataFrame:
 
 
 def train(sample: DataFrame, pairs: int = PAIRS, steps: int = STEPS, cut_score: float = CUT_SCORE) -> dict:
-    """Model from the rows (doc_id, text, y) of a bounded sample."""
+    """Model from the rows (doc_id, text, y) of a bounded sample, cut at the quantile of its own rows."""
     rows = hold(measure_table(sample, ["doc_id", "y"]))
     n, good = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if good in (0, n):
@@ -104,10 +108,39 @@ def train(sample: DataFrame, pairs: int = PAIRS, steps: int = STEPS, cut_score:
     w = adam(np.zeros(2 * N_MEASURES), gradient, steps, RATE)
     release(pair_rows)
     model = {"w": w, "centre": centre, "spread": spread}
-    strengths = rows.select("y", "x").mapInArrow(_strengths(model), "y int, s double")
-    cut, *quartiles = strengths.agg(F.percentile("s", F.lit(1 - good / n)), F.percentile("s", F.lit(0.25)), F.percentile("s", F.lit(0.75))).first()
+    out = _with_cut(model, rows.select("y", "x").mapInArrow(_strengths(model), "y int, s double"), cut_score)
     release(rows)
-    return model | {"cut": cut, "slope": 4.0 / max(quartiles[1] - quartiles[0], 1e-9), "at_cut": float(np.log(cut_score / (1 - cut_score)))}
+    return out
+
+
+def learn(docs: DataFrame, labels: DataFrame, which: Column, n: int = SAMPLE, cut_score: float = CUT_SCORE) -> dict:
+    """Model from at most ``n`` of each label's rows for which ``which`` holds, cut at the quantile of all of them.
+
+    Texts are measured where they are; only ids, strengths and labels are joined.
+    """
+    model = train(labelled_sample(docs, labels, "quality", which, n), cut_score=cut_score)
+    if "constant" in model:
+        return model
+    schema = pa.schema([("doc_id", pa.int64()), ("s", pa.float64())])
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = np.array([measures(t) for t in b.column(1).to_pylist()])
+                yield packed({"doc_id": b.column(0), "s": _expand(x, model["centre"], model["spread"]) @ model["w"]}, schema)
+
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), bytes_of().alias("text")).filter("doc_id is not null")
+    strengths = hold(known.mapInArrow(part, "doc_id long, s double").join(learning_labels(labels, "quality", which), "doc_id").select("y", "s"))
+    out = _with_cut(model, strengths, cut_score)
+    release(strengths)
+    return out
+
+
+def _with_cut(model: dict, strengths: DataFrame, cut_score: float) -> dict:
+    """The model with its cut at the quantile of the strengths s at the share of label 0."""
+    n, good = strengths.agg(F.count("*"), F.sum("y")).first()
+    cut, low, high = strengths.agg(F.percentile_approx("s", [1 - good / n, 0.25, 0.75], ACCURACY)).first()[0]
+    return model | {"cut": cut, "slope": 4.0 / max(high - low, 1e-9), "at_cut": float(np.log(cut_score / (1 - cut_score)))}
 
 
 def _strengths(model: dict):

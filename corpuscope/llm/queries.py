@@ -26,7 +26,7 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    model = quality.train(toxicity.labelled_sample(docs, table(spark, folder, "labels"), "quality", _learn()))
+    model = quality.learn(docs, table(spark, folder, "labels"), _learn())
     return _classified(quality.score(docs, model), quality.CUT_SCORE)
 
 

@@ -97,6 +97,16 @@ def test_cut_is_the_quantile(spark):
     assert abs(sum(r["score"] < quality.CUT_SCORE for r in rows) - bad) <= 2
 
 
+@pytest.mark.parametrize("n", [6000, 100, 40])
+def test_cut_is_the_quantile_of_all_rows(spark, n):
+    """However few of each label are sampled, as many labelled rows lie below the cut as are bad."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.learn(docs, labels, F.lit(True), n)
+    scored = quality.score(docs, model).join(labels.select("doc_id", "quality").filter("quality in (0, 1)"), "doc_id")
+    below, bad = scored.agg(F.count_if(F.col("score") < quality.CUT_SCORE), F.count_if(F.col("quality") == 0)).first()
+    assert abs(below - bad) <= 2
+
+
 def test_machine_gradient():
     rng = np.random.default_rng(2)
     m = toxicity.Machine(rng.uniform(0.2, 1, 7), 3)
