@@ -34,7 +34,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, folder: str) -> Dat
 
 def pieces(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """The pieces of all documents and where they lie in sequences of 2048 tokens."""
-    return packing.pack(docs)
+    return packing.pack(docs, find_added=True)
 
 
 STAGES = [("quality classifier", good_quality), ("exact dedup", exact_copies), ("n-gram Jaccard join", near_copies),

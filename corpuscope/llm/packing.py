@@ -11,6 +11,8 @@ that repeat an id are packed each on its own; an empty table gives no rows.
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -87,19 +89,28 @@ class WordIds:
     The pre-tokeniser never joins what lies on both sides of a single space between other
     characters, except that the space goes with what follows. So texts are cut there, and the
     ids of each piece are remembered; texts with other runs of blanks are encoded whole.
+
+    ``added`` has the ids of tokens found before all else: what lies between them is encoded by itself.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, added: dict[str, int] | None = None):
         import tiktoken
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, bytes] = {}
+        self.added = {t: i.to_bytes(4, "little") for t, i in (added or {}).items()}
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split
 
     def whole(self, text: str) -> bytes:
         return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
     def of(self, text: str) -> bytes:
+        if any(t in text for t in self.added):
+            return b"".join(self.added[t] if k % 2 else self.between(t) for k, t in enumerate(self.split(text)))
+        return self.between(text)
+
+    def between(self, text: str) -> bytes:
         first, *rest = text.split(" ")
         if not rest:
             return self.whole(text)
@@ -119,17 +130,31 @@ class WordIds:
         return b"".join(out)
 
 
+def added_tokens(tokenizer: str) -> dict[str, int]:
+    """Ids of the added tokens of the JSON file of the same name, which ``tokenizers`` finds inside texts."""
+    import public_tokenizers
+    with open(public_tokenizers.path(tokenizer.rsplit(".", 1)[0] + ".json"), encoding="utf-8") as f:
+        tokens = json.load(f)["added_tokens"]
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in tokens):
+        raise ValueError(f"added tokens of {tokenizer} take in or need characters beside them")
+    return {t["content"]: t["id"] for t in tokens}
+
+
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = END_ID,
-         tokenizer: str = "byte_bpe_50k.tiktoken", block: int = BLOCK) -> DataFrame:
+         tokenizer: str = "byte_bpe_50k.tiktoken", block: int = BLOCK, find_added: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     ``tokenizer`` names a public vocabulary of ranks, whose ids are those of the JSON file of the
-    same name read by ``tokenizers`` (a test holds them against each other). The ids stay in the
-    task; a caller that wants them stored encodes the rows of a sequence again by ``start``.
+    same name read by ``tokenizers`` (tests hold them against each other): with ``find_added`` as
+    it reads texts unless told otherwise, <|endoftext|> in a text being one id; without, as with its
+    ``encode_special_tokens``, all text being plain. The query and the pipeline find them. The ids
+    stay in the task; a caller that wants them stored encodes the rows of a sequence again by ``start``.
     """
+    added = added_tokens(tokenizer) if find_added else {}
+
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
-        words = WordIds(public_tokenizers.path(tokenizer), public_tokenizers.PATTERN)
+        words = WordIds(public_tokenizers.path(tokenizer), public_tokenizers.PATTERN, added)
         end = end_id.to_bytes(4, "little")
         number = TaskContext.get().partitionId() << 36
         rests: list[tuple] = []

@@ -49,7 +49,7 @@ def op6_language(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return pack(table(spark, folder, "documents"))
+    return pack(table(spark, folder, "documents"), find_added=True)
 
 
 def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from corpuscope.llm import decontaminate, packing
+from corpuscope.llm import decontaminate, packing, queries
 from made_up import words
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
@@ -42,6 +42,19 @@ def test_packing_round_trip(request, source, block):
         assert at <= 2048
 
 
+def test_ids_of_added_tokens(spark, tmp_path):
+    """The query and the pipeline give the ids of tokenizers with nothing set but add_special_tokens=False."""
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y", "two  <|endoftext|><|endoftext|>\n z", "<|endoftext", "no token  at all", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = [coder.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+    want = [(i, len(x), zlib.crc32(np.array(x, "<u4").tobytes()), len(x)) for i, x in enumerate(ids)]
+    assert ids[0] == [64, 220, 50256, 275, 1]
+    for got in (queries.op7_packing(spark, str(tmp_path)), corpus_pipeline.pieces(spark, docs, "")):
+        assert sorted((r["doc_id"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in got.collect()) == want
+
+
 def test_best_fit():
     rng = np.random.default_rng(1)
     for _ in range(30):
