@@ -4,11 +4,13 @@ The kernel is the blended spectrum of presence: texts are the sets of their 1-,
 bytes (ASCII letters lower case, other ASCII characters one blank), and two texts are as similar
 as the cosine of their sets. Landmark texts from a bounded sample give the Nystroem features
 K(x, landmarks) K_mm^(-1/2); kernel ridge regression, one language against the rest, is solved
-from their moments, which Spark adds up over the sample. Scoring multiplies batches of presence
+from their moments, which Spark adds up over the sample. The sample is taken from each language by
+itself, all rows of a rare one, and a row counts as often as its language has learning rows for
+each one sampled. Scoring multiplies batches of presence
 vectors with the landmarks and the weights.
 
 Edge cases: a text that is null or has no letter gets ``und`` with score 0; rows without a
-language teach nothing; with no language learned every text gets ``und``.
+language or an id teach nothing; with no language learned every text gets ``und``.
 """
 from __future__ import annotations
 
@@ -17,11 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from corpuscope.llm.common import bounded_sample, in_few_files, packed, release, summed_gradient
+from corpuscope.llm.common import hold, in_few_files, packed, release, summed_gradient
 
-#: Rows of the sample (its most, chosen by the hash of the id), landmarks among them, n-gram slots.
+#: Rows of the sample of each language (about so many at most, chosen by the hash of the id), landmarks among all, n-gram slots.
 SAMPLE, LANDMARKS, SLOTS = 6000, 192, 8192
 #: Ridge penalty, and the sharpness of the scores.
 PENALTY, SHARPNESS = 1e-2, 6.0
@@ -55,15 +57,25 @@ def _features(landmarks: np.ndarray, root: np.ndarray, texts: list[bytes]) -> np
 
 
 def train(docs: DataFrame, learn: Column, n: int = SAMPLE, n_landmarks: int = LANDMARKS) -> dict | None:
-    """Model from the rows for which ``learn`` holds and whose lang is known; None without any."""
-    good = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    ids = bounded_sample(good.select("doc_id"), F.col("doc_id"), n)
-    sample = in_few_files(good.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("doc_id", "lang", F.col("text").cast("binary").alias("text")))
-    langs = [r[0] for r in sample.select("lang").distinct().orderBy("lang").collect()]
-    if not langs:
+    """Model from the rows for which ``learn`` holds and whose lang is known; None without any.
+
+    A language with at most ``n`` such rows teaches all of them, others the rows whose hash is
+    below n / rows of the language, which are n on average.
+    """
+    good = docs.filter(learn & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    rows = {lang: count for lang, count in good.groupBy("lang").count().collect()}
+    if not rows:
         return None
+    shares = good.sparkSession.createDataFrame([(lang, n / count) for lang, count in rows.items()], "lang string, share double")
+    picked = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)) < F.col("share")
+    found = hold(good.join(F.broadcast(shares), "lang").filter(picked).select("doc_id", "lang", F.col("text").cast("binary").alias("text")))
+    sample = in_few_files(found)
+    release(found)
+    stands_for = {lang: rows[lang] / count for lang, count in sample.groupBy("lang").count().collect()}
+    langs = sorted(stands_for)
     each = -(-n_landmarks // len(langs))
-    chosen = [r["text"] for lang in langs for r in sample.filter(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each).collect()]
+    first = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = [r["text"] for r in sample.withColumn("first", first).filter(F.col("first") <= each).orderBy("lang", "first").collect()]
     landmarks = vectors([bytes(t) for t in chosen])
     values, axes = np.linalg.eigh((landmarks @ landmarks.T).astype(np.float64))
     good_axes = values > 1e-4
@@ -78,7 +90,8 @@ def train(docs: DataFrame, learn: Column, n: int = SAMPLE, n_landmarks: int = LA
             f = np.concatenate([f, np.ones((len(f), 1))], 1)
             y = -np.ones((len(f), k))
             y[np.arange(len(f)), [place[x] for x in batch["lang"][at:at + BATCH]]] = 1
-            total += f.T @ np.concatenate([f, y], 1)
+            weight = np.array([stands_for[x] for x in batch["lang"][at:at + BATCH]])
+            total += (f * weight[:, None]).T @ np.concatenate([f, y], 1)
         return total.ravel()
 
     total = summed_gradient(sample, ["lang", "text"], moments, m * (m + k)).reshape(m, m + k)

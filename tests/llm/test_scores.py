@@ -40,6 +40,16 @@ def test_held_out_languages(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_rare_language_is_learned(spark):
+    """Six of 6000 texts have a language of their own: a sample of 100 rows a language knows it."""
+    rows = [(i, f"the house and water {i % 50} of people", "en") for i in range(3000)] + \
+           [(i, f"das haus und wasser {i % 50} der leute", "de") for i in range(3000, 5994)] + \
+           [(i, f"дом и вода {i % 50} людей", "ru") for i in range(5994, 6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.predict(docs, langid.train(docs, F.lit(True), 100)).join(docs, "doc_id")
+    assert got.filter("lang_pred <> lang").count() == 0
+
+
 def labels_of(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, toxic int, quality int")
 
