@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corpuscope.llm import decontaminate, hmm, langid, licenses, ngram_join, quality, suffix_dedup, toxicity, whitening
+from corpuscope.llm import decontaminate, hmm, langid, licenses, manifest, ngram_join, quality, suffix_dedup, toxicity, whitening
 from corpuscope.llm.common import fold, table
 from corpuscope.llm.exact_dedup import exact_dedup
 from corpuscope.llm.packing import pack
@@ -71,6 +71,10 @@ def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
 
 
+def op12_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest.digest_table(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licenses": op9_licenses,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_whitening": op11_whitening,
+    "op12_manifest": op12_manifest,
 }
 
 SQL: dict[str, str] = {
