@@ -118,6 +118,12 @@ def unlimbed(parts: np.ndarray) -> np.ndarray:
     return total
 
 
+def column_sums(x: np.ndarray) -> np.ndarray:
+    """Limbs of the sums of the columns, exact."""
+    big = max(abs(int(x.min())), abs(int(x.max())))
+    return limbs((x if big * len(x) < LONG else x.astype(object)).sum(axis=0))
+
+
 def products(y: np.ndarray) -> np.ndarray:
     """Limbs of y'y, exact."""
     big = max(abs(int(y.min(initial=0))), abs(int(y.max(initial=0))), 1)
@@ -269,7 +275,7 @@ def whiten(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding"
         return rows.sparkSession.createDataFrame([], DDL)
     dimension, n = sizes["dimension"], sizes["count"]
     fit = every.filter(F.col("dimension") == dimension)
-    total = summed(fit, dimension, lambda x: limbs(x.astype(object).sum(axis=0)), (dimension,))
+    total = summed(fit, dimension, column_sums, (dimension,))
     centre = np.array([(2 * s + n) // (2 * n) for s in total], object)
     rest = total - n * centre
     moments = summed(fit, dimension, lambda x: products(centred(x, centre)), (dimension, dimension))
