@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corpuscope.llm import decontaminate, hmm, langid, licenses, manifest, ngram_join, quality, suffix_dedup, toxicity, whitening
+from corpuscope.llm import decontaminate, hmm, langid, licenses, linear_grouping, manifest, ngram_join, quality, suffix_dedup, toxicity, whitening
 from corpuscope.llm.common import fold, table
 from corpuscope.llm.exact_dedup import exact_dedup
 from corpuscope.llm.packing import pack
@@ -75,6 +75,10 @@ def op12_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return manifest.digest_table(table(spark, folder, "documents"))
 
 
+def op13_linear_grouping(spark: SparkSession, folder: str) -> DataFrame:
+    return linear_grouping.pack_grouped(table(spark, folder, "documents"), find_added=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_whitening": op11_whitening,
     "op12_manifest": op12_manifest,
+    "op13_linear_grouping": op13_linear_grouping,
 }
 
 SQL: dict[str, str] = {
