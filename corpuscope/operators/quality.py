@@ -1,9 +1,10 @@
 """Nine quality scores of documents.
 
-A document is one row ``(doc_key, repo, text)``. Everything that depends on the text alone is
-computed inside that row in one pass and leaves a few integers; only those meet the features,
-requirements and evidence of the repository. Scores are kept in ten-thousandths, rounded half
-up with integer arithmetic.
+A document is one row ``(doc_key, repo, text)``. ``measure`` reads every text once and leaves
+integers, ids and the names found in it; only those meet the features, requirements and evidence
+of the repository, by salted equi joins, so a repository may hold most of the documents. A null
+text is the empty text. Scores are kept in ten-thousandths, rounded half up with integer
+arithmetic.
 """
 from __future__ import annotations
 
@@ -13,6 +14,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import display, word_count
 from ..rules import documents as D
+from ..session import hold
+from .names import salted_join, with_names
 
 DIMENSIONS = ["completeness", "traceability", "phantom_ids", "clarity", "testability", "nfr_specificity",
               "stakeholders", "depth", "grounding"]
@@ -84,26 +87,63 @@ def mentions(text: Column) -> Column:
     return F.array(*[lowered.contains(t.lower()) & text.rlike(term_regex(t)) for t, _ in D.GROUNDING])
 
 
-def text_scores(docs: DataFrame) -> DataFrame:
-    """Every score that needs the text only, plus the mentioned terms. Drops the text."""
-    text, lower = F.col("text"), F.col("lowered")
-    # one projection for what several scores share, so that it is computed once per document
-    lines = F.filter(F.split(text, "\n"), lambda x: x.contains("FR-"))
-    base = docs.withColumn("pos", heading_positions(text)).withColumn("lowered", F.lower("text")).withColumn("id_lines", lines)
-    base = base.withColumn("fr", F.filter("id_lines", lambda x: x.rlike(D.FR_ID))) \
+def fr_ids(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"({D.FR_ID})"), F.lit(1)))
+
+
+def id_forms(text: Column) -> Column:
+    """Every requirement id that a text contains: ``FR-12`` also contains ``FR-1``."""
+    runs = F.array_distinct(F.regexp_extract_all(text, F.lit(r"FR-(\d+)"), F.lit(1)))
+    return F.array_distinct(F.flatten(F.transform(runs, lambda d: F.transform(
+        F.sequence(F.lit(1), F.length(d)), lambda k: F.concat(F.lit("FR-"), F.substring(d, 1, k))))))
+
+
+def _shared(docs: DataFrame) -> DataFrame:
+    """What several scores use, in one projection, so that it is computed once per document."""
+    text = F.col("text")
+    base = docs.withColumn("text", F.coalesce("text", F.lit("")))
+    base = base.withColumn("pos", heading_positions(text)).withColumn("lowered", F.lower("text")) \
+               .withColumn("id_lines", F.filter(F.split(text, "\n"), lambda x: x.contains("FR-")))
+    return base.withColumn("fr", F.filter("id_lines", lambda x: x.rlike(D.FR_ID))) \
                .withColumn("nfr", F.filter("id_lines", lambda x: x.rlike(D.NFR_ID)))
-    fr, nfr = F.col("fr"), F.col("nfr")
+
+
+def _score_columns() -> list[Column]:
+    text, lower, fr, nfr = F.col("text"), F.col("lowered"), F.col("fr"), F.col("nfr")
     bodies = _bodies(text, F.col("pos"))
     deep = [here & (F.regexp_count(body, F.lit(r"\S+")) >= (60 if i == 0 else 30)) for i, (here, body) in enumerate(bodies)]
-    return base.select(
-        "doc_key", "repo",
+    return [
         ratio(_count([here for here, _ in bodies]), F.lit(len(bodies))).alias("completeness"),
         F.greatest(F.lit(0), 10000 - 1000 * _count([lower.contains(p) for p in D.CLARITY])).alias("clarity"),
         ratio(F.size(F.filter(fr, lambda x: x.rlike(D.TESTABLE))), F.size(fr)).alias("testability"),
         ratio(F.size(F.filter(nfr, lambda x: ~x.rlike(D.PLACEHOLDER))), F.size(nfr)).alias("nfr_specificity"),
         _stakeholder_points(text).alias("stakeholders"),
         ratio(_count(deep), F.greatest(_count([here for here, _ in bodies]), F.lit(1))).alias("depth"),
-        mentions(text).alias("mentioned"))
+        mentions(text).alias("mentioned")]
+
+
+def text_scores(docs: DataFrame) -> DataFrame:
+    """Every score that needs the text only, plus the mentioned terms. Drops the text."""
+    return _shared(docs).select("doc_key", "repo", *_score_columns())
+
+
+def measure(docs: DataFrame, features: DataFrame, issues: bool = False) -> DataFrame:
+    """Every document without its text: scores, requirement ids, and the feature names it contains.
+
+    The text is read in one pass; ``names`` and ``id_forms`` are looked up by the caller. With
+    ``issues`` the rows also have the issues that follow from the text alone.
+    """
+    base = _shared(docs)
+    columns = [*_score_columns(), fr_ids(F.col("text")).alias("fr_ids"), id_forms(F.col("text")).alias("id_forms")]
+    if issues:
+        columns.append(_text_issues().alias("issues"))
+    return hold(with_names(base.select("doc_key", "repo", "text", *columns), _searched(features)))
+
+
+def references(docs: DataFrame, features: DataFrame) -> DataFrame:
+    """(doc_key, repo, id_forms, names) of every document: what it mentions, without its text."""
+    text = F.coalesce("text", F.lit(""))
+    return hold(with_names(docs.select("doc_key", "repo", text.alias("text"), id_forms(text).alias("id_forms")), _searched(features)))
 
 
 def ungrounded(mentioned: Column) -> Column:
@@ -118,7 +158,7 @@ def _flags(ev: DataFrame) -> DataFrame:
 
 def grounding_scores(scored: DataFrame, ev: DataFrame) -> DataFrame:
     """Mentioned terms against the evidence flags of the repository."""
-    out = scored.join(_flags(ev), "repo", "left")
+    out = salted_join(scored, _flags(ev), ["repo"], how="left")
     told = _count([F.get("mentioned", F.lit(i)) for i in range(len(D.GROUNDING))])
     bad = F.when(F.col("known"), F.size(ungrounded(F.col("mentioned")))).otherwise(0)
     return out.withColumn("n_ungrounded", bad).withColumn("grounding", ratio(told - bad, told)) \
@@ -131,71 +171,104 @@ def claims(docs: DataFrame, ev: DataFrame) -> DataFrame:
     found = F.array_compact(F.array(*[F.when(F.col("text").rlike(term_regex(t)), F.struct(F.lit(t).alias("term"), F.lit(f).alias("flag")))
                                       for t, f in D.GROUNDING]))
     told = docs.select("doc_key", "repo", F.explode(found).alias("r")).select("doc_key", "repo", "r.*")
-    return told.join(unpivot_flags(ev), ["repo", "flag"]).filter("not value").select("doc_key", "term", "flag")
+    return salted_join(told, unpivot_flags(ev).filter("not value"), ["repo", "flag"]).select("doc_key", "term", "flag")
+
+
+def _known_ids(frs: DataFrame) -> DataFrame:
+    return frs.select("repo", "req_id").distinct()
+
+
+def _unknown(ids: DataFrame, frs: DataFrame) -> DataFrame:
+    return salted_join(ids, _known_ids(frs), ["repo", "req_id"], how="left_anti").select("doc_key", "req_id")
 
 
 def phantom_ids(docs: DataFrame, frs: DataFrame) -> DataFrame:
     """FR ids of a document that the repository does not have."""
-    ids = requirement_ids(docs).filter(F.col("req_id").startswith("FR-"))
-    known = frs.select("repo", "req_id").distinct()
-    return ids.join(known, ["repo", "req_id"], "left_anti").select("doc_key", "req_id")
+    return _unknown(docs.select("doc_key", "repo", F.explode(fr_ids(F.col("text"))).alias("req_id")), frs)
 
 
-def score_phantom_ids(docs: DataFrame, frs: DataFrame) -> DataFrame:
-    """One equi join of the ids in the documents with the known ids."""
-    ids = requirement_ids(docs).filter(F.col("req_id").startswith("FR-"))
-    known = frs.select("repo", "req_id").distinct().withColumn("known", F.lit(1))
-    n = ids.join(known, ["repo", "req_id"], "left").groupBy("doc_key").agg(
+def _phantom_scores(ids: DataFrame, frs: DataFrame) -> DataFrame:
+    n = salted_join(ids, _known_ids(frs).withColumn("known", F.lit(1)), ["repo", "req_id"], how="left").groupBy("doc_key").agg(
         F.count("*").alias("n"), F.sum(F.coalesce("known", F.lit(0))).alias("ok"))
     return n.select("doc_key", ratio(F.col("ok"), F.col("n")).alias("phantom_ids"), (F.col("n") - F.col("ok")).alias("n_phantom"))
 
 
-def feature_references(docs: DataFrame, features: DataFrame) -> DataFrame:
-    """(doc_key, name, found) for every feature of a document's repository.
+def score_phantom_ids(docs: DataFrame, frs: DataFrame) -> DataFrame:
+    """One equi join of the ids in the documents with the known ids."""
+    return _phantom_scores(docs.select("doc_key", "repo", F.explode(fr_ids(F.col("text"))).alias("req_id")), frs)
+
+
+def _named(features: DataFrame) -> DataFrame:
+    """Features that have a name, with the form readers see; (repo, ord) identifies one."""
+    return features.filter("name <> ''").select("repo", "name", "ord", display(F.col("name")).alias("shown"))
+
 
-    An equi join on the repository: each feature is looked for in each document of its own
-    repository, which is what the score asks. Usually that is one document.
+def _searched(features: DataFrame) -> DataFrame:
+    """Both forms of every name, as the names to look for."""
+    return _named(features).select(F.explode(F.array("name", "shown")).alias("name"))
+
+
+def found_features(refs: DataFrame, features: DataFrame) -> DataFrame:
+    """(doc_key, ord) of the features of its repository that a document names, in either form."""
+    forms = _named(features).select("repo", "ord", F.explode(F.array_distinct(F.array("name", "shown"))).alias("form"))
+    told = refs.select("doc_key", "repo", F.explode("names").alias("form"))
+    return salted_join(told, forms, ["repo", "form"]).select("doc_key", "ord").distinct()
+
+
+def lacking_features(refs: DataFrame, features: DataFrame) -> DataFrame:
+    """(doc_key, repo, name, shown, ord) of the features that a document does not name.
+
+    Rows of this list are what the caller asked for; there is none for a feature that is named.
     """
-    names = features.filter("name <> ''").select("repo", "name", "ord", display(F.col("name")).alias("shown"))
-    found = F.col("text").contains(F.col("name")) | F.col("text").contains(F.col("shown"))
-    return docs.join(names, "repo").select("doc_key", "repo", "name", "shown", "ord", found.alias("found"))
+    wanted = salted_join(refs.select("doc_key", "repo"), _named(features), ["repo"])
+    return wanted.join(found_features(refs, features), ["doc_key", "ord"], "left_anti").select("doc_key", "repo", "name", "shown", "ord")
 
 
-def id_references(docs: DataFrame, frs: DataFrame) -> DataFrame:
-    """Requirement ids whose text occurs in a document. ``FR-1`` also occurs in ``FR-12``, so
-    every id in the text gives all its shorter forms, and the rest is an equi join."""
-    runs = F.array_distinct(F.regexp_extract_all("text", F.lit(r"FR-(\d+)"), F.lit(1)))
-    forms = F.array_distinct(F.flatten(F.transform(runs, lambda d: F.transform(
-        F.sequence(F.lit(1), F.length(d)), lambda k: F.concat(F.lit("FR-"), F.substring(d, 1, k))))))
-    found = docs.select("doc_key", "repo", F.explode(forms).alias("req_id"))
-    return found.join(frs.select("repo", "req_id").distinct(), ["repo", "req_id"]).select("doc_key", "req_id")
+def found_ids(refs: DataFrame, frs: DataFrame) -> DataFrame:
+    """(doc_key, req_id) of the requirements of its repository whose id a document contains."""
+    told = refs.select("doc_key", "repo", F.explode("id_forms").alias("req_id"))
+    return salted_join(told, _known_ids(frs), ["repo", "req_id"]).select("doc_key", "req_id")
+
+
+def lacking_ids(refs: DataFrame, frs: DataFrame) -> DataFrame:
+    """(doc_key, repo, req_id) of the requirements that a document does not contain."""
+    wanted = salted_join(refs.select("doc_key", "repo"), _known_ids(frs), ["repo"])
+    return wanted.join(found_ids(refs, frs), ["doc_key", "req_id"], "left_anti").select("doc_key", "repo", "req_id")
+
+
+def _missing(refs: DataFrame, features: DataFrame, frs: DataFrame) -> DataFrame:
+    names = lacking_features(refs, features).select("doc_key", F.lit("feature").alias("kind"), F.col("shown").alias("item"))
+    return names.unionByName(lacking_ids(refs, frs).select("doc_key", F.lit("requirement").alias("kind"), F.col("req_id").alias("item")))
 
 
 def missing_references(docs: DataFrame, features: DataFrame, frs: DataFrame) -> DataFrame:
     """Names and ids that a document does not mention."""
-    names = feature_references(docs, features).filter("not found").select("doc_key", F.lit("feature").alias("kind"), F.col("shown").alias("item"))
-    wanted = docs.select("doc_key", "repo").join(frs.select("repo", "req_id").distinct(), "repo")
-    ids = wanted.join(id_references(docs, frs), ["doc_key", "req_id"], "left_anti")
-    return names.unionByName(ids.select("doc_key", F.lit("requirement").alias("kind"), F.col("req_id").alias("item")))
+    return _missing(references(docs, features), features, frs)
 
 
-def score_traceability(docs: DataFrame, features: DataFrame, frs: DataFrame) -> DataFrame:
-    """Share of feature names and requirement ids that the document mentions."""
-    names = feature_references(docs, features).groupBy("doc_key").agg(
-        F.count("*").alias("n"), F.count_if("found").alias("ok"))
-    ids = id_references(docs, frs).groupBy("doc_key").agg(F.count("*").alias("id_ok"))
-    wanted = frs.groupBy("repo").agg(F.count_distinct("req_id").alias("id_n"))
-    out = (docs.select("doc_key", "repo").join(wanted, "repo", "left").join(names, "doc_key", "left")
+def _trace(refs: DataFrame, features: DataFrame, frs: DataFrame) -> DataFrame:
+    """Counts only: what a document names against what its repository has."""
+    names = found_features(refs, features).groupBy("doc_key").agg(F.count("*").alias("ok"))
+    ids = found_ids(refs, frs).groupBy("doc_key").agg(F.count("*").alias("id_ok"))
+    has = _named(features).groupBy("repo").agg(F.count("*").alias("n"))
+    needs = frs.groupBy("repo").agg(F.count_distinct("req_id").alias("id_n"))
+    per_repo = has.join(needs, "repo", "full")
+    out = (salted_join(refs.select("doc_key", "repo"), per_repo, ["repo"], how="left").join(names, "doc_key", "left")
            .join(ids, "doc_key", "left").na.fill(0, ["n", "ok", "id_n", "id_ok"]))
     total, ok = F.col("n") + F.col("id_n"), F.col("ok") + F.col("id_ok")
     return out.select("doc_key", ratio(ok, total).alias("traceability"), (total - ok).alias("n_missing"))
 
 
-def score_document(docs: DataFrame, features: DataFrame, frs: DataFrame, ev: DataFrame) -> DataFrame:
-    """Nine scores, their mean, and whether the document needs a revision."""
-    out = grounding_scores(text_scores(docs), ev)
-    out = out.join(score_traceability(docs, features, frs), "doc_key", "left")
-    out = out.join(score_phantom_ids(docs, frs), "doc_key", "left")
+def score_traceability(docs: DataFrame, features: DataFrame, frs: DataFrame) -> DataFrame:
+    """Share of feature names and requirement ids that the document mentions."""
+    return _trace(references(docs, features), features, frs)
+
+
+def scored(measured: DataFrame, features: DataFrame, frs: DataFrame, ev: DataFrame) -> DataFrame:
+    """Scores of measured documents."""
+    out = grounding_scores(measured.drop("fr_ids", "id_forms", "names", "issues"), ev)
+    out = out.join(_trace(measured, features, frs), "doc_key", "left")
+    out = out.join(_phantom_scores(measured.select("doc_key", "repo", F.explode("fr_ids").alias("req_id")), frs), "doc_key", "left")
     out = out.na.fill(10000, ["phantom_ids", "traceability"]).na.fill(0, ["n_phantom", "n_missing"])
     total = sum((F.col(d) for d in DIMENSIONS), F.lit(0))
     score = F.floor((2 * total + 9) / 18)
@@ -204,34 +277,49 @@ def score_document(docs: DataFrame, features: DataFrame, frs: DataFrame, ev: Dat
                       (score / 10000).alias("score"), revise.alias("needs_revision"))
 
 
-def document_issues(docs: DataFrame, features: DataFrame, frs: DataFrame, ev: DataFrame) -> DataFrame:
-    """Issues as rows (doc_key, dimension, issue), dimension in score order."""
-    text, lower = F.col("text"), F.lower("text")
-    issue = lambda dim, message: F.struct(F.lit(dim).alias("dimension"), message.alias("issue"))
-    lines = lambda rx: _lines_with(text, rx)
+def score_document(docs: DataFrame, features: DataFrame, frs: DataFrame, ev: DataFrame) -> DataFrame:
+    """Nine scores, their mean, and whether the document needs a revision."""
+    return scored(measure(docs, features), features, frs, ev)
+
+
+def _issue(dimension: int, *message) -> Column:
+    return F.struct(F.lit(dimension).alias("dimension"), F.concat(*[F.lit(m) if isinstance(m, str) else m for m in message]).alias("issue"))
+
+
+def _text_issues() -> Column:
+    """Issues that follow from the text alone, over the columns of ``_shared``."""
+    text, lower, T = F.col("text"), F.col("lowered"), D.ISSUE_TEXTS
     first_id = lambda x, rx: F.regexp_extract(x, f"({rx})", 1)
     own = [F.array_compact(F.array(
-        *[F.when(~text.contains(h), issue(1, F.lit(f"Missing required section: '{h}'"))) for h in D.HEADINGS],
-        *[F.when(lower.contains(p), issue(4, F.lit(f"Banned vague phrase found: \"{p}\""))) for p in D.CLARITY]))]
-    own.append(F.transform(F.filter(lines(D.FR_ID), lambda x: ~x.rlike(D.TESTABLE)), lambda x: issue(
-        5, F.concat(first_id(x, D.FR_ID), F.lit(" does not contain a testable verb")))))
-    own.append(F.transform(F.filter(lines(D.NFR_ID), lambda x: x.rlike(D.PLACEHOLDER)), lambda x: issue(
-        6, F.concat(first_id(x, D.NFR_ID), F.lit(" contains a placeholder target")))))
+        *[F.when(~text.contains(h), _issue(1, T["section"][0], h, T["section"][1])) for h in D.HEADINGS],
+        *[F.when(lower.contains(p), _issue(4, T["phrase"][0], p, T["phrase"][1])) for p in D.CLARITY]))]
+    own.append(F.transform(F.filter("fr", lambda x: ~x.rlike(D.TESTABLE)), lambda x: _issue(5, first_id(x, D.FR_ID), T["untestable"])))
+    own.append(F.transform(F.filter("nfr", lambda x: x.rlike(D.PLACEHOLDER)), lambda x: _issue(6, first_id(x, D.NFR_ID), T["placeholder"])))
     points = _stakeholder_points(text)
-    own.append(F.array_compact(F.array(
-        F.when(points == 5000, issue(7, F.lit("Stakeholder section contains no stakeholder entries."))),
-        F.when(points == 6000, issue(7, F.lit("Stakeholder section contains only generic roles."))))))
-    bodies = _bodies(text, F.col("pos"))
-    own.append(F.array_compact(F.array(*[F.when(here & (word_count(b) < (60 if i == 0 else 30)), issue(
-        8, F.concat(F.lit(f"Section '{D.HEADINGS[i][3:]}' has insufficient content ("), word_count(b).cast("string"), F.lit(" words)."))))
-        for i, (here, b) in enumerate(bodies)])))
-    rows = docs.withColumn("pos", heading_positions(text)).select("doc_key", F.explode(F.concat(*own)).alias("i")).select("doc_key", "i.*")
-    trace = missing_references(docs, features, frs).select("doc_key", F.lit(2).alias("dimension"), F.concat(
-        F.when(F.col("kind") == "feature", "Feature '").otherwise("Functional requirement '"), "item", F.lit("' is not referenced.")).alias("issue"))
-    ghosts = phantom_ids(docs, frs).select("doc_key", F.lit(3).alias("dimension"), F.concat(
-        F.lit("Unknown requirement id '"), "req_id", F.lit("'.")).alias("issue"))
-    ground = claims(docs, ev).select("doc_key", F.lit(9).alias("dimension"), F.concat(
-        F.lit("[GROUNDING] '"), "term", F.lit("' is mentioned but '"), "flag", F.lit("' is false.")).alias("issue"))
+    own.append(F.array_compact(F.array(F.when(points == 5000, _issue(7, T["no_stakeholders"])), F.when(points == 6000, _issue(7, T["generic_roles"])))))
+    shallow = []
+    for i, (here, body) in enumerate(_bodies(text, F.col("pos"))):
+        n, least = word_count(body), 60 if i == 0 else 30
+        before, behind = T["summary"] if i == 0 else (T["shallow"][0] + D.HEADINGS[i][3:] + T["shallow"][1], T["shallow"][2])
+        shallow.append(F.when(here & (n < least), _issue(8, before, n.cast("string"), behind)))
+    own.append(F.array_compact(F.array(*shallow)))
+    return F.concat(*own)
+
+
+def document_issues(docs: DataFrame, features: DataFrame, frs: DataFrame, ev: DataFrame) -> DataFrame:
+    """Issues as rows (doc_key, dimension, issue), dimension in score order; the texts are read once."""
+    T = D.ISSUE_TEXTS
+    m = measure(docs, features, issues=True)
+    rows = m.select("doc_key", F.explode("issues").alias("i")).select("doc_key", "i.*")
+    lacking = F.when(F.col("kind") == "feature", _issue(2, T["feature"][0], F.col("item"), T["feature"][1])) \
+        .otherwise(_issue(2, T["requirement"][0], F.col("item"), T["requirement"][1]))
+    trace = _missing(m, features, frs).select("doc_key", lacking.alias("i")).select("doc_key", "i.*")
+    ids = m.select("doc_key", "repo", F.explode("fr_ids").alias("req_id"))
+    ghosts = _unknown(ids, frs).select("doc_key", _issue(3, T["phantom"][0], F.col("req_id"), T["phantom"][1]).alias("i")).select("doc_key", "i.*")
+    told = salted_join(m.select("doc_key", "repo", "mentioned"), _flags(ev), ["repo"])
+    false = F.array_compact(F.array(*[F.when(F.get("mentioned", F.lit(i)) & ~F.col(flag), _issue(9, T["ungrounded"][0] + term + T["ungrounded"][1] + flag + T["ungrounded"][2]))
+                                      for i, (term, flag) in enumerate(D.GROUNDING)]))
+    ground = told.select("doc_key", F.explode(false).alias("i")).select("doc_key", "i.*")
     return rows.unionByName(trace).unionByName(ghosts).unionByName(ground)
 
 

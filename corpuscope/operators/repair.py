@@ -7,6 +7,7 @@ from ..functions.text import contains_any, display
 from ..rules import documents as D
 from ..session import hold
 from . import quality as Q
+from .names import salted_join
 
 
 def clear_phrases(text: Column) -> Column:
@@ -56,7 +57,7 @@ def tidy(text: Column) -> Column:
 
 def _with_bad_terms(docs: DataFrame, ev: DataFrame) -> DataFrame:
     """Documents with the ungrounded terms they mention. Flags join on the repository."""
-    out = docs.withColumn("mentioned", Q.mentions(F.col("text"))).join(Q._flags(ev), "repo", "left")
+    out = salted_join(docs.withColumn("mentioned", Q.mentions(F.col("text"))), Q._flags(ev), ["repo"], how="left")
     bad = F.when(F.col("known"), Q.ungrounded(F.col("mentioned"))).otherwise(F.expr("cast(array() as array<string>)"))
     return out.withColumn("bad", bad).select(*docs.columns, "bad")
 
@@ -77,15 +78,15 @@ def traceability_appendix(docs: DataFrame, features: DataFrame, frs: DataFrame)
     Rows instead of a longer text: their number depends on the features of the repository.
     A missing id is listed on its own unless the row of its missing feature lists it already.
     """
-    lacking = Q.feature_references(docs, features).filter("not found")
+    refs = Q.references(docs, features)
+    lacking = Q.lacking_features(refs, features)
     linked = frs.select("repo", F.col("linked_feature").alias("name"), "req_id", F.col("ord").alias("fr_ord"))
-    with_ids = lacking.join(linked, ["repo", "name"], "left")
+    with_ids = salted_join(lacking, linked, ["repo", "name"], how="left")
     rows = with_ids.groupBy("doc_key", "name", "shown", "ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
         F.when(F.col("req_id").isNotNull(), F.struct("fr_ord", "req_id")))), lambda s: s["req_id"]), ", ").alias("ids"))  # three per feature at most
     named = rows.select("doc_key", F.col("ord").cast("long").alias("ord"), F.concat(
         F.lit("| "), "shown", F.lit(" | "), F.when(F.col("ids") == "", "—").otherwise(F.col("ids")), F.lit(" | — |")).alias("line"))
-    absent = docs.select("doc_key", "repo").join(frs.select("repo", "req_id", "linked_feature", F.col("ord").alias("fr_ord")), "repo") \
-        .join(Q.id_references(docs, frs), ["doc_key", "req_id"], "left_anti")
+    absent = salted_join(Q.lacking_ids(refs, frs), frs.select("repo", "req_id", "linked_feature", F.col("ord").alias("fr_ord")), ["repo", "req_id"])
     listed = with_ids.filter("req_id is not null").select("doc_key", "req_id").distinct()
     alone = absent.join(listed, ["doc_key", "req_id"], "left_anti").select(
         "doc_key", (F.col("fr_ord").cast("long") + 1_000_000_000_000).alias("ord"),

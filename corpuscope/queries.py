@@ -832,7 +832,7 @@ def score_document(t):
 
 @query
 def document_issues(t):
-    return Q.document_issues(t.docs, t.features, t.frs, t.evidence).groupBy("doc_key", "dimension").agg(F.count("*").alias("n"))
+    return Q.document_issues(t.docs, t.features, t.frs, t.evidence)
 
 
 @query

@@ -255,4 +255,19 @@ APPROVAL_LINES = """Signatures below indicate acceptance of the requirements out
 | Product Owner | | | |
 | Engineering Lead | | | |
 | Security / Compliance | | | |""".splitlines()
+# issue texts of a scored document: the parts around what is filled in
+ISSUE_TEXTS = {
+    "section": ("Missing required section: '", "'"),
+    "feature": ("Feature '", "' from input is not referenced in the BRD."),
+    "requirement": ("Functional requirement '", "' from input is not referenced in the BRD."),
+    "phantom": ("BRD references '", "' which is NOT present in the input functional requirements. Potential hallucination."),
+    "phrase": ("Banned vague phrase found in BRD: \"", "\". Replace with a specific, measurable statement."),
+    "untestable": " does not contain a testable verb (SHALL, MUST, validates, returns, etc.). Requirement may not be verifiable.",
+    "placeholder": " contains a placeholder SLA target ('Strict', 'TBD', etc.). Replace with a measurable value (e.g., '99.9% uptime', 'p99 < 200ms').",
+    "no_stakeholders": "Stakeholder section contains no stakeholder entries.",
+    "generic_roles": "Stakeholder section contains only generic roles ('End User', 'Admin'). Stakeholders should be project-specific (e.g., 'Billing Manager', 'Security Officer').",
+    "summary": ("Executive Summary is too shallow (", " words). Should be ≥ 60 words with project-specific content."),
+    "shallow": ("Section '", "' has insufficient content (", " words). Should be ≥ 30 words."),
+    "ungrounded": ("[GROUNDING] BRD mentions '", "' but evidence key '", "' is False. This claim may not be supported by the repository."),
+}
 # ---- end of fixed values --------------------------------------------------------------

@@ -211,11 +211,29 @@ q("score_grounding", "SELECT doc_key, grounding::BIGINT AS grounding, n_unground
 NINE = "completeness traceability phantom_ids clarity testability nfr_specificity stakeholders depth grounding".split()
 cte("nine", "SELECT s.doc_key, s.repo, completeness, coalesce(traceability, 10000) AS traceability, coalesce(phantom_ids, 10000) AS phantom_ids, clarity, testability, nfr_specificity, stakeholders, depth, grounding FROM tscores s LEFT JOIN trace USING (doc_key) LEFT JOIN ghost USING (doc_key) LEFT JOIN ground USING (doc_key)")
 q("score_document", "SELECT doc_key, repo, " + ", ".join(f"{c} / 10000 AS {c}" for c in NINE) + f", sc / 10000 AS score, sc < 8500 OR grounding < 10000 OR phantom_ids < 10000 AS needs_revision FROM (SELECT *, (2 * ({' + '.join(NINE)}) + 9) // 18 AS sc FROM nine)")
-q("document_issues", f"""SELECT doc_key, d::BIGINT AS dimension, sum(n)::BIGINT AS n FROM (
- SELECT doc_key, 1 AS d, 16 - (SELECT count(*) FROM doc_secs s WHERE s.doc_key = docs.doc_key) AS n FROM docs UNION ALL SELECT doc_key, 2, n_missing FROM trace UNION ALL SELECT doc_key, 3, n_phantom FROM ghost
- UNION ALL SELECT doc_key, 4, {' + '.join(f"contains(lower(text), {lit(p)})::INT" for p in D.CLARITY)} FROM docs
- UNION ALL SELECT doc_key, 5, {linesof(D.FR_ID, f' AND NOT regexp_matches(x, {lit(D.TESTABLE)})')} FROM docs UNION ALL SELECT doc_key, 6, {linesof(D.NFR_ID, f' AND regexp_matches(x, {lit(D.PLACEHOLDER)})')} FROM docs
- UNION ALL SELECT doc_key, 7, (stakeholders < 10000)::INT FROM stake UNION ALL SELECT doc_key, 8, (n_words < CASE WHEN section = 1 THEN 60 ELSE 30 END)::INT FROM doc_secs UNION ALL SELECT doc_key, 9, n_ungrounded FROM ground) GROUP BY ALL HAVING sum(n) > 0""")
+IT = D.ISSUE_TEXTS
+
+
+def told_issue(n, *parts):
+    return f"{n}::BIGINT AS dimension, " + " || ".join(lit(x[1:]) if x.startswith("=") else x for x in parts) + " AS issue"
+
+
+def bad_lines(rx, cond):
+    return f"(SELECT doc_key, unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {lit(rx)}) AND {cond})) AS line FROM docs)"
+
+
+PHRASES = "(" + values([(i, p) for i, p in enumerate(D.CLARITY)]) + ") v(i, phrase)"
+q("document_issues", "\nUNION ALL ".join([
+    f"SELECT doc_key, {told_issue(1, '=' + IT['section'][0], 'heading', '=' + IT['section'][1])} FROM docs, heads16 WHERE NOT contains(text, heading)",
+    f"SELECT doc_key, {told_issue(2, '=' + IT['feature'][0], 'shown', '=' + IT['feature'][1])} FROM feat_refs WHERE NOT found",
+    f"SELECT doc_key, {told_issue(2, '=' + IT['requirement'][0], 'req_id', '=' + IT['requirement'][1])} FROM id_refs WHERE NOT found",
+    f"SELECT doc_key, {told_issue(3, '=' + IT['phantom'][0], 'req_id', '=' + IT['phantom'][1])} FROM phantoms",
+    f"SELECT doc_key, {told_issue(4, '=' + IT['phrase'][0], 'phrase', '=' + IT['phrase'][1])} FROM docs, {PHRASES} WHERE contains(lower(text), phrase)",
+    f"SELECT doc_key, {told_issue(5, f'regexp_extract(line, {lit(D.FR_ID)})', '=' + IT['untestable'])} FROM {bad_lines(D.FR_ID, f'NOT regexp_matches(x, {lit(D.TESTABLE)})')}",
+    f"SELECT doc_key, {told_issue(6, f'regexp_extract(line, {lit(D.NFR_ID)})', '=' + IT['placeholder'])} FROM {bad_lines(D.NFR_ID, f'regexp_matches(x, {lit(D.PLACEHOLDER)})')}",
+    f"SELECT doc_key, 7, CASE stakeholders WHEN 5000 THEN {lit(IT['no_stakeholders'])} ELSE {lit(IT['generic_roles'])} END FROM stake WHERE stakeholders < 10000",
+    f"SELECT doc_key, 8, CASE WHEN section = 1 THEN {lit(IT['summary'][0])} || n_words || {lit(IT['summary'][1])} ELSE {lit(IT['shallow'][0])} || heading[4:] || {lit(IT['shallow'][1])} || n_words || {lit(IT['shallow'][2])} END FROM doc_secs WHERE n_words < CASE WHEN section = 1 THEN 60 ELSE 30 END",
+    f"SELECT doc_key, {told_issue(9, '=' + IT['ungrounded'][0], 'term', '=' + IT['ungrounded'][1], 'flag', '=' + IT['ungrounded'][2])} FROM told WHERE NOT value"]))
 
 
 def esc(p):
