@@ -12,13 +12,17 @@ so that whatever shingles are missing, two linked sets share an indexed token or
 the shorter of two prefixes every shingle they share lies in both, more than ``missing`` would
 have to go to break every single and leave at most one of each subclass. Subclasses need a
 certain size for that, so sets below ``SHORT`` index frequent shingles one by one, and sets a
-little above do both. A set needs a shorter prefix towards sets of at least its size, of which it
-can miss fewer shingles: two sets are compared only if their entry lies in that of the smaller.
+little above do both. An entry carries its *rank*, the left side of that sum before it. Two sets
+of known sizes must share ``ceil(3 (|x| + |y|) / 7)`` shingles, so fewer can be missing than towards
+the smallest partner: they are compared only if the rank of their entry is within that number in
+both. What a set has for itself alone comes first in the order, so a set too far from all others
+of its family meets none of them.
 
 Candidates share an entry. An upper bound on the overlap from bitmaps drops most of the others,
-the rest is verified on the whole sets. Entries with many sets do not give all pairs: the first
-set is tested against all others, and only sets of different components go on to the next round,
-with sixteen times as many such hubs. Equal sets are one node throughout.
+the rest is verified on the whole sets. Entries with many sets do not give all pairs: the set
+with the lowest rank, the one with the least of its own, is tested against all others; afterwards only
+sets outside the largest component of their entry meet the sets of other components. Equal sets
+are one node throughout.
 
 Shingles and sets are known by 64-bit hashes. Edge cases: fewer than five words make one shingle;
 no words or null text make an empty set, linked with nothing; a null id has no part in
@@ -31,7 +35,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corpuscope.llm.common import bytes_of, hold, packed, release, whole_rows
 
@@ -39,13 +44,14 @@ from corpuscope.llm.common import bytes_of, hold, packed, release, whole_rows
 CELLS, FREQUENT = 1 << 20, 8
 #: Subclasses of frequent shingles; sets smaller than SHORT index them singly.
 SUBCLASSES, SHORT = 64, 96
-#: Entries with at most so many sets give all their pairs; others work by hubs.
+#: Entries with at most so many sets give all their pairs; others work by a hub.
 FEW = 6
-#: Pairs that wait for the next reading of the texts, which verifies them.
-TOGETHER = 200_000
-#: Index entries per task, texts handled before a task hands on its entries, bits of the filter of needed sets.
-ENTRIES, TEXTS, FILTER_BITS = 1_000_000, 1000, 1 << 24
-SALTS = 32
+#: Index entries per task, texts handled before a task hands on its entries.
+ENTRIES, TEXTS = 1_000_000, 1000
+#: Bits of the filter of needed documents for each of them, and at most; a full filter lets more texts be read into sets.
+BITS_EACH, FILTER_BITS = 16, 1 << 28
+#: Parts of a key that many rows share; sketches of so many tasks are added up together.
+SALTS, PARTS, FAN = 32, 8, 32
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -102,12 +108,12 @@ def can_link(a: bytes, b: bytes, na: int, nb: int) -> bool:
     return 100 * both >= 75 * (na + nb - both)
 
 
-SETS = "doc_id long, n int, set_id long, bits binary, sketch int, cells binary"
+SETS = "doc_id long, n int, set_id long, bits binary, sketch int, part int, cells binary"
 
 
 def read_sets(docs: DataFrame) -> DataFrame:
     """Per document its set's size, id and bitmap; per task the blocks of both count sketches."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("set_id", pa.int64()), ("bits", pa.binary()), ("sketch", pa.int32()), ("cells", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("set_id", pa.int64()), ("bits", pa.binary()), ("sketch", pa.int32()), ("part", pa.int32()), ("cells", pa.binary())])
     block = 1 << 14
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,11 +136,11 @@ def read_sets(docs: DataFrame) -> DataFrame:
                     gathered = []
             if gathered:
                 counts += np.bincount(np.concatenate(gathered), minlength=2 * CELLS).astype(np.uint32)
-            yield packed(out | {"sketch": [None] * len(ids), "cells": [None] * len(ids)}, schema)
+            yield packed(out | {"sketch": [None] * len(ids), "part": [None] * len(ids), "cells": [None] * len(ids)}, schema)
         places = range(0, 2 * CELLS, block)
         none = [None] * len(places)
         yield packed({"doc_id": none, "n": none, "set_id": none, "bits": none, "sketch": [i // block for i in places],
-                      "cells": [counts[i:i + block].tobytes() for i in places]}, schema)
+                      "part": [TaskContext.get().partitionId()] * len(places), "cells": [counts[i:i + block].astype(np.uint64).tobytes() for i in places]}, schema)
 
     return docs.mapInArrow(part, SETS)
 
@@ -145,14 +151,16 @@ def _sketches(held: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     A shingle is as common as its cell exceeds the mean, in half powers of two.
     """
     def add(key: tuple, t: pa.Table) -> pa.Table:
-        total = np.zeros(1 << 14, np.uint64)
-        for c in t.column("cells").to_pylist():
-            total += np.frombuffer(c, np.uint32)
-        return pa.table({"sketch": pa.array([key[0].as_py()], pa.int32()), "cells": pa.array([total.tobytes()], pa.binary())})
-
+        total = np.sum([np.frombuffer(c, np.uint64) for c in t.column("cells").to_pylist()], axis=0)
+        return pa.table({"sketch": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "cells": pa.array([total.tobytes()], pa.binary())})
+
+    rows = held.filter("sketch is not null").select("sketch", "part", "cells")
+    tasks = (rows.agg(F.max("part")).first()[0] or 0) + 1
+    while tasks > 1:  # a tree, so that no group has more than FAN blocks
+        rows = rows.withColumn("part", F.expr(f"cast(part div {FAN} as int)")).groupBy("sketch", "part").applyInArrow(add, "sketch int, part int, cells binary")
+        tasks = -(-tasks // FAN)
     counts = np.zeros(2 * CELLS, np.uint64)
-    rows = held.filter("sketch is not null").select("sketch", "cells").groupBy("sketch").applyInArrow(add, "sketch int, cells binary")
-    for r in rows.collect():
+    for r in rows.collect():  # 16 MB
         counts[r["sketch"] << 14:(r["sketch"] + 1) << 14] = np.frombuffer(bytes(r["cells"]), np.uint64)
     words, shingles = counts[:CELLS], counts[CELLS:]
     level = np.round(4 * np.log2(words.astype(float) + 1)).astype(np.uint8)
@@ -166,19 +174,14 @@ def missing(n: int) -> int:
     return n - (3 * n + 3) // 4
 
 
-def missing_in_larger(n: int) -> int:
-    """How many shingles of a set of n may be absent from a linked set of at least its size."""
-    return n - (6 * n + 6) // 7
-
-
 def entries(shingles: np.ndarray, order: np.ndarray, frequent: np.ndarray, short: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Index entries of a set in global order, and whether each lies in the prefix for larger sets."""
-    need, less = missing(len(shingles)), missing_in_larger(len(shingles))
+    """Index entries of a set in global order, and the rank of each."""
+    need = missing(len(shingles))
     s, f = shingles[order], frequent[order]
-    sub = ((s >> np.uint64(38)) & np.uint64(SUBCLASSES - 1)).astype(np.int64)
     if short or not f.any():
         chosen = s[:need + 1]
-        return (chosen if not short else _mix(chosen ^ np.uint64(0x5555))), np.arange(len(chosen)) <= less
+        return (chosen if not short else _mix(chosen ^ np.uint64(0x5555))), np.arange(len(chosen))
+    sub = ((s >> np.uint64(38)) & np.uint64(SUBCLASSES - 1)).astype(np.int64)
     gains = np.ones(len(s), np.int64)
     first_of: dict[int, int] = {}
     for i in np.flatnonzero(f).tolist():  # the first frequent shingle of a subclass gains nothing
@@ -186,22 +189,23 @@ def entries(shingles: np.ndarray, order: np.ndarray, frequent: np.ndarray, short
             first_of[sub[i]] = i
             gains[i] = 0
     gained = np.cumsum(gains)
-    end, early = (int(np.searchsorted(gained, k + 1)) + 1 for k in (need, less))
+    end = int(np.searchsorted(gained, need + 1)) + 1
+    before = gained - gains
     single = np.flatnonzero(~f[:end])
-    out, flags = [s[single]], [single < early]
+    out, ranks = [s[single]], [before[single]]
     for c in first_of:
         at = np.flatnonzero(f[:end] & (sub[:end] == c))
         if len(at) > 1:
-            at = at[np.argsort(s[at])]
             i, j = np.triu_indices(len(at), 1)
-            out.append(_mix(s[at[i]] * _ODD[1] + s[at[j]] * _ODD[2]))
-            flags.append(np.maximum(at[i], at[j]) < early)
-    return np.concatenate(out), np.concatenate(flags)
+            low, high = np.minimum(s[at[i]], s[at[j]]), np.maximum(s[at[i]], s[at[j]])
+            out.append(_mix(low * _ODD[1] + high * _ODD[2]))
+            ranks.append(before[np.maximum(at[i], at[j])])
+    return np.concatenate(out), np.concatenate(ranks)
 
 
 def index(docs: DataFrame, level: np.ndarray, common: np.ndarray, hot: np.ndarray, buckets: int) -> DataFrame:
-    """Index entries, dealt to buckets by their hash: arrays of (entry, set, twice the size, plus one in the early prefix)."""
-    schema = pa.schema([("bucket", pa.int32()), ("entry", pa.binary()), ("sets", pa.binary()), ("sizes", pa.binary())])
+    """Index entries, dealt to buckets by their hash: arrays of (entry, set, its size, rank of the entry)."""
+    schema = pa.schema([("bucket", pa.int32()), ("entry", pa.binary()), ("sets", pa.binary()), ("sizes", pa.binary()), ("ranks", pa.binary())])
     shared = docs.sparkSession.sparkContext.broadcast((level, common, hot))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +213,7 @@ def index(docs: DataFrame, level: np.ndarray, common: np.ndarray, hot: np.ndarra
         known, seen = _Hashes(), set()
         for b in batches:
             for at in range(0, b.num_rows, TEXTS):
-                found, ids, sizes = [], [], []
+                found, ids, sizes, ranks = [], [], [], []
                 for t in b.column(1).slice(at, TEXTS).to_pylist():
                     w, s = shingle_hashes(t, known)
                     if not len(s):
@@ -229,40 +233,41 @@ def index(docs: DataFrame, level: np.ndarray, common: np.ndarray, hot: np.ndarra
                     if n >= SHORT:
                         e.append(entries(s, order, f, False))
                     found += [x for x, _ in e]
-                    sizes += [(2 * n + early).astype(np.int32) for _, early in e]
+                    sizes += [np.full(len(x), n, np.int32) for x, _ in e]
+                    ranks += [r.astype(np.int32) for _, r in e]
                     ids.append(np.full(sum(len(x) for x, _ in e), key, np.int64))
                 if not found:
                     continue
-                e, i, z = np.concatenate(found), np.concatenate(ids), np.concatenate(sizes)
+                e, i, z, r = np.concatenate(found), np.concatenate(ids), np.concatenate(sizes), np.concatenate(ranks)
                 bucket = (_mix(e) % np.uint64(buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
-                e, i, z = e[order], i[order], z[order]
+                e, i, z, r = e[order], i[order], z[order], r[order]
                 names, starts = np.unique(bucket[order], return_index=True)
                 ends = np.append(starts[1:], len(e))
                 yield packed({"bucket": names, "entry": [e[x:y].tobytes() for x, y in zip(starts, ends)], "sets": [i[x:y].tobytes() for x, y in zip(starts, ends)],
-                              "sizes": [z[x:y].tobytes() for x, y in zip(starts, ends)]}, schema)
+                              "sizes": [z[x:y].tobytes() for x, y in zip(starts, ends)], "ranks": [r[x:y].tobytes() for x, y in zip(starts, ends)]}, schema)
 
-    return docs.mapInArrow(part, "bucket int, entry binary, sets binary, sizes binary")
+    return docs.mapInArrow(part, "bucket int, entry binary, sets binary, sizes binary, ranks binary")
 
 
-def _fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether sizes allow a link and the entry lies in the early prefix of the smaller set (of a, if equal)."""
-    small, large = np.where(a // 2 <= b // 2, a, b), np.where(a // 2 <= b // 2, b, a)
-    return (4 * (small // 2) >= 3 * (large // 2)) & (small % 2 == 1)
+def _fits(a: np.ndarray, ra: np.ndarray, b: np.ndarray, rb: np.ndarray) -> np.ndarray:
+    """Whether sets of sizes a and b can link by an entry of these ranks in them."""
+    need = (3 * (a + b) + 6) // 7
+    return (np.minimum(a, b) >= need) & (ra <= a - need) & (rb <= b - need)
 
 
 def shared_entries(indexed: DataFrame) -> DataFrame:
     """Pairs of sets that share an entry (entry null), and members of entries with many sets (b null)."""
-    schema = pa.schema([("entry", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("size", pa.int32())])
+    schema = pa.schema([("entry", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("size", pa.int32()), ("rank", pa.int32())])
 
     def within(key: tuple, t: pa.Table) -> pa.Table:
         def column(name: str, kind) -> np.ndarray:
             return np.concatenate([np.frombuffer(x, kind) for x in t.column(name).to_pylist()])
-        e, i, z = column("entry", np.uint64), column("sets", np.int64), column("sizes", np.int32)
-        order = np.lexsort((i, e))
-        e, i, z = e[order], i[order], z[order]
-        new = np.append(True, (e[1:] != e[:-1]) | (i[1:] != i[:-1]))
-        e, i, z = e[new], i[new], z[new]
+        e, i, z, k = column("entry", np.uint64), column("sets", np.int64), column("sizes", np.int32), column("ranks", np.int32)
+        order = np.lexsort((k, i, e))
+        e, i, z, k = e[order], i[order], z[order], k[order]
+        new = np.append(True, (e[1:] != e[:-1]) | (i[1:] != i[:-1]))  # the lowest rank of a set in an entry
+        e, i, z, k = e[new], i[new], z[new], k[new]
         starts = np.flatnonzero(np.append(True, e[1:] != e[:-1]))
         counts = np.diff(np.append(starts, len(e)))
         a, b = [], []
@@ -270,7 +275,7 @@ def shared_entries(indexed: DataFrame) -> DataFrame:
             s = starts[counts == m]
             for x in range(m):
                 for y in range(x + 1, m):
-                    ok = _fits(z[s + x], z[s + y])
+                    ok = _fits(z[s + x], k[s + x], z[s + y], k[s + y])
                     a.append(i[s + x][ok])
                     b.append(i[s + y][ok])
         many = counts > FEW
@@ -280,9 +285,9 @@ def shared_entries(indexed: DataFrame) -> DataFrame:
         p, r = len(pairs), len(rows)
         return pa.table([pa.array(np.append(np.zeros(p, np.int64), e[rows].view(np.int64)), mask=np.append(np.ones(p, bool), np.zeros(r, bool))),
                          pa.array(np.append(pairs[:, 0], i[rows])), pa.array(np.append(pairs[:, 1], np.zeros(r, np.int64)), mask=np.append(np.zeros(p, bool), np.ones(r, bool))),
-                         pa.array(np.append(np.zeros(p, np.int32), z[rows]))], schema=schema)
+                         pa.array(np.append(np.zeros(p, np.int32), z[rows])), pa.array(np.append(np.zeros(p, np.int32), k[rows]))], schema=schema)
 
-    return indexed.groupBy("bucket").applyInArrow(within, "entry long, a long, b long, size int")
+    return indexed.groupBy("bucket").applyInArrow(within, "entry long, a long, b long, size int, rank int")
 
 
 def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -301,45 +306,46 @@ def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """(set_id, shingles) of the needed sets.
+    """(set_id, shingles) of the needed sets: ``needed`` has (set_id, doc_id) of one document of each.
 
-    Tasks leave out sets that are not in a Bloom filter of fixed size, before anything is shuffled.
+    Tasks make sets only of documents in a Bloom filter, whose size is bounded.
     """
-    mask = FILTER_BITS - 1
-    words = needed.select(F.explode(F.array(F.col("set_id").bitwiseAND(F.lit(mask)), F.shiftright("set_id", 24).bitwiseAND(F.lit(mask)))).alias("p"))
-    rows = words.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("p").bitwiseAND(F.lit(63)).cast("int"))).alias("v")).collect()
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    for r in rows:
-        bits[r["w"]] = r["v"]
+    count = needed.count()
+    n_bits = min(FILTER_BITS, 1 << max(16, (BITS_EACH * count - 1).bit_length()))
+    mask = n_bits - 1
+    h = F.xxhash64("doc_id")
+    bit = F.explode(F.array(h.bitwiseAND(F.lit(mask)), F.shiftright(h, 32).bitwiseAND(F.lit(mask))))
+    rows = needed.select(bit.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("p").bitwiseAND(F.lit(63)).cast("int"))).alias("v")).toArrow()  # at most FILTER_BITS bits
+    bits = np.zeros(n_bits // 64, np.int64)
+    bits[rows.column("w").to_numpy()] = rows.column("v").to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(bits)
     schema = pa.schema([("set_id", pa.int64()), ("shingles", pa.binary())])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, known, seen = shared.value, _Hashes(), set()
-
-        def wanted(key: int) -> bool:
-            return all((int(bits[p >> 6]) >> (p & 63)) & 1 for p in (key & mask, (key >> 24) & mask))
-
+        bits, known = shared.value, _Hashes()
         for b in batches:
-            for at in range(0, b.num_rows, TEXTS):
+            h = b.column(2).to_numpy()
+            p, q = h & mask, (h >> 32) & mask
+            wanted = ((bits[p >> 6] >> (p & 63)) & (bits[q >> 6] >> (q & 63)) & 1).astype(bool)
+            texts = b.column(1).filter(pa.array(wanted))
+            for at in range(0, len(texts), TEXTS):
                 out: dict[str, list] = {"set_id": [], "shingles": []}
-                for t in b.column(1).slice(at, TEXTS).to_pylist():
+                for t in texts.slice(at, TEXTS).to_pylist():
                     s = np.unique(shingle_hashes(t, known)[1])
                     if len(s):
-                        key = set_id(s)
-                        if key not in seen and wanted(key):
-                            seen.add(key)
-                            out["set_id"].append(key)
-                            out["shingles"].append(s.tobytes())
+                        out["set_id"].append(set_id(s))
+                        out["shingles"].append(s.tobytes())
                 yield packed(out, schema)
 
-    found = docs.mapInArrow(part, "set_id long, shingles binary")
-    return found.join(needed, "set_id", "left_semi").groupBy("set_id").agg(F.first("shingles").alias("shingles"))
+    found = docs.select("doc_id", "text", h.alias("h")).mapInArrow(part, "set_id long, shingles binary")
+    return found.join(needed.select("set_id"), "set_id", "left_semi").groupBy("set_id").agg(F.first("shingles").alias("shingles"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs that link, by the whole sets of the documents."""
-    sets = whole_sets(docs, pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct())
+def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that link, by the whole sets of the documents; ``sets`` names a document of each set."""
+    needed = hold(pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct().join(sets.select("set_id", "doc_id"), "set_id"))
+    sets = whole_sets(docs, needed)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,42 +384,45 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _distinct_entries(members: DataFrame) -> DataFrame:
-    """Members of one entry of each member list: what sets share of a passage gives many alike."""
+    """Members of one entry of each member list, with their lowest ranks: what sets share of a passage gives many alike."""
     lists = members.groupBy("entry").agg(F.bit_xor(F.xxhash64("a", "size")).alias("x"), F.bit_xor(F.xxhash64("size", "a")).alias("y"), F.count("*").alias("n"))
-    first = lists.groupBy("x", "y", "n").agg(F.min("entry").alias("entry")).select("entry")
-    return members.join(first, "entry", "left_semi")
+    named = hold(lists.select("entry", F.xxhash64("x", "y", "n").alias("list")))
+    return members.join(named, "entry").groupBy(F.col("list").alias("entry"), "a").agg(F.first("size").alias("size"), F.min("rank").alias("rank"))
 
 
-def _hub_pairs(members: DataFrame, roots: DataFrame, hubs: int, before: int) -> DataFrame:
-    """Pairs of the hubs numbered before .. hubs of each entry with its other sets of other components."""
-    placed = members.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
-    ranked = placed.groupBy("entry").agg(F.slice(F.array_sort(F.collect_set("a")), before + 1, hubs - before).alias("h"))
-    # only the hubs' own rows are looked up again, and each meets the members of its entry
-    chosen = ranked.select("entry", F.explode("h").alias("a")).join(placed, ["entry", "a"]).select("entry", F.col("a").alias("hub"), F.col("size").alias("hub_size"), F.col("root").alias("hub_root"))
-    half = lambda c: F.shiftright(c, 1)
-    hub_smaller = (half("hub_size") < half("size")) | ((half("hub_size") == half("size")) & (F.col("hub") < F.col("a")))
-    early = F.when(hub_smaller, F.col("hub_size") % 2 == 1).otherwise(F.col("size") % 2 == 1)
-    met = placed.join(chosen, "entry").filter((F.col("a") != F.col("hub")) & (F.col("root") != F.col("hub_root")) & early
-                                              & (4 * F.least(half("size"), half("hub_size")) >= 3 * F.greatest(half("size"), half("hub_size"))))
-    return met.select(F.least("a", "hub").alias("a"), F.greatest("a", "hub").alias("b")).distinct()
+def _meet(n: str, rank: str, other_n: str, other_rank: str) -> Column:
+    """``_fits`` over columns."""
+    need = F.floor((3 * (F.col(n) + F.col(other_n)) + 6) / 7)
+    return (F.least(n, other_n) >= need) & (F.col(rank) <= F.col(n) - need) & (F.col(other_rank) <= F.col(other_n) - need)
 
 
-def _open(members: DataFrame, roots: DataFrame, hubs: int) -> DataFrame:
-    """Members of the entries that still hold several components and more sets than have been hubs."""
-    placed = members.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
-    still = placed.groupBy("entry").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter((F.col("low") != F.col("high")) & (F.col("n") > hubs))
-    return members.join(still.select("entry"), "entry", "left_semi")
+def _dealt(members: DataFrame) -> DataFrame:
+    """Members of an entry in parts, so that an entry of many sets is no single task."""
+    return members.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(PARTS)).cast("int"))
+
+
+def _everywhere(few: DataFrame) -> DataFrame:
+    return few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
 
 
-def _with_links(links: DataFrame, waiting: list[DataFrame], rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The links with those among the waiting pairs, and their components; empties the list."""
-    pairs = waiting[0]
-    for more in waiting[1:]:
-        pairs = pairs.union(more)
-    links = links.union(hold(verified(pairs.distinct(), rows)))
-    release(*waiting)
-    waiting.clear()
-    return links, components(links)
+def _hub_pairs(members: DataFrame) -> DataFrame:
+    """Pairs of the set of the lowest rank of each entry with its other sets."""
+    hubs = members.groupBy("entry").agg(F.min(F.struct("rank", "size", "a")).alias("h")).select(
+        "entry", F.col("h.a").alias("hub"), F.col("h.size").alias("hub_size"), F.col("h.rank").alias("hub_rank"))
+    met = _dealt(members).join(_everywhere(hubs), ["entry", "salt"]).filter((F.col("a") != F.col("hub")) & _meet("size", "rank", "hub_size", "hub_rank"))
+    return met.select(F.least("a", "hub").alias("a"), F.greatest("a", "hub").alias("b")).distinct()
+
+
+def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of each entry's sets outside its largest component with its sets of other components."""
+    placed = members.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+    counts = placed.groupBy("entry", "root").agg(F.count("*").alias("k"))
+    largest = counts.groupBy("entry").agg(F.max(F.struct("k", "root")).alias("m"), F.count("*").alias("roots")).filter("roots > 1").select(
+        "entry", F.col("m.root").alias("main"))
+    still = hold(placed.join(largest, "entry"))  # members of entries that are not one component
+    few = still.filter("root != main").select("entry", F.col("a").alias("b"), F.col("size").alias("b_size"), F.col("rank").alias("b_rank"), F.col("root").alias("b_root"))
+    met = _dealt(still.select("entry", "a", "size", "rank", "root")).join(_everywhere(few), ["entry", "salt"]).filter((F.col("root") != F.col("b_root")) & _meet("size", "rank", "b_size", "b_rank"))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def links_and_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -424,30 +433,16 @@ def links_and_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     level, common, hot = _sketches(read)
     total = per_doc.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     found = hold(shared_entries(index(rows, level, common, hot, max(12, int(0.3 * total) // ENTRIES + 1))))
-    sets = per_doc.filter("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    members = hold(_distinct_entries(found.filter("b is null").select("entry", "a", "size")))
-    first = found.filter("b is not null").select("a", "b").distinct()
-    empty = first.limit(0).select(F.col("a").alias("node"), F.col("b").alias("root"))
-    some = hold(_bounded(first.union(_hub_pairs(members, empty, 1, 0)).distinct(), sets))
-    links = hold(verified(some, rows))
-    release(some)
+    sets = per_doc.filter("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("doc_id").alias("doc_id"))
+    members = hold(_distinct_entries(found.filter("b is null").select("entry", "a", "size", "rank")))
+    first = hold(_bounded(found.filter("b is not null").select("a", "b").union(_hub_pairs(members)).distinct(), sets))
+    links = hold(verified(first, rows, sets))
     roots = components(links)
-    before, hubs, waiting, n_waiting = 1, 16, [], 0
-    still = hold(_open(members, roots, before))
-    release(members)
-    members = still
-    while members.head(1):
-        waiting.append(hold(_bounded(_hub_pairs(members, roots, hubs, before), sets)))
-        n_waiting += waiting[-1].count()
-        if n_waiting > TOGETHER:  # so many links could change what is still open
-            links, roots = _with_links(links, waiting, rows)
-            n_waiting = 0
-        left = hold(_open(members, roots, hubs))
-        release(members)
-        members, before, hubs = left, hubs, 16 * hubs
-    if n_waiting:
-        links, roots = _with_links(links, waiting, rows)
-    release(found, members)
+    rest = hold(_bounded(_apart(members, roots), sets))
+    if rest.head(1):
+        links = links.union(hold(verified(rest, rows, sets)))
+        roots = components(links)
+    release(found, members, first, rest)
     return per_doc.select("doc_id", "n", "set_id"), roots
 
 

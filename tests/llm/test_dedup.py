@@ -106,11 +106,39 @@ def test_index_shares_an_entry():
             e = [ngram_join.entries(s, np.lexsort((s, f)), f, True)] if 3 * len(s) < 4 * ngram_join.SHORT else []
             if len(s) >= ngram_join.SHORT:
                 e.append(ngram_join.entries(s, np.lexsort((s, f)), f, False))
-            sides.append((np.concatenate([a for a, _ in e]), np.concatenate([b for _, b in e])))
-        if len(x) > len(y):
-            sides.reverse()
-        (small, early), (large, _) = sides
-        assert len(np.intersect1d(small[early], large))
+            sides.append(list(zip(np.concatenate([a for a, _ in e]).tolist(), np.concatenate([b for _, b in e]).tolist())))
+        lowest = [{}, {}]
+        for own, low in zip(sides, lowest):
+            for entry, rank in own:
+                low[entry] = min(rank, low.get(entry, rank))
+        both = [k for k in lowest[0] if k in lowest[1]]
+        fits = ngram_join._fits(np.full(len(both), len(x)), np.array([lowest[0][k] for k in both]), np.full(len(both), len(y)), np.array([lowest[1][k] for k in both]))
+        assert fits.any()
+
+
+def family(rng, n, size, change):
+    """Sets that share a base of which each replaces a share by shingles of its own."""
+    base = rng.integers(0, 2**63, size)
+    return [np.unique(np.where(rng.random(size) < change, rng.integers(0, 2**63, size), base).astype(np.uint64)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("change, share", [(.2, 0), (.25, 0), (.4, 0)])
+def test_far_families_do_not_meet(change, share):
+    """Sets of a family that are far from each other share entries, but at ranks that rule a link out."""
+    sets = family(np.random.default_rng(5), 40, 400, change)
+    count = Counter(v for s in sets for v in s.tolist())
+    met = 0
+    entries = []
+    for s in sets:
+        common = np.array([count[v] > 1 for v in s.tolist()])
+        e, r = ngram_join.entries(s, np.lexsort((s, common)), np.zeros(len(s), bool), False)
+        entries.append(dict(zip(e.tolist(), r.tolist())))
+    for i in range(40):
+        for j in range(i):
+            both = [k for k in entries[i] if k in entries[j]]
+            n = len(both)
+            met += bool(ngram_join._fits(np.full(n, len(sets[i])), np.array([entries[i][k] for k in both]), np.full(n, len(sets[j])), np.array([entries[j][k] for k in both])).any()) if n else 0
+    assert met <= share * 780
 
 
 def brute_cut(rows, length):
