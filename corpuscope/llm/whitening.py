@@ -156,7 +156,7 @@ def tree_sum(parts: DataFrame, tasks: int, size: int) -> np.ndarray:
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "values": pa.array([total.tobytes()], pa.binary())})
 
     while tasks > fan:
-        parts = parts.groupBy(F.expr(f"cast(part div {fan} as int)").alias("part")).applyInArrow(add, "part int, values binary")
+        parts = parts.withColumn("part", F.expr(f"cast(part div {fan} as int)")).groupBy("part").applyInArrow(add, "part int, values binary")
         tasks = -(-tasks // fan)
     return np.sum([np.zeros(size, np.int64), *(np.frombuffer(bytes(r["values"]), np.int64) for r in parts.select("values").collect())], axis=0)
 

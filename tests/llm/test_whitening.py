@@ -48,6 +48,15 @@ def test_a_third_of_copies_counts_once(spark):
     assert len(got) == 3 * 70 and got[0]["n"] == 41 and max(r["component"] for r in got) == 3
 
 
+def test_many_tasks_are_added_up_in_a_tree(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, rng.normal(size=5).tolist()) for i in range(300)], "vec_id long, embedding array<double>")
+    whole = {(r["vec_id"], r["component"]): tuple(r) for r in whitening.whiten(df).collect()}
+    monkeypatch.setattr(whitening, "HELD", 1)
+    got = {(r["vec_id"], r["component"]): r for r in whitening.whiten(df.repartition(16)).collect()}
+    assert got.keys() == whole.keys() and all(got[k]["deviation"] == whole[k][3] and abs(abs(got[k]["whitened"]) - abs(whole[k][4])) < 1e-12 for k in got)
+
+
 def test_nothing_and_no_variance(spark):
     schema = "vec_id long, embedding array<float>"
     assert whitening.whiten(spark.createDataFrame([], schema)).count() == 0
