@@ -20,8 +20,9 @@ of its family meets none of them.
 
 Candidates share an entry. An upper bound on the overlap from bitmaps drops most of the others,
 the rest is verified on the whole sets. Entries with many sets do not give all pairs: the set
-with the lowest rank, the one with the least of its own, is tested against all others; afterwards only
-sets outside the largest component of their entry meet the sets of other components. Equal sets
+with the lowest rank, the one with the least of its own, is tested against all others, then two
+more hubs against those not yet linked; afterwards only sets outside the largest component of
+their entry meet the sets of other components. Equal sets
 are one node throughout.
 
 Shingles and sets are known by 64-bit hashes. Edge cases: fewer than five words make one shingle;
@@ -405,23 +406,33 @@ def _everywhere(few: DataFrame) -> DataFrame:
     return few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
 
 
-def _hub_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of the set of the lowest rank of each entry with its other sets."""
-    hubs = members.groupBy("entry").agg(F.min(F.struct("rank", "size", "a")).alias("h")).select(
-        "entry", F.col("h.a").alias("hub"), F.col("h.size").alias("hub_size"), F.col("h.rank").alias("hub_rank"))
-    met = _dealt(members).join(_everywhere(hubs), ["entry", "salt"]).filter((F.col("a") != F.col("hub")) & _meet("size", "rank", "hub_size", "hub_rank"))
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members, with their component, of the entries that hold several components."""
+    placed = members.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+    still = placed.groupBy("entry").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("entry")
+    return placed.join(still, "entry", "left_semi").select("entry", "a", "size", "rank", "root")
+
+
+#: What the hub of an entry has the least of, round by round: first its rank, then a hash, so that entries of
+#: the same sets have the same hub, and any set of a family is as likely as another.
+HUBS = [lambda: F.struct("rank", -F.col("size"), "a"), lambda: F.struct(F.xxhash64("a"), "rank", "a"), lambda: F.struct(F.xxhash64("a", F.lit(7)), "rank", "a")]
+
+
+def _hub_pairs(members: DataFrame, least: Column) -> DataFrame:
+    """Pairs of the hub of each entry with its sets of other components."""
+    hubs = members.groupBy("entry").agg(F.min_by(F.struct("a", "size", "rank", "root"), least).alias("h")).select(
+        "entry", F.col("h.a").alias("hub"), F.col("h.size").alias("hub_size"), F.col("h.rank").alias("hub_rank"), F.col("h.root").alias("hub_root"))
+    met = _dealt(members).join(_everywhere(hubs), ["entry", "salt"]).filter((F.col("root") != F.col("hub_root")) & _meet("size", "rank", "hub_size", "hub_rank"))
     return met.select(F.least("a", "hub").alias("a"), F.greatest("a", "hub").alias("b")).distinct()
 
 
-def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
+def _apart(members: DataFrame) -> DataFrame:
     """Pairs of each entry's sets outside its largest component with its sets of other components."""
-    placed = members.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
-    counts = placed.groupBy("entry", "root").agg(F.count("*").alias("k"))
-    largest = counts.groupBy("entry").agg(F.max(F.struct("k", "root")).alias("m"), F.count("*").alias("roots")).filter("roots > 1").select(
-        "entry", F.col("m.root").alias("main"))
-    still = hold(placed.join(largest, "entry"))  # members of entries that are not one component
-    few = still.filter("root != main").select("entry", F.col("a").alias("b"), F.col("size").alias("b_size"), F.col("rank").alias("b_rank"), F.col("root").alias("b_root"))
-    met = _dealt(still.select("entry", "a", "size", "rank", "root")).join(_everywhere(few), ["entry", "salt"]).filter((F.col("root") != F.col("b_root")) & _meet("size", "rank", "b_size", "b_rank"))
+    counts = members.groupBy("entry", "root").agg(F.count("*").alias("k"))
+    largest = counts.groupBy("entry").agg(F.max(F.struct("k", "root")).alias("m")).select("entry", F.col("m.root").alias("main"))
+    few = members.join(largest, "entry").filter("root != main").select(
+        "entry", F.col("a").alias("b"), F.col("size").alias("b_size"), F.col("rank").alias("b_rank"), F.col("root").alias("b_root"))
+    met = _dealt(members).join(_everywhere(few), ["entry", "salt"]).filter((F.col("root") != F.col("b_root")) & _meet("size", "rank", "b_size", "b_rank"))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -435,14 +446,25 @@ def links_and_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     found = hold(shared_entries(index(rows, level, common, hot, max(12, int(0.3 * total) // ENTRIES + 1))))
     sets = per_doc.filter("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("doc_id").alias("doc_id"))
     members = hold(_distinct_entries(found.filter("b is null").select("entry", "a", "size", "rank")))
-    first = hold(_bounded(found.filter("b is not null").select("a", "b").union(_hub_pairs(members)).distinct(), sets))
-    links = hold(verified(first, rows, sets))
-    roots = components(links)
-    rest = hold(_bounded(_apart(members, roots), sets))
-    if rest.head(1):
-        links = links.union(hold(verified(rest, rows, sets)))
-        roots = components(links)
-    release(found, members, first, rest)
+    links = roots = None
+    still = members.withColumn("root", F.col("a"))
+    for step in [*HUBS, None]:
+        pairs = _apart(still) if step is None else _hub_pairs(still, step())
+        if links is None:
+            pairs = pairs.union(found.filter("b is not null").select("a", "b")).distinct()
+        some = hold(_bounded(pairs, sets))
+        if links is None or some.head(1):
+            more = hold(verified(some, rows, sets))
+            links = more if links is None else links.union(more)
+            roots = components(links)
+        release(some)
+        if step is not None:
+            left = hold(_open(members, roots))
+            release(still)
+            still = left
+            if not still.head(1):
+                break
+    release(found, members, still)
     return per_doc.select("doc_id", "n", "set_id"), roots
 
 
