@@ -16,6 +16,7 @@ from ..rules import packs as P, signals as S
 from ..session import hold
 from .chunks import chunk_array
 from .classify import negative_path
+from .names import salted_join, with_names
 from .numbering import number_rows, top_k, with_ids
 
 
@@ -64,65 +65,50 @@ def contains_join(hay: DataFrame, hay_col: str, needles: DataFrame, needle_col:
     return h.join(n, [*keys, "_piece"]).filter(F.col(hay_col).contains(F.col(needle_col))).drop("_piece")
 
 
-def file_words(classified: DataFrame, head: int = 500, limit: int = S.CHUNK_CHARS) -> DataFrame:
-    """Distinct lower-case words of a path and of the first characters of each of its chunks."""
-    heads = F.transform(chunk_array(F.col("content"), limit), lambda c: F.substring(F.lower(c), 1, head))
-    words = F.array_distinct(F.filter(F.flatten(F.transform(
-        F.concat(F.array(F.lower("path")), heads), lambda t: F.split(t, r"\s+"))), lambda w: F.length(w) >= 3))
-    return classified.select("repo", "path", F.explode(words).alias("word"))
-
-
 def feature_keywords(features: DataFrame) -> DataFrame:
     """Distinct keywords (three letters or more) of a feature name."""
     kws = F.array_distinct(F.filter(F.split(feature_key(F.col("name")), "_"), lambda k: F.length(k) >= 3))
     return features.select("repo", "feature_id", F.explode(kws).alias("keyword"))
 
 
-def feature_file_counts(features: DataFrame, classified: DataFrame, shared_limit: int = 64) -> DataFrame:
+def file_keywords(features: DataFrame, classified: DataFrame, head: int | None = None, limit: int = S.CHUNK_CHARS) -> DataFrame:
+    """(repo, path, neg, keywords) of the files that hold a keyword of a feature of their repository.
+
+    The keywords of all features are looked for in the lower-case path and content by one
+    automaton, in the row of the file; ``head`` looks only at the first characters of each chunk.
+    """
+    content = F.lower("content") if head is None else F.array_join(
+        F.transform(chunk_array(F.col("content"), limit), lambda c: F.substring(F.lower(c), 1, head)), "\n")
+    text = F.concat_ws("\n", F.lower("path"), content)
+    own = feature_keywords(features).select("repo", "keyword").distinct()
+    files = classified.select("repo", "path", negative_path(F.lower("path")).cast("int").alias("neg"), text.alias("text"))
+    told = with_names(files, own.select(F.col("keyword").alias("name")), key=["repo", "path"], out="told")
+    rows = told.select("repo", "path", "neg", F.explode("told").alias("keyword"))
+    kept = salted_join(rows, own, ["repo", "keyword"], key="path")
+    return kept.groupBy("repo", "path", "neg").agg(F.array_sort(F.collect_set("keyword")).alias("keywords"))
+
+
+def feature_file_counts(features: DataFrame, classified: DataFrame, head: int | None = None) -> DataFrame:
     """D3: files that mention a feature, and how many of them look like tests.
 
-    Keywords are matched once against the distinct words of a repository and come back to
-    files by equi joins. A keyword that more than ``shared_limit`` features of a repository
-    share would pair all of them with all its files; such keywords are counted by file group
-    instead: files are grouped by the set of shared keywords they hold, and a feature adds up
-    the groups its own shared keywords touch. Both parts together count every file once.
+    A word like ``service`` is shared by many features and many files, so the two are never paired:
+    files count by the set of keywords they hold, features by the set they ask for, and only
+    different sets meet, by an equi join on their keywords that is salted by the set of the files.
+    A set of files counts once for a feature, whatever number of keywords they share.
     """
-    kws = feature_keywords(features)
-    words = file_words(classified)
-    use = kws.groupBy("repo", "keyword").agg((F.count("*") > shared_limit).alias("shared"))
-    vocabulary = words.select("repo", "word").distinct()
-    matched = contains_join(vocabulary, "word", use, "keyword", ["repo"], shortest=3).select("repo", "word", "keyword", "shared")
-    per_file = hold(words.join(matched, ["repo", "word"]).select("repo", "path", "keyword", "shared").distinct()
-                    .withColumn("neg", negative_path(F.lower("path")).cast("int")))
-
-    # keywords few features share: plain pairs
-    own = kws.join(use.filter("not shared"), ["repo", "keyword"]).select("repo", "feature_id", "keyword")
-    pairs = per_file.filter("not shared").join(own, ["repo", "keyword"]) \
-        .select("repo", "feature_id", "path", "neg").distinct()
-
-    # keywords many features share: sets of them per file and per feature
-    as_set = F.array_sort(F.collect_set("keyword"))  # distinct keywords of one file or one feature
-    file_sets = per_file.filter("shared").groupBy("repo", "path", "neg").agg(as_set.alias("kset"))
-    groups = file_sets.groupBy("repo", "kset").agg(F.count("*").alias("n"), F.sum("neg").alias("n_neg"))
-    feature_sets = kws.join(use.filter("shared"), ["repo", "keyword"]).groupBy("repo", "feature_id").agg(as_set.alias("fset"))
-    touched = (feature_sets.select("repo", "fset").distinct().select("repo", "fset", F.explode("fset").alias("keyword"))
-               .join(groups.select("repo", "kset", "n", "n_neg", F.explode("kset").alias("keyword")), ["repo", "keyword"])
-               .select("repo", "fset", "kset", "n", "n_neg").distinct())
-    by_set = touched.groupBy("repo", "fset").agg(F.sum("n").alias("n"), F.sum("n_neg").alias("n_neg"))
-    shared_part = feature_sets.join(by_set, ["repo", "fset"]).select("repo", "feature_id", "n", "n_neg")
-
-    # own pairs whose file is already counted through a shared keyword do not count again
-    fresh = (pairs.join(file_sets.select("repo", "path", "kset"), ["repo", "path"], "left")
-             .join(feature_sets, ["repo", "feature_id"], "left")
-             .filter(~F.coalesce(F.arrays_overlap("kset", "fset"), F.lit(False))))
-    own_part = fresh.groupBy("repo", "feature_id").agg(F.count("*").alias("n"), F.sum("neg").alias("n_neg"))
-    return shared_part.unionByName(own_part).groupBy("repo", "feature_id").agg(
-        F.sum("n").alias("n_files"), F.sum("n_neg").alias("n_negative"))
-
-
-def calibrate_confidence(features: DataFrame, sources: DataFrame, classified: DataFrame, shared_limit: int = 64) -> DataFrame:
+    found = file_keywords(features, classified, head)
+    held = hold(found.groupBy("repo", "keywords").agg(F.count("*").alias("n"), F.sum("neg").alias("n_neg")))
+    asked = feature_keywords(features).groupBy("repo", "feature_id").agg(F.array_sort(F.collect_set("keyword")).alias("asked"))  # keywords of one name
+    sets = asked.select("repo", "asked").distinct()
+    groups = held.select("repo", "keywords", "n", "n_neg", F.explode("keywords").alias("keyword"))
+    met = salted_join(groups, sets.select("repo", "asked", F.explode("asked").alias("keyword")), ["repo", "keyword"], key="keywords")
+    counts = met.select("repo", "asked", "keywords", "n", "n_neg").distinct().groupBy("repo", "asked").agg(F.sum("n").alias("n_files"), F.sum("n_neg").alias("n_negative"))
+    return asked.join(counts, ["repo", "asked"]).select("repo", "feature_id", "n_files", "n_negative")
+
+
+def calibrate_confidence(features: DataFrame, sources: DataFrame, classified: DataFrame, head: int | None = None) -> DataFrame:
     """Confidence by presence in files and by how much of the evidence is tests or mocks."""
-    counts = feature_file_counts(features, classified, shared_limit)
+    counts = feature_file_counts(features, classified, head)
     per_source = sources.groupBy("repo", "feature_id").agg(
         F.count("*").alias("n_src"), F.count_if(negative_path(F.col("source"))).alias("n_src_neg"))
     out = features.join(counts, ["repo", "feature_id"], "left").join(per_source, ["repo", "feature_id"], "left") \
@@ -206,43 +192,63 @@ def merge_skill_features(features: DataFrame, extra: DataFrame) -> DataFrame:
 
 # ---- interpretation -------------------------------------------------------------------
 
-def signal_modules(signals: DataFrame, signal_files: DataFrame, module_files: DataFrame) -> DataFrame:
-    """Modules that hold a file of the signal, or whose name contains the signal's name."""
-    plain = lambda c: F.replace(F.lower(c), F.lit("_"), F.lit(" "))
+def module_matches(signals: DataFrame, signal_files: DataFrame, module_files: DataFrame) -> DataFrame:
+    """(repo, signal_id, module, by, via): every file or name by which a module answers to a signal."""
+    plain = lambda c: F.replace(F.lower(c), F.lit("_"), F.lit(" "))
     by_file = signal_files.join(module_files.select("repo", "path", F.col("name").alias("module")), ["repo", "path"]) \
-        .select("repo", "signal_id", "module")
+        .select("repo", "signal_id", "module", F.lit("file").alias("by"), F.col("path").alias("via"))
     names = module_files.select("repo", F.col("name").alias("module")).distinct().withColumn("hay", plain("module"))
-    needles = signals.select("repo", "signal_id", plain("name").alias("needle"))
-    by_name = contains_join(names, "hay", needles, "needle", ["repo"]).select("repo", "signal_id", "module")
-    return by_file.unionByName(by_name).distinct()
+    needles = signals.select("repo", "signal_id", plain("name").alias("needle"), F.col("name").alias("via"))
+    by_name = contains_join(names, "hay", needles, "needle", ["repo"]).select("repo", "signal_id", "module", F.lit("name").alias("by"), "via")
+    return by_file.unionByName(by_name)
+
+
+def signal_modules(signals: DataFrame, signal_files: DataFrame, module_files: DataFrame) -> DataFrame:
+    """Modules that hold a file of the signal, or whose name contains the signal's name."""
+    return module_matches(signals, signal_files, module_files).select("repo", "signal_id", "module").distinct()
+
+
+def pool_matches(signals: DataFrame, pool: DataFrame) -> DataFrame:
+    """(repo, signal_id, item, via): pool items that the name or the description of a signal mentions.
+
+    Items are looked up by their first characters among the pieces of these short texts, so
+    signals and items are not paired.
+    """
+    items = pool.select("repo", "item", F.lower("item").alias("needle")).distinct()
+    told = [contains_join(signals.select("repo", "signal_id", F.lower(where).alias("hay")), "hay", items, "needle", ["repo"])
+            .select("repo", "signal_id", "item", F.lit(where).alias("via")) for where in ("name", "description")]
+    return told[0].unionByName(told[1])
+
+
+def interpretation_evidence(signals: DataFrame, signal_files: DataFrame, module_files: DataFrame, pool: DataFrame) -> DataFrame:
+    """(repo, feature_id, signal_id, kind, item, by, via): what each interpreted feature rests on, and why.
+
+    ``kind`` is a file of the signal, a module or an item of the pool; a module has a row for every
+    file it shares with the signal and one if its name holds the signal's. Ids count all signals of
+    a repository, so a feature keeps its id when another one finds evidence.
+    """
+    own = signal_files.select("repo", "signal_id", F.lit("file").alias("kind"), F.col("path").alias("item"), F.lit("signal").alias("by"), F.col("path").alias("via"))
+    modules = module_matches(signals, signal_files, module_files).select("repo", "signal_id", F.lit("module").alias("kind"), F.col("module").alias("item"), "by", "via")
+    pooled = pool_matches(signals, pool).select("repo", "signal_id", F.lit("pool").alias("kind"), "item", F.lit("mention").alias("by"), "via")
+    ids = with_ids(signals.select("repo", "signal_id"), ["repo"], ["signal_id"], "feat-int-", 3, "feature_id").select("repo", "signal_id", "feature_id")
+    return own.unionByName(modules).unionByName(pooled).distinct().join(ids, ["repo", "signal_id"]).select(
+        "repo", "feature_id", "signal_id", "kind", "item", "by", "via")
 
 
 def interpret_features(signals: DataFrame, signal_files: DataFrame, module_files: DataFrame, pool: DataFrame) -> DataFrame:
     """Signals with evidence become features; weak evidence lowers the confidence.
 
     ``pool`` holds (repo, item): entry points, technologies and the system type. Its items
-    count when the name or the description mentions them.
+    count when the name or the description mentions them. The evidence itself is rows of
+    ``interpretation_evidence``; here it is counted.
     """
-    matched = signal_modules(signals, signal_files, module_files)
-    text = F.lower(F.concat("name", F.lit("\n"), "description"))
-    hay = signals.select("repo", "signal_id", F.explode(F.array_distinct(F.filter(F.split(text, r"\s+"), lambda w: w != ""))).alias("word"))
-    words = hay.select("repo", "word").distinct()
-    items = pool.select("repo", "item", F.lower("item").alias("needle")).distinct()
-    one_word = items.filter(~F.col("needle").contains(" "))
-    pooled = contains_join(words, "word", one_word, "needle", ["repo"]).join(hay, ["repo", "word"]).select("repo", "signal_id", "item")
-    # an item of several words is looked up by its first word's pieces in the whole text
-    phrases = items.filter(F.col("needle").contains(" "))
-    phrased = contains_join(signals.select("repo", "signal_id", text.alias("text")), "text", phrases, "needle", ["repo"]) \
-        .select("repo", "signal_id", "item")
-    facts = (signal_files.select("repo", "signal_id", F.col("path").alias("fact"))
-             .unionByName(matched.select("repo", "signal_id", F.col("module").alias("fact")))
-             .unionByName(pooled.unionByName(phrased).select("repo", "signal_id", F.col("item").alias("fact")))).distinct()
-    n_facts = facts.groupBy("repo", "signal_id").agg(F.count("*").alias("n_evidence"))
-    n_modules = matched.groupBy("repo", "signal_id").agg(F.count("*").alias("n_modules"))
-    out = signals.join(n_facts, ["repo", "signal_id"]).join(n_modules, ["repo", "signal_id"], "left").na.fill(0, ["n_modules"])
+    rows = interpretation_evidence(signals, signal_files, module_files, pool)
+    facts = rows.groupBy("repo", "signal_id", "feature_id").agg(
+        F.count_distinct("item").alias("n_evidence"), F.count_distinct(F.when(F.col("kind") == "module", F.col("item"))).alias("n_modules"))
+    out = signals.join(facts, ["repo", "signal_id"])
     tenths = F.when(F.col("n_modules") == 0, 7).when(F.col("n_evidence") == 1, 9).otherwise(10)
     conf = F.greatest(F.lit(10), F.least(F.lit(100), F.floor((F.col("conf") * tenths + 5) / 10))).cast("int")
-    return out.select("repo", "signal_id", "name", "description", conf.alias("conf"), "n_evidence", "n_modules")
+    return out.select("repo", "feature_id", "signal_id", "name", "description", conf.alias("conf"), "n_evidence", "n_modules")
 
 
 # ---- product and business views ----------------------------------------------------------

@@ -59,22 +59,23 @@ def _matched(docs: DataFrame, block: DataFrame, text: str, out: str) -> DataFram
     return docs.select(text, *[f.name for f in kept]).mapInArrow(part, schema)
 
 
-def with_names(docs: DataFrame, names: DataFrame, text: str = "text", out: str = "names", key: str = "doc_key", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def with_names(docs: DataFrame, names: DataFrame, text: str = "text", out: str = "names", key: str | list[str] = "doc_key", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without their text, but with the array of the names that occur in it.
 
-    ``names`` has a column ``name``. A null text holds no name. ``key`` identifies a document; it is
-    used only where the names need several readings.
+    ``names`` has a column ``name``. A null text holds no name. ``key`` names the columns that
+    identify a document; they are used only where the names need several readings.
     """
+    keys = [key] if isinstance(key, str) else key
     first, *more = name_blocks(names, block_bytes)
     found = _matched(docs, first, text, out)
     if not more:
         return found
     others = None
     for block in more:
-        hits = hold(_matched(docs.select(key, text), block, text, "_more_names").filter(F.size("_more_names") > 0))
+        hits = hold(_matched(docs.select(*keys, text), block, text, "_more_names").filter(F.size("_more_names") > 0))
         others = hits if others is None else others.unionByName(hits)
-    lists = others.groupBy(key).agg(F.flatten(F.collect_list("_more_names")).alias("_more_names"))  # one row for each block
-    return found.join(lists, key, "left").withColumn(out, F.concat(out, F.coalesce("_more_names", F.array().cast("array<string>")))).drop("_more_names")
+    lists = others.groupBy(*keys).agg(F.flatten(F.collect_list("_more_names")).alias("_more_names"))  # one row for each block
+    return found.join(lists, keys, "left").withColumn(out, F.concat(out, F.coalesce("_more_names", F.array().cast("array<string>")))).drop("_more_names")
 
 
 def salted_join(rows: DataFrame, table: DataFrame, on: list[str], key: str = "doc_key", how: str = "inner") -> DataFrame:

@@ -7,6 +7,7 @@ from ..functions.text import contains_any, display
 from ..rules import documents as D
 from ..session import hold
 from . import quality as Q
+from .chunks import bound
 from .names import salted_join
 
 
@@ -94,6 +95,72 @@ def traceability_appendix(docs: DataFrame, features: DataFrame, frs: DataFrame)
     return named.unionByName(alone)
 
 
+# ---- the revision log --------------------------------------------------------------------
+
+EDIT = "array<struct<step:int,kind:string,n:int,at:int,old:string,new:string>>"
+
+
+def _steps() -> list[tuple]:
+    """(kind, condition or None, regex, replacement) of one repair pass, in order; a condition is a list of terms."""
+    out = [("clarity", None, Q.quoted(p), new) for p, new in D.CLARITY.items()]
+    out += [("structure", h, r"\z", f"\n{h}\n*{h[3:]} — content pending.*\n") for h in D.STUB_HEADINGS]
+    out += [("grounding", terms, regex, new) for terms, changes in D.GROUNDING_REPAIR for regex, new in changes]
+    return [*out, ("tidy", None, r"\n{3,}", "\n\n"), ("tidy", None, r"^\s+", ""), ("tidy", None, r"\s+\z", "")]
+
+
+def _edits(text: Column, step: Column) -> Column:
+    """The replacements of one step: number, offset in the text the step meets, old and new text."""
+    edit = lambda n, at, old: F.struct(step["step"].alias("step"), step["kind"].alias("kind"), n.cast("int").alias("n"),
+                                       at.cast("int").alias("at"), old.alias("old"), step["new"].alias("new"))
+    length = lambda parts, k: F.aggregate(F.slice(parts, F.lit(1), k), F.lit(0), lambda n, x: n + F.length(x))
+    olds = F.regexp_extract_all(text, F.concat(F.lit("("), step["regex"], F.lit(")")), F.lit(1))
+    replaced = bound(F.struct(olds.alias("o"), F.split(text, step["regex"], -1).alias("b")), lambda s: F.transform(
+        s["o"], lambda old, i: edit(i + 1, length(s["b"], i + 1) + length(s["o"], i) + 1, old)))
+    return F.when(step["kind"] == "structure", F.array(edit(F.lit(1), F.length(text) + 1, F.lit("")))).otherwise(replaced)
+
+
+def logged_pass(docs: DataFrame, ev: DataFrame) -> DataFrame:
+    """One repair pass over documents, with the edits that make its text.
+
+    The steps are a table in the plan and each document folds over it; a step logs only what it
+    replaces, so most steps of most documents leave nothing.
+    """
+    rows = [F.struct(F.lit(n).alias("step"), F.lit(kind).alias("kind"), F.lit(condition if kind == "structure" else "").alias("heading"),
+                     F.array(*[F.lit(t) for t in (condition if kind == "grounding" else [])]).cast("array<string>").alias("terms"),
+                     F.lit(regex).alias("regex"), F.lit(new).alias("new")) for n, (kind, condition, regex, new) in enumerate(_steps(), 1)]
+    start = F.struct(F.col("text").alias("text"), F.array().cast(EDIT).alias("edits"))
+
+    def apply(state: Column, step: Column) -> Column:
+        text = state["text"]
+        hit = F.when(step["kind"] == "structure", ~F.contains(text, step["heading"])).otherwise(
+            ((F.size(step["terms"]) == 0) | F.arrays_overlap("bad", step["terms"])) & F.rlike(text, step["regex"]))
+        changed = F.when(step["kind"] == "structure", F.concat(text, step["new"])).otherwise(F.regexp_replace(text, step["regex"], step["new"]))
+        return F.when(hit, F.struct(changed.alias("text"), F.concat(state["edits"], _edits(text, step)).alias("edits"))).otherwise(state)
+
+    out = _with_bad_terms(docs, ev).withColumn("done", F.aggregate(F.array(*rows), start, apply))
+    return out.select("doc_key", "repo", F.col("done.text").alias("text"), F.col("done.edits").alias("edits"))
+
+
+def revision_log(docs: DataFrame, ev: DataFrame) -> DataFrame:
+    """(doc_key, step, kind, n, at, old, new): one row for each replacement of a repair pass.
+
+    ``at`` counts from 1 in the text as the step finds it; ``replay`` makes the final text of it.
+    """
+    return logged_pass(docs, ev).select("doc_key", F.explode("edits").alias("e")).select("doc_key", "e.*")
+
+
+def replay(docs: DataFrame, log: DataFrame) -> DataFrame:
+    """The documents with a revision log applied to their texts; only logged documents meet the log.
+
+    Steps are folded in order, and in a step the replacements from the last to the first, so that
+    the offsets of those before it still hold.
+    """
+    per_doc = log.groupBy("doc_key").agg(F.array_sort(F.collect_list(F.struct("step", (-F.col("n")).alias("last"), "at", F.length("old").alias("gone"), "new"))).alias("edits"))
+    text = F.aggregate(F.coalesce("edits", F.array().cast("array<struct<step:int,last:int,at:int,gone:int,new:string>>")), F.col("text"), lambda t, e: F.concat(
+        F.substr(t, F.lit(1), e["at"] - 1), e["new"], F.substr(t, e["at"] + e["gone"])))
+    return docs.join(per_doc, "doc_key", "left").withColumn("text", text).drop("edits")
+
+
 def repair_pass(docs: DataFrame, scores: DataFrame, ev: DataFrame) -> DataFrame:
     """One pass: documents that need a revision are repaired, the others stay as they are."""
     marked = docs.join(scores.select("doc_key", "needs_revision"), "doc_key")

@@ -1,8 +1,9 @@
 """Signal rules over file contents: one pass evaluates every family.
 
-Each rule is a literal ``rlike`` inside one array expression, so its pattern is compiled once
-per task and only rules that hit produce a row. Names and files are rows, never arrays that
-grow with the repository.
+``tagged`` scans the contents once for all families (``matcher``) and leaves the matches of every
+file; each operator below reads its own family from them, of a held scan as well as of files. Rules
+of users (``apply_rules``) are literal ``rlike`` conditions inside one array expression. Names and
+files are rows, never arrays that grow with the repository.
 """
 from __future__ import annotations
 
@@ -13,8 +14,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.paths import basename, in_dirs, stem
 from ..functions.text import lit_array, occurs, sql_text
 from ..rules import signals as S
-from ..sources.files import pack_filter, pack_files
-from .numbering import first_per_key, top_k, with_ids
+from ..sources.files import pack_filter
+from .matcher import Search, hits_of, tagged_matches
+from .numbering import top_k, with_ids
 
 NOTEBOOK = "struct<cells:array<struct<cell_type:string,source:array<string>>>>"
 
@@ -49,17 +51,37 @@ def apply_rules(df: DataFrame, rules) -> DataFrame:
     return rows.select("repo", "path", F.explode(_hits(rules, guard)).alias("hit")).select("repo", "path", "hit.family", "hit.signal")
 
 
-def presence_signals(df: DataFrame, families=None) -> DataFrame:
-    """All built-in families (or some of them) in one scan, each behind its pack's file limits."""
-    rules = [r for r in S.presence_rules() if families is None or r.family in families]
-    packs = sorted({S.FAMILY_PACK[r.family] for r in rules})
+def searches(families=None) -> list[Search]:
+    """The searches of the built-in families, each behind its pack's files."""
+    out = [Search(r.family, r.signal, r.regex, f"in_{S.FAMILY_PACK[r.family]}") for r in S.presence_rules()]
+    out += [Search("route", kind, rx, "in_web", (), 2) for kind, rx in S.ROUTE_REGEXES]
+    out.append(Search("rpc", "gRPC", S.GRPC_NAME, "in_web", (), 1))
+    out += [Search("auth_count", kind, rx, "in_web", (), -1) for kind, rx in S.AUTH_RULES]
+    out += [Search("pipeline", "airflow_dag", S.AIRFLOW_DAG, "in_data", (), 1), Search("pipeline", "dbt_model", S.DBT_REF, "in_data"),
+            Search("pipeline", "dbt_model", S.DBT_SOURCE, "in_data"), Search("pipeline", "dagster_asset", S.DAGSTER, "in_data"),
+            Search("pipeline", "prefect_flow", S.PREFECT, "in_data"), Search("pipeline", "luigi_task", S.LUIGI, "in_data", (), 1)]
+    out += [Search("screen", kind, rx, "in_mobile", exts, 1) for kind, rx, exts in S.SCREEN_RULES]
+    out += [Search("permission", "android", S.ANDROID_PERMISSION, "in_mobile", (), 1), Search("permission", "ios", S.IOS_PERMISSION, "in_mobile", (), 1)]
+    return [s for s in out if families is None or s.family in families]
+
+
+def tagged(df: DataFrame, families=None) -> DataFrame:
+    """(repo, path, ext, hits) of the files in which some family finds something: the one scan of E20."""
+    if "hits" in df.columns:
+        return df
+    wanted = searches(families)
+    packs = sorted({s.where[3:] for s in wanted})
     kept = df.filter(reduce(lambda a, b: a | b, [pack_filter(p) for p in packs]))
     if "ml" in packs:
         kept = notebook_code(kept)
-    rows = kept.select("repo", "path", "content", F.lower("content").alias("lowered"),
-                       *[pack_filter(p).alias(f"in_{p}") for p in packs])
-    hits = _hits(rules, lambda r: f"in_{S.FAMILY_PACK[r.family]}")
-    return rows.select("repo", "path", F.explode(hits).alias("hit")).select("repo", "path", "hit.family", "hit.signal")
+    return tagged_matches(kept.select("repo", "path", "ext", "content", *[pack_filter(p).alias(f"in_{p}") for p in packs]), wanted)
+
+
+def presence_signals(df: DataFrame, families=None) -> DataFrame:
+    """(repo, path, family, signal): the families that ask whether a file mentions something; a file yields a signal once."""
+    families = [f for f in S.FAMILY_PACK if families is None or f in families]
+    named = F.transform(F.filter("hits", lambda h: h["family"].isin(families)), lambda h: F.struct(h["family"].alias("family"), h["signal"].alias("signal")))
+    return tagged(df, families).select("repo", "path", F.explode(F.array_distinct(named)).alias("h")).select("repo", "path", "h.*")
 
 
 def signal_counts(signals: DataFrame) -> DataFrame:
@@ -104,20 +126,18 @@ def ml_frameworks(df):
     return signal_counts(presence_signals(df, ["framework"])).drop("family")
 
 
-def eval_metrics(df):
-    """Every metric with its first three files."""
+def eval_metrics(df, files: int = 3):
+    """Every metric with its first ``files`` files."""
     rows = presence_signals(df, ["metric"]).drop("family")
-    return top_k(rows, ["repo", "signal"], ["path"], 3)
+    return top_k(rows, ["repo", "signal"], ["path"], files)
 
 
-def auth_hits(df: DataFrame) -> DataFrame:
-    """Hits per file and auth type; one regex counts at most three times in a file."""
-    kept = pack_files(df, "web").filter("content is not null")
+def auth_hits(df: DataFrame, most: int = 3) -> DataFrame:
+    """Hits per file and auth type; one regex counts at most ``most`` times in a file."""
     types = list(dict.fromkeys(t for t, _ in S.AUTH_RULES))
-    count = lambda t: sum((F.least(F.regexp_count("content", F.lit(rx)), F.lit(3)) for n, rx in S.AUTH_RULES if n == t), F.lit(0))
-    per_type = F.filter(F.array(*[F.struct(F.lit(t).alias("auth_type"), F.lit(i).alias("ord"), count(t).alias("hits"))
-                                  for i, t in enumerate(types)]), lambda s: s["hits"] > 0)
-    return kept.select("repo", "path", F.explode(per_type).alias("h")).select("repo", "path", "h.auth_type", "h.ord", "h.hits")
+    order = F.element_at(F.create_map(*[F.lit(x) for i, t in enumerate(types) for x in (t, i)]), F.col("auth_type"))
+    rows = hits_of(tagged(df, ["auth_count"]), "auth_count").select("repo", "path", F.col("signal").alias("auth_type"), F.least("n", F.lit(most)).alias("n"))
+    return rows.groupBy("repo", "path", "auth_type").agg(F.sum("n").alias("hits")).select("repo", "path", "auth_type", order.alias("ord"), "hits")
 
 
 def auth_signals(df: DataFrame) -> DataFrame:
@@ -139,73 +159,36 @@ def matches(content: Column, regex: str, groups, fields) -> Column:
     return F.transform(zipped, lambda z: F.struct(*[z[n].alias(n) for n in fields]))
 
 
-def named_contents(df: DataFrame) -> DataFrame:
-    """All files, but with the content only where a rule that extracts names can hit.
-
-    Held once, it serves contracts, authentication, pipelines, screens and permissions.
-    """
-    regexes = ([rx for _, rx in S.ROUTE_REGEXES] + [S.GRPC_NAME] + [rx for _, rx in S.AUTH_RULES]
-               + [S.AIRFLOW_DAG, S.DBT_REF, S.DBT_SOURCE, S.DAGSTER, S.PREFECT, S.LUIGI]
-               + [rx for _, rx, _ in S.SCREEN_RULES] + [S.ANDROID_PERMISSION, S.IOS_PERMISSION])
-    wanted = F.expr(" or ".join(occurs(rx) for rx in regexes))
-    return df.withColumn("lowered", F.lower("content")).select(
-        "repo", "path", "ext", "size", F.when(wanted, F.col("content")).alias("content"))
-
-
 def http_contracts(df: DataFrame) -> DataFrame:
     """C14: distinct (method, path) of routes and gRPC names, with the first file that has them."""
-    content = F.col("content")
-    kept = pack_files(df, "web").select("repo", F.col("path").alias("source_file"), "content")
-    routes = F.concat(*[matches(content, rx, (1, 2), ("method", "path")) for _, rx in S.ROUTE_REGEXES])
-    routes = F.filter(routes, lambda r: ~F.regexp_replace(r["path"], "/+$", "").isin(S.BOILERPLATE_PATHS))
-    routes = F.transform(routes, lambda r: F.struct(F.lit(0).alias("kind"), F.upper(r["method"]).alias("method"), r["path"].alias("path")))
-    rpcs = F.transform(F.regexp_extract_all("content", F.lit(S.GRPC_NAME), F.lit(1)),
-                       lambda n: F.struct(F.lit(1).alias("kind"), F.lit("gRPC").alias("method"), n.alias("path")))
-    rows = kept.select("repo", "source_file", F.posexplode(F.concat(routes, rpcs)).alias("pos", "e")) \
-               .select("repo", "source_file", "pos", "e.*")
+    rows = hits_of(tagged(df, ["route", "rpc"]), "route", "rpc").withColumnRenamed("path", "source_file")
+    is_rpc = F.col("family") == "rpc"
+    rows = rows.filter(is_rpc | ~F.regexp_replace("two", "/+$", "").isin(S.BOILERPLATE_PATHS)).select(
+        "repo", "source_file", "at", is_rpc.cast("int").alias("kind"), F.when(is_rpc, F.col("signal")).otherwise(F.upper("one")).alias("method"),
+        F.when(is_rpc, F.col("one")).otherwise(F.col("two")).alias("path"))
     return rows.groupBy("repo", "method", "path").agg(
-        F.min(F.struct("kind", "source_file", "pos")).alias("first")).select(
+        F.min(F.struct("kind", "source_file", "at")).alias("first")).select(
             "repo", "method", "path", F.col("first.source_file").alias("source_file"), F.col("first.kind").alias("kind"),
-            F.col("first.pos").alias("pos"))
+            F.col("first.at").alias("pos"))
 
 
 def pipeline_definitions(df: DataFrame) -> DataFrame:
-    """C17: distinct (name, type) of pipeline definitions with the first file that has them."""
-    content = F.col("content")
-    named = lambda rx, kind: F.transform(F.regexp_extract_all("content", F.lit(rx), F.lit(1)),
-                                         lambda n: F.struct(n.alias("name"), F.lit(kind).alias("type")))
-    by_stem = lambda cond, kind: F.when(cond, F.array(F.struct(stem(F.col("path")).alias("name"), F.lit(kind).alias("type")))) \
-        .otherwise(F.expr("cast(array() as array<struct<name:string,type:string>>)"))
-    found = F.concat(named(S.AIRFLOW_DAG, "airflow_dag"),
-                     by_stem(content.rlike(S.DBT_REF) | content.rlike(S.DBT_SOURCE), "dbt_model"),
-                     by_stem(content.rlike(S.DAGSTER), "dagster_asset"),
-                     by_stem(content.rlike(S.PREFECT), "prefect_flow"),
-                     named(S.LUIGI, "luigi_task"))
-    rows = pack_files(df, "data").select("repo", F.col("path").alias("source_file"), F.explode(found).alias("e")) \
-                                 .select("repo", "source_file", "e.*")
-    return rows.groupBy("repo", "name", "type").agg(F.min("source_file").alias("source_file"))
+    """C17: distinct (name, type) of pipeline definitions with the first file that has them.
+
+    Models, assets and flows go by the name of their file.
+    """
+    rows = hits_of(tagged(df, ["pipeline"]), "pipeline")
+    return rows.groupBy("repo", F.coalesce("one", stem(F.col("path"))).alias("name"), F.col("signal").alias("type")).agg(F.min("path").alias("source_file"))
 
 
 def app_screens(df: DataFrame) -> DataFrame:
     """Distinct (name, type) of screens with the first file that has them."""
-    def named(kind, rx, exts):
-        found = F.transform(F.regexp_extract_all("content", F.lit(rx), F.lit(1)),
-                            lambda n: F.struct(n.alias("name"), F.lit(kind).alias("type")))
-        return F.when(F.col("ext").isin(list(exts)), found) if exts else found
-
-    empty = F.expr("cast(array() as array<struct<name:string,type:string>>)")
-    found = F.concat(*[F.coalesce(named(*rule), empty) for rule in S.SCREEN_RULES])
-    rows = pack_files(df, "mobile").select("repo", F.col("path").alias("source_file"), F.explode(found).alias("e")) \
-                                   .select("repo", "source_file", "e.*")
-    return rows.groupBy("repo", "name", "type").agg(F.min("source_file").alias("source_file"))
+    return hits_of(tagged(df, ["screen"]), "screen").groupBy("repo", F.col("one").alias("name"), F.col("signal").alias("type")).agg(F.min("path").alias("source_file"))
 
 
 def device_permissions(df: DataFrame) -> DataFrame:
     """Distinct declared permissions per repository and platform."""
-    found = lambda rx, kind: F.transform(F.regexp_extract_all("content", F.lit(rx), F.lit(1)),
-                                         lambda n: F.struct(F.lit(kind).alias("platform"), n.alias("permission")))
-    both = F.concat(found(S.ANDROID_PERMISSION, "android"), found(S.IOS_PERMISSION, "ios"))
-    return pack_files(df, "mobile").select("repo", F.explode(both).alias("e")).select("repo", "e.*").distinct()
+    return hits_of(tagged(df, ["permission"]), "permission").select("repo", F.col("signal").alias("platform"), F.col("one").alias("permission")).distinct()
 
 
 def mobile_platforms(df: DataFrame) -> DataFrame:

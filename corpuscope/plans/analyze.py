@@ -55,25 +55,28 @@ def gather_evidence(scan: DataFrame) -> dict:
 
 
 def pack_features(scan: DataFrame) -> DataFrame:
-    """All pack features from one pass over the rule families and one per name extractor."""
-    found, named = hold(S.presence_signals(scan)), hold(S.named_contents(scan))
-    family = lambda name: S.signal_counts(found.filter(F.col("family") == name)).drop("family")
-    conf = lambda df, base, step: df.withColumn("confidence", F.least(F.lit(90), base + step * F.col("n_files")) / 100)
+    """All pack features from one scan of the contents, whose matches are held."""
+    found = hold(S.tagged(scan))
     return FT.signal_features({
-        "web_api": FT.web_features(S.http_contracts(named), S.auth_signals(named), family("middleware")),
-        "data_platform": FT.data_features(S.pipeline_definitions(named), family("orchestrator"), family("source"), family("quality")),
-        "ml_pipeline": FT.ml_features(conf(family("stage"), 60, 10), conf(family("model"), 70, 5)),
-        "mobile_app": FT.mobile_features(S.app_screens(named), S.device_permissions(named), S.mobile_platforms(named))})
+        "web_api": FT.web_features(S.http_contracts(found), S.auth_signals(found), S.middleware_signals(found)),
+        "data_platform": FT.data_features(S.pipeline_definitions(found), S.orchestrators(found), S.data_sources(found), S.data_quality_checks(found)),
+        "ml_pipeline": FT.ml_features(S.ml_stages(found), S.model_types(found)),
+        "mobile_app": FT.mobile_features(S.app_screens(found), S.device_permissions(found), S.mobile_platforms(scan))})
 
 
-def derive_features(ex: dict, found: dict) -> DataFrame:
-    """Fallback features, calibrated, plus the features of activated packs, validated."""
-    base = FT.fallback_features(ex["modules"])
+def collect_features(ex: dict, found: dict) -> DataFrame:
+    """Fallback features, calibrated, plus the features of activated packs, before they are validated."""
+    base = hold(FT.fallback_features(ex["modules"]))
     base = FT.calibrate_confidence(base, FT.feature_sources(base), ex["classified"]).drop("source", "n_files", "n_negative")
     extra = pack_features(ex["scan"]).withColumn("ord", F.struct("pack", "family", "name"))
     scores = E.pack_score(ex["scan"], found["deps"], found["evidence"])
     active = extra.join(scores.select("repo", "pack"), ["repo", "pack"], "left_semi")
-    return FT.validate_features(FT.merge_skill_features(base, active))
+    return hold(FT.merge_skill_features(base, active))
+
+
+def derive_features(ex: dict, found: dict) -> DataFrame:
+    """All features of a repository, deduplicated, merged and numbered."""
+    return FT.validate_features(collect_features(ex, found))
 
 
 def report_tables(features: DataFrame, found: dict, repos: DataFrame, enrichment: DataFrame | None = None,

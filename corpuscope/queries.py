@@ -79,7 +79,9 @@ class Tables:
 
     @property
     def seed(self):
-        return self._once("seed", lambda: corpus.feature_seed(self.spark, self.sf))
+        """The features of the run, before they are deduplicated and merged."""
+        return self._once("seed", lambda: A.collect_features({"modules": self.modules, "classified": self.classified, "scan": self.scan},
+                                                             {"deps": self.deps, "evidence": self.evidence}))
 
     @property
     def features(self):
@@ -247,6 +249,18 @@ def final_payload(t):
     return ex["payload"]
 
 
+@query
+def payload_files(t):
+    """The record of every file."""
+    return MO.payload_files(t.scan, t.classified)
+
+
+@query
+def payload_records(t):
+    """The same as JSON lines, as a writer stores them."""
+    return MO.payload_json(MO.payload_files(t.scan, t.classified))
+
+
 # ---- chunks and pieces --------------------------------------------------------------------------
 
 @query
@@ -583,7 +597,7 @@ def fallback_features(t):
 
 @query
 def feature_file_counts(t):
-    return FT.feature_file_counts(t.fallback, t.classified, shared_limit=5)
+    return FT.feature_file_counts(t.fallback, t.classified)
 
 
 @query
@@ -642,11 +656,20 @@ def signal_modules(t):
     return FT.signal_modules(signals, rows, MO.normal_module_files(t.members))
 
 
-@query
-def interpret_features(t):
+def _interpreted(t):
     signals, rows = _signals(t)
     pool = t.repos.select("repo", F.explode(TX.lit_array(["Python", "cors", "zz top"])).alias("item"))
-    return FT.interpret_features(signals, rows, MO.normal_module_files(t.members), pool)
+    return hold(signals), hold(rows), MO.normal_module_files(t.members), pool
+
+
+@query
+def interpret_features(t):
+    return FT.interpret_features(*_interpreted(t))
+
+
+@query
+def interpretation_evidence(t):
+    return FT.interpretation_evidence(*_interpreted(t))
 
 
 @query
@@ -850,6 +873,18 @@ def repair_structure(t):
     return RP.repair_structure(t.docs).select("doc_key", F.md5("text").alias("digest"))
 
 
+@query
+def revision_log(t):
+    """Every replacement of a repair pass over the documents."""
+    return RP.revision_log(t.docs, t.evidence)
+
+
+@query
+def replayed_documents(t):
+    """Texts made from the log equal those of the repair; only their digests are returned."""
+    return RP.replay(t.docs, hold(RP.revision_log(t.docs, t.evidence))).select("doc_key", F.md5("text").alias("digest"))
+
+
 @query
 def traceability_appendix(t):
     return RP.traceability_appendix(t.docs, t.features, t.frs)

@@ -73,7 +73,12 @@ def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                .when(second & (r % 2 == 0), F.concat(F.lit('{"name": "app'), rs, F.lit('", "description": "fixture", "dependencies": {"react": "^18.2.0"}}')))
                .when(second, F.concat(F.lit('name = "app'), rs, F.lit('"\ndescription = "fixture"\n')))
                .otherwise(F.concat("snip", F.when(F.col("app"), text).otherwise(""))))
-    out = docs.join(snippets, "s").select(F.col("source").alias("repo"), path.alias("path"), content.alias("content"))
+    # a file that cannot hold prose has the text in a file beside it
+    beside = (F.when(head, r.isin(4, 14)).when(second, r != 19).otherwise(~F.col("app")))
+    beside_path = F.when(~head & second, F.concat(F.lit("text"), i.cast("string"), F.lit(".txt"))).otherwise(F.concat("dir", F.lit("/d"), i.cast("string"), F.lit("/text.txt")))
+    file = lambda p, c: F.struct(p.alias("path"), c.alias("content"))
+    both = F.when(beside, F.array(file(path, content), file(beside_path, text))).otherwise(F.array(file(path, content)))
+    out = docs.join(snippets, "s").select(F.col("source").alias("repo"), F.explode(both).alias("f")).select("repo", "f.path", "f.content")
     return out.select("repo", "path", suffix(F.col("path")).alias("ext"),
                       F.octet_length("content").cast("long").alias("size"), "content")
 
@@ -90,31 +95,11 @@ def web_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.octet_length("html").cast("long").alias("size"), F.col("html").alias("content"))
 
 
-FEATURE_NAMES = [
-    "container_orchestration_config", "ci_cd_pipeline_config", "token_based_authentication",
-    "secret_credential_management", "domain_entity_modelling", "domain_service_layer",
-    "Order Search", "order search", "User Login", "USER LOGIN", "dashboard_report", "test_suite_runner",
-]
-
-
-def feature_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twelve features per repository, to exercise dedupe and merge; repositories come from documents."""
-    repos = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("repo")).distinct()
-    r = F.regexp_extract("repo", r"(\d+)$", 1).cast("int")
-    names = lit_names()
-    out = repos.select("repo", r.alias("r"), F.posexplode(names).alias("pos", "name"))
-    n = F.col("pos") + 1
-    return out.select("repo", F.format_string("in-%02d", n).alias("feature_id"), "name",
-                      F.concat(F.lit("Feature "), "name", F.lit(" of module m"), (n % 3).cast("string"), F.lit(".")).alias("description"),
-                      (F.lit(30) + (17 * n + 5 * F.col("r")) % 70).alias("conf"), n.alias("ord"))
-
-
-def lit_names():
-    return F.array(*[F.lit(n) for n in FEATURE_NAMES])
-
-
 def report_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One document with sixteen sections per row of documents, with defects to score and repair."""
+    """One document with sixteen sections per row of documents, with defects to score and repair.
+
+    The whole text is in it, a sixteenth in each section; a missing section lacks its heading only.
+    """
     from ..rules.documents import CLARITY, HEADINGS
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"), "doc_id")
     i, text = F.col("doc_id"), F.col("text")
@@ -128,9 +113,9 @@ def report_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         6: F.when(i % 5 == 0, "NFR-1 TBD\n").otherwise("NFR-1 within 500 ms\n"),
         10: F.when(i % 4 == 0, "| Host | Docker image |\n").when(i % 4 == 1, "Kubernetes and gRPC\n").when(i % 4 == 2, "GDPR applies to the iOS client\n\n\n\n").otherwise(""),
     }
-    parts = [F.when((i + h) % 17 == 0, "").otherwise(F.concat(
-        F.lit(heading + "\n"), extra.get(h, F.lit("")), F.substr(text, (h - 1) * step + 1, step), F.lit("\n")))
-        for h, heading in enumerate(HEADINGS, 1)]
+    body = lambda h: F.substr(text, (h - 1) * step + 1, step) if h < len(HEADINGS) else F.substr(text, (h - 1) * step + 1)
+    parts = [F.concat(F.when((i + h) % 17 == 0, "").otherwise(F.concat(F.lit(heading + "\n"), extra.get(h, F.lit("")))), body(h), F.lit("\n"))
+             for h, heading in enumerate(HEADINGS, 1)]
     return docs.select(F.concat(F.lit("doc"), i.cast("string")).alias("doc_key"), F.col("source").alias("repo"), F.concat(*parts).alias("text"))
 
 

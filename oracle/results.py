@@ -6,7 +6,6 @@ import re
 from corpuscope.rules import documents as D, packs as P, signals as S
 from corpuscope.rules.languages import NEGATIVE_PATH
 from corpuscope.rules.packs import LANGUAGE_TOKENS
-from corpuscope.sources.corpus import FEATURE_NAMES
 
 from .build import anyword, base, case, cte, display, ext, inlist, lit, num, q, rx, snake, stripped, title, topdir, values
 from .tables import BUCKETS, FLAGS, docstring, pack_where, role, uuid5
@@ -16,15 +15,48 @@ cte("fallback", f"""SELECT repo, {num('feat-', 'n', 3)} AS feature_id, n::BIGINT
 FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY name) AS n FROM modules_norm)""")
 q("fallback_features", "SELECT repo, feature_id, name, description, source FROM fallback")
 cte("fb_words", "SELECT DISTINCT repo, feature_id, kw FROM (SELECT repo, feature_id, unnest(string_split(lower(replace(name, ' ', '_')), '_')) AS kw FROM fallback) WHERE length(kw) >= 3")
-cte("chunk_heads", "SELECT DISTINCT repo, lower(path) AS lp, lower(content)[1:500] AS head FROM chunks")
-cte("fb_files", "SELECT DISTINCT w.repo, w.feature_id, h.lp FROM fb_words w JOIN chunk_heads h ON h.repo = w.repo AND (contains(h.lp, w.kw) OR contains(h.head, w.kw))")
+cte("searched", "SELECT repo, lower(path) AS lp, lower(content) AS body FROM classified")
+cte("fb_files", "SELECT DISTINCT w.repo, w.feature_id, h.lp FROM fb_words w JOIN searched h ON h.repo = w.repo AND (contains(h.lp, w.kw) OR contains(h.body, w.kw))")
 cte("fb_counts", f"SELECT repo, feature_id, count(*) AS n_files, count(*) FILTER (WHERE {rx('lp', NEGATIVE_PATH)}) AS n_negative FROM fb_files GROUP BY ALL")
 q("feature_file_counts", "SELECT * FROM fb_counts")
-q("calibrate_confidence", f"""SELECT repo, feature_id, name, greatest(10, least(100, 70 + CASE WHEN n >= 6 THEN 10 WHEN n >= 3 THEN 5 WHEN n = 0 THEN -10 ELSE 0 END
+# pack features
+cte("surface", "SELECT *, string_split(trim(path, '/'), '/')[1] AS prefix FROM contracts")
+cte("names_of", "SELECT repo, family, string_agg(signal, ', ' ORDER BY signal) AS names, count(*) AS n FROM sig_counts GROUP BY repo, family")
+cte("stage_text", "SELECT * FROM (" + values(S.ML_STAGE_TEXT.items()) + ") v(signal, txt)")
+cte("screen_kinds", "SELECT repo, string_split(type, '_')[1] AS prefix, count(*) AS n FROM screens GROUP BY repo, type")
+cte("screen_labels", "SELECT * FROM (" + values(S.SCREEN_LABELS.items()) + ") v(prefix, shown)")
+cte("packfeats", f"""
+SELECT repo, prefix || '_api_surface' AS name, 'API endpoints under /' || prefix || ' (' || count(*) || ' routes: ' || array_to_string(list_slice(list(path ORDER BY kind, source_file, pat, pos), 1, 5), ', ') || ')' AS description, 85 AS conf, 'contracts' AS family, 'web_api' AS pack FROM surface GROUP BY repo, prefix
+UNION ALL SELECT repo, auth_type || '_authentication', CASE WHEN standing = 'dominant' THEN 'Authentication using ' || upper(auth_type) || ' mechanism.' ELSE 'Secondary auth mechanism: ' || upper(auth_type) END, CASE WHEN standing = 'dominant' THEN 90 ELSE 60 END, 'auth', 'web_api' FROM auth WHERE standing <> 'weak'
+UNION ALL SELECT repo, signal || '_middleware', {display('signal')} || ' middleware detected in ' || n_files || ' file(s)', 75, 'middleware', 'web_api' FROM sig_counts WHERE family = 'middleware'
+UNION ALL SELECT p.repo, 'data_pipeline_orchestration', 'Data pipeline with ' || p.n || ' pipeline component(s) using ' || coalesce(o.names, ''), 90, 'pipelines', 'data_platform' FROM (SELECT repo, count(*) n FROM pipelines GROUP BY repo) p LEFT JOIN names_of o ON o.repo = p.repo AND o.family = 'orchestrator'
+UNION ALL SELECT repo, signal || '_integration', 'Data processing integration with ' || {title('signal')}, 85, 'orchestrators', 'data_platform' FROM sig_counts WHERE family = 'orchestrator'
+UNION ALL SELECT repo, 'data_source_integration', 'Data pipeline connects to ' || n || ' source/sink type(s): ' || names, 85, 'sources', 'data_platform' FROM names_of WHERE family = 'source'
+UNION ALL SELECT repo, 'data_quality_framework', 'Data quality checks using: ' || names, 80, 'quality', 'data_platform' FROM names_of WHERE family = 'quality'
+UNION ALL SELECT repo, signal, txt || '. Found in ' || n_files || ' file(s)', least(90, 60 + 10 * n_files), 'stages', 'ml_pipeline' FROM sig_counts JOIN stage_text USING (signal) WHERE family = 'stage'
+UNION ALL SELECT repo, signal || '_model', {display('signal')} || ' model architecture detected in ' || n_files || ' file(s)', least(90, 70 + 5 * n_files), 'models', 'ml_pipeline' FROM sig_counts WHERE family = 'model'
+UNION ALL SELECT repo, prefix || '_screen_navigation', shown || ' app with ' || n || ' screen(s)/page(s)', least(90, 70 + 5 * n), 'screens', 'mobile_app' FROM screen_kinds JOIN screen_labels USING (prefix)
+UNION ALL SELECT repo, 'device_permission_management', 'App requests ' || count(*) || ' device permission(s)', 90, 'permissions', 'mobile_app' FROM perms GROUP BY repo
+UNION ALL SELECT repo, 'cross_platform_mobile_support', 'App targets ' || count(*) || ' platform(s): ' || string_agg(platform, ', ' ORDER BY platform), 95, 'platforms', 'mobile_app' FROM mobile_marks GROUP BY repo""")
+q("signal_features", "SELECT repo, name, description, conf::BIGINT AS conf, family, pack FROM packfeats")
+q("pack_results", "SELECT repo, pack, name, description, conf::BIGINT AS conf, family FROM packfeats JOIN active USING (repo, pack)")
+FAM = {"middleware": "web_api", "orchestrator": "data_platform", "quality": "data_platform", "metric": "ml_pipeline", "framework": "ml_pipeline"}
+NOTES = [(p, "nfr_emphasis", v) for p, vs in P.PACK_EMPHASIS.items() for v in vs] + [(p, "section_notes." + s, t) for p in P.PACK_EMPHASIS for s, t in P.PACK_HINTS[p].items()]
+q("pack_signals", "SELECT s.repo, f.pack || '.' || s.family AS key, s.signal AS value FROM sig_counts s JOIN (" + values(FAM.items()) + ") f(family, pack) USING (family) JOIN active a ON a.repo = s.repo AND a.pack = f.pack UNION ALL SELECT repo, pack || '.' || k, v FROM active JOIN (" + values(NOTES) + ") n(pack, k, v) USING (pack)")
+q("pack_hints", "SELECT repo, section, string_agg(hint, ' ' ORDER BY score DESC, i) AS hint FROM active JOIN (" + values([(p, i, s, t) for i, (p, hs) in enumerate(P.PACK_HINTS.items()) for s, t in hs.items()]) + ") h(pack, i, section, hint) USING (pack) GROUP BY repo, section")
+cte("fresh_packs", """SELECT p.repo, p.name, p.conf FROM packfeats p WHERE (p.repo, lower(replace(p.name, ' ', '_'))) NOT IN (SELECT (repo, lower(replace(name, ' ', '_'))) FROM fallback)
+QUALIFY row_number() OVER (PARTITION BY p.repo, lower(replace(p.name, ' ', '_')) ORDER BY p.pack, p.family, p.name) = 1""")
+q("merge_skill_features", f"SELECT repo, count(*) AS n, {num('feat-', 'count(*)', 3)} AS last_id, sum(conf)::BIGINT AS conf FROM (SELECT repo, conf FROM fallback UNION ALL SELECT repo, conf FROM fresh_packs) GROUP BY repo")
+
+cte("calibrated", f"""SELECT repo, feature_id, ord, name, description, greatest(10, least(100, 70 + CASE WHEN n >= 6 THEN 10 WHEN n >= 3 THEN 5 WHEN n = 0 THEN -10 ELSE 0 END
  + CASE WHEN {rx('source', NEGATIVE_PATH)} THEN -20 ELSE 0 END + CASE WHEN n > 0 AND neg * 10 >= n * 8 THEN -10 ELSE 0 END))::BIGINT AS conf, n AS n_files
 FROM (SELECT f.*, coalesce(n_files, 0) AS n, coalesce(n_negative, 0) AS neg FROM fallback f LEFT JOIN fb_counts USING (repo, feature_id))""")
-cte("seed", "SELECT repo, 'in-' || lpad(n::VARCHAR, 2, '0') AS feature_id, name, 'Feature ' || name || ' of module m' || (n % 3) || '.' AS description, 30 + (17 * n + 5 * r) % 70 AS conf, n AS ord FROM (SELECT DISTINCT source AS repo, CAST(regexp_extract(source, '(\\d+)$', 1) AS BIGINT) AS r FROM documents), ("
-    + values([(i, n) for i, n in enumerate(FEATURE_NAMES, 1)]) + ") v(n, name)")
+q("calibrate_confidence", "SELECT repo, feature_id, name, conf, n_files FROM calibrated")
+cte("added", """SELECT repo, name, description, conf, row_number() OVER (PARTITION BY repo ORDER BY lower(name), name) AS n FROM (SELECT p.* FROM packfeats p JOIN active a ON a.repo = p.repo AND a.pack = p.pack
+WHERE (p.repo, lower(replace(p.name, ' ', '_'))) NOT IN (SELECT (repo, lower(replace(name, ' ', '_'))) FROM fallback)
+QUALIFY row_number() OVER (PARTITION BY p.repo, lower(replace(p.name, ' ', '_')) ORDER BY p.pack, p.family, p.name) = 1)""")
+cte("seed", f"""SELECT repo, feature_id, name, description, conf, ord FROM calibrated
+UNION ALL SELECT repo, {num('feat-', '(n + used)', 3)}, name, description, conf::BIGINT, n + used FROM added JOIN (SELECT repo, max(ord) AS used FROM fallback GROUP BY repo) USING (repo)""")
 cte("groups", "SELECT * FROM (" + values(P.MERGE_GROUPS.items()) + ") v(member, shown)")
 
 
@@ -51,8 +83,15 @@ cte("sig_mods", """SELECT DISTINCT s.repo, s.signal_id, m.name AS module FROM si
 UNION SELECT s.repo, s.signal_id, m.name FROM sig_in s JOIN modules_norm m ON m.repo = s.repo AND contains(replace(lower(m.name), '_', ' '), replace(lower(s.name), '_', ' '))""")
 q("signal_modules", "SELECT * FROM sig_mods")
 cte("sig_facts", "SELECT repo, signal_id, path AS fact FROM sig_files UNION SELECT repo, signal_id, module FROM sig_mods UNION SELECT repo, signal_id, item FROM sig_in, (VALUES ('Python'), ('cors'), ('zz top')) v(item) WHERE contains(lower(name), lower(item)) OR contains(lower(description), lower(item))")
-q("interpret_features", """SELECT repo, signal_id, name, description, greatest(10, least(100, (conf * CASE WHEN m = 0 THEN 7 WHEN f = 1 THEN 9 ELSE 10 END + 5) // 10))::BIGINT AS conf, f AS n_evidence, m AS n_modules
-FROM (SELECT s.*, f, coalesce(m, 0) AS m FROM sig_in s JOIN (SELECT repo, signal_id, count(*) f FROM sig_facts GROUP BY ALL) USING (repo, signal_id) LEFT JOIN (SELECT repo, signal_id, count(*) m FROM sig_mods GROUP BY ALL) USING (repo, signal_id))""")
+cte("sig_ids", f"SELECT repo, signal_id, {num('feat-int-', 'row_number() OVER (PARTITION BY repo ORDER BY signal_id)', 3)} AS feature_id FROM sig_in")
+cte("sig_proof", """SELECT repo, signal_id, 'file' AS kind, path AS item, 'signal' AS "by", path AS via FROM sig_files
+UNION SELECT s.repo, s.signal_id, 'module', m.name, 'file', s.path FROM sig_files s JOIN module_names m USING (repo, path)
+UNION SELECT s.repo, s.signal_id, 'module', m.name, 'name', s.name FROM sig_in s JOIN modules_norm m ON m.repo = s.repo AND contains(replace(lower(m.name), '_', ' '), replace(lower(s.name), '_', ' '))
+UNION SELECT repo, signal_id, 'pool', item, 'mention', 'name' FROM sig_in, (VALUES ('Python'), ('cors'), ('zz top')) v(item) WHERE contains(lower(name), lower(item))
+UNION SELECT repo, signal_id, 'pool', item, 'mention', 'description' FROM sig_in, (VALUES ('Python'), ('cors'), ('zz top')) v(item) WHERE contains(lower(description), lower(item))""")
+q("interpretation_evidence", 'SELECT repo, feature_id, signal_id, kind, item, "by", via FROM sig_proof JOIN sig_ids USING (repo, signal_id)')
+q("interpret_features", """SELECT repo, feature_id, signal_id, name, description, greatest(10, least(100, (conf * CASE WHEN m = 0 THEN 7 WHEN f = 1 THEN 9 ELSE 10 END + 5) // 10))::BIGINT AS conf, f AS n_evidence, m AS n_modules
+FROM (SELECT s.*, i.feature_id, f, coalesce(m, 0) AS m FROM sig_in s JOIN sig_ids i USING (repo, signal_id) JOIN (SELECT repo, signal_id, count(*) f FROM sig_facts GROUP BY ALL) USING (repo, signal_id) LEFT JOIN (SELECT repo, signal_id, count(*) m FROM sig_mods GROUP BY ALL) USING (repo, signal_id))""")
 
 cte("arche", "SELECT * FROM (" + values([(i, a, d, f, k) for i, (a, (ks, d, f)) in enumerate(P.ARCHETYPES.items()) for k in ks]) + ") v(o, archetype, display, fragment, kw)")
 cte("arche_votes", "SELECT repo, o AS ord, archetype, count(*) AS votes, sum(conf)::BIGINT AS conf_sum FROM (SELECT DISTINCT v.repo, v.feature_id, v.conf, a.o, a.archetype FROM vfeats v JOIN arche a ON contains(v.name, a.kw)) GROUP BY ALL")
@@ -84,35 +123,6 @@ cte("biz", f"""SELECT repo, coalesce(value, 'Web Software System') AS product_ty
 FROM (SELECT repo, list({display('name')} ORDER BY conf DESC, ord) AS l FROM vfeats GROUP BY repo) LEFT JOIN ptype USING (repo) LEFT JOIN pusers USING (repo)""")
 q("business_context", "SELECT * FROM biz")
 
-# pack features
-cte("surface", "SELECT *, string_split(trim(path, '/'), '/')[1] AS prefix FROM contracts")
-cte("names_of", "SELECT repo, family, string_agg(signal, ', ' ORDER BY signal) AS names, count(*) AS n FROM sig_counts GROUP BY repo, family")
-cte("stage_text", "SELECT * FROM (" + values(S.ML_STAGE_TEXT.items()) + ") v(signal, txt)")
-cte("screen_kinds", "SELECT repo, string_split(type, '_')[1] AS prefix, count(*) AS n FROM screens GROUP BY repo, type")
-cte("screen_labels", "SELECT * FROM (" + values(S.SCREEN_LABELS.items()) + ") v(prefix, shown)")
-cte("packfeats", f"""
-SELECT repo, prefix || '_api_surface' AS name, 'API endpoints under /' || prefix || ' (' || count(*) || ' routes: ' || array_to_string(list_slice(list(path ORDER BY kind, source_file, pat, pos), 1, 5), ', ') || ')' AS description, 85 AS conf, 'contracts' AS family, 'web_api' AS pack FROM surface GROUP BY repo, prefix
-UNION ALL SELECT repo, auth_type || '_authentication', CASE WHEN standing = 'dominant' THEN 'Authentication using ' || upper(auth_type) || ' mechanism.' ELSE 'Secondary auth mechanism: ' || upper(auth_type) END, CASE WHEN standing = 'dominant' THEN 90 ELSE 60 END, 'auth', 'web_api' FROM auth WHERE standing <> 'weak'
-UNION ALL SELECT repo, signal || '_middleware', {display('signal')} || ' middleware detected in ' || n_files || ' file(s)', 75, 'middleware', 'web_api' FROM sig_counts WHERE family = 'middleware'
-UNION ALL SELECT p.repo, 'data_pipeline_orchestration', 'Data pipeline with ' || p.n || ' pipeline component(s) using ' || coalesce(o.names, ''), 90, 'pipelines', 'data_platform' FROM (SELECT repo, count(*) n FROM pipelines GROUP BY repo) p LEFT JOIN names_of o ON o.repo = p.repo AND o.family = 'orchestrator'
-UNION ALL SELECT repo, signal || '_integration', 'Data processing integration with ' || {title('signal')}, 85, 'orchestrators', 'data_platform' FROM sig_counts WHERE family = 'orchestrator'
-UNION ALL SELECT repo, 'data_source_integration', 'Data pipeline connects to ' || n || ' source/sink type(s): ' || names, 85, 'sources', 'data_platform' FROM names_of WHERE family = 'source'
-UNION ALL SELECT repo, 'data_quality_framework', 'Data quality checks using: ' || names, 80, 'quality', 'data_platform' FROM names_of WHERE family = 'quality'
-UNION ALL SELECT repo, signal, txt || '. Found in ' || n_files || ' file(s)', least(90, 60 + 10 * n_files), 'stages', 'ml_pipeline' FROM sig_counts JOIN stage_text USING (signal) WHERE family = 'stage'
-UNION ALL SELECT repo, signal || '_model', {display('signal')} || ' model architecture detected in ' || n_files || ' file(s)', least(90, 70 + 5 * n_files), 'models', 'ml_pipeline' FROM sig_counts WHERE family = 'model'
-UNION ALL SELECT repo, prefix || '_screen_navigation', shown || ' app with ' || n || ' screen(s)/page(s)', least(90, 70 + 5 * n), 'screens', 'mobile_app' FROM screen_kinds JOIN screen_labels USING (prefix)
-UNION ALL SELECT repo, 'device_permission_management', 'App requests ' || count(*) || ' device permission(s)', 90, 'permissions', 'mobile_app' FROM perms GROUP BY repo
-UNION ALL SELECT repo, 'cross_platform_mobile_support', 'App targets ' || count(*) || ' platform(s): ' || string_agg(platform, ', ' ORDER BY platform), 95, 'platforms', 'mobile_app' FROM mobile_marks GROUP BY repo""")
-q("signal_features", "SELECT repo, name, description, conf::BIGINT AS conf, family, pack FROM packfeats")
-q("pack_results", "SELECT repo, pack, name, description, conf::BIGINT AS conf, family FROM packfeats JOIN active USING (repo, pack)")
-FAM = {"middleware": "web_api", "orchestrator": "data_platform", "quality": "data_platform", "metric": "ml_pipeline", "framework": "ml_pipeline"}
-NOTES = [(p, "nfr_emphasis", v) for p, vs in P.PACK_EMPHASIS.items() for v in vs] + [(p, "section_notes." + s, t) for p in P.PACK_EMPHASIS for s, t in P.PACK_HINTS[p].items()]
-q("pack_signals", "SELECT s.repo, f.pack || '.' || s.family AS key, s.signal AS value FROM sig_counts s JOIN (" + values(FAM.items()) + ") f(family, pack) USING (family) JOIN active a ON a.repo = s.repo AND a.pack = f.pack UNION ALL SELECT repo, pack || '.' || k, v FROM active JOIN (" + values(NOTES) + ") n(pack, k, v) USING (pack)")
-q("pack_hints", "SELECT repo, section, string_agg(hint, ' ' ORDER BY score DESC, i) AS hint FROM active JOIN (" + values([(p, i, s, t) for i, (p, hs) in enumerate(P.PACK_HINTS.items()) for s, t in hs.items()]) + ") h(pack, i, section, hint) USING (pack) GROUP BY repo, section")
-cte("fresh_packs", """SELECT p.repo, p.name, p.conf FROM packfeats p WHERE (p.repo, lower(replace(p.name, ' ', '_'))) NOT IN (SELECT (repo, lower(replace(name, ' ', '_'))) FROM fallback)
-QUALIFY row_number() OVER (PARTITION BY p.repo, lower(replace(p.name, ' ', '_')) ORDER BY p.pack, p.family, p.name) = 1""")
-q("merge_skill_features", f"SELECT repo, count(*) AS n, {num('feat-', 'count(*)', 3)} AS last_id, sum(conf)::BIGINT AS conf FROM (SELECT repo, conf FROM fallback UNION ALL SELECT repo, conf FROM fresh_packs) GROUP BY repo")
-
 # ---- requirements -------------------------------------------------------------------------
 T = [(k, i, d, " ".join(a), a[0]) for k, rows in D.FR_TEMPLATES.items() for i, (d, a) in enumerate(rows)]
 G = [(i, d, " ".join(a), a[0]) for i, (d, a) in enumerate(D.FR_GENERIC)]
@@ -160,7 +170,7 @@ EXTRA = {
     10: f"CASE doc_id % 4 WHEN 0 THEN '| Host | Docker image |' || {NL} WHEN 1 THEN 'Kubernetes and gRPC' || {NL} WHEN 2 THEN 'GDPR applies to the iOS client' || {NL} || {NL} || {NL} || {NL} ELSE '' END",
 }
 cte("docs", "SELECT 'doc' || doc_id AS doc_key, source AS repo, " + " || ".join(
-    f"CASE WHEN (doc_id + {h}) % 17 = 0 THEN '' ELSE {lit(head)} || {NL} || {EXTRA.get(h, lit(''))} || substring(text, {h - 1} * (length(text) // 16) + 1, length(text) // 16) || {NL} END"
+    f"CASE WHEN (doc_id + {h}) % 17 = 0 THEN '' ELSE {lit(head)} || {NL} || {EXTRA.get(h, lit(''))} END || substring(text, {h - 1} * (length(text) // 16) + 1{', length(text) // 16' if h < len(D.HEADINGS) else ''}) || {NL}"
     for h, head in enumerate(D.HEADINGS, 1)) + " AS text FROM documents")
 
 
@@ -251,6 +261,27 @@ for i, (terms, changes) in enumerate(D.GROUNDING_REPAIR):
         e = f"regexp_replace({e}, {lit(x)}, {lit(r)}, 'g')"
     cte(f"grounded{i}", f"SELECT doc_key, bad, CASE WHEN list_has_any(bad, {terms}) THEN {e} ELSE text END AS text FROM " + (f"grounded{i - 1}" if i else "bad_terms"))
 q("repair_grounding", f"SELECT doc_key, md5(text) AS digest FROM grounded{len(D.GROUNDING_REPAIR) - 1}")
+from corpuscope.operators.repair import _steps  # noqa: E402
+
+
+def edits(k, kind, regex, new, src):
+    head = f"SELECT doc_key, {k}::BIGINT AS step, '{kind}' AS kind, "
+    if kind == "structure":
+        return head + f"""1::BIGINT AS n, (length(text) + 1)::BIGINT AS "at", '' AS old, {lit(new)} AS new FROM {src} WHERE hit"""
+    return head + f"""i::BIGINT AS n, (list_sum(list_transform(b[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(o[1:i - 1], lambda x: length(x))), 0) + 1)::BIGINT AS "at", o[i] AS old, {lit(new)} AS new
+ FROM (SELECT doc_key, o, b, unnest(range(1, len(o) + 1)) AS i FROM (SELECT doc_key, regexp_extract_all(text, {lit(regex)}) AS o, string_split_regex(text, {lit(regex)}) AS b FROM {src} WHERE hit))"""
+
+
+_log = []
+for k, (kind, cond, x, new) in enumerate(_steps(), 1):
+    x = x.replace(chr(92) + "z", "$") if kind != "structure" else x
+    hit = f"NOT contains(text, {lit(cond)})" if kind == "structure" else f"regexp_matches(text, {lit(x)})" + (f" AND list_has_any(bad, {cond})" if cond else "")
+    cte(f"step{k}", f"SELECT doc_key, bad, text, {hit} AS hit FROM " + (f"done{k - 1}" if k > 1 else "bad_terms"))
+    change = f"text || {lit(new)}" if kind == "structure" else f"regexp_replace(text, {lit(x)}, {lit(new)}, 'g')"
+    cte(f"done{k}", f"SELECT doc_key, bad, CASE WHEN hit THEN {change} ELSE text END AS text FROM step{k}")
+    _log.append(edits(k, kind, x, new, f"step{k}"))
+q("revision_log", "\nUNION ALL ".join(_log))
+q("replayed_documents", f"SELECT doc_key, md5(text) AS digest FROM done{len(_log)}")
 STUBS = " || ".join(f"CASE WHEN contains(text, {lit(h)}) THEN '' ELSE chr(10) || {lit(h)} || chr(10) || {lit('*' + h[3:] + ' — content pending.*')} || chr(10) END" for h in D.STUB_HEADINGS)
 q("repair_structure", f"SELECT doc_key, md5({stripped('regexp_replace(text || ' + STUBS + ', ' + lit(chr(92) + 'n{3,}') + ', chr(10) || chr(10), ' + lit('g') + ')')}) AS digest FROM docs")
 q("traceability_appendix", f"""SELECT doc_key, ord::BIGINT AS ord, '| ' || shown || ' | ' || coalesce((SELECT string_agg(req_id, ', ' ORDER BY ord) FROM frs f WHERE f.repo = r.repo AND f.linked_feature = r.name), '—') || ' | — |' AS line FROM feat_refs r WHERE NOT found

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from corpuscope.rules import languages as L, packs as P, signals as S
 from corpuscope.rules.languages import REGISTRY
-from corpuscope.sources.corpus import FEATURE_NAMES, SNIPPETS
+from corpuscope.sources.corpus import SNIPPETS
 
 from .build import anyword, base, case, cte, ext, hasdir, inlist, lit, num, q, rx, snake, stem, stripped, title, topdir, values
 
@@ -28,7 +28,10 @@ SELECT p.repo,
        WHEN i < 40 THEN 'name = "app' || r || '"' || chr(10) || 'description = "fixture"' || chr(10)
        ELSE k.snip || CASE WHEN k.app THEN text ELSE '' END END AS content
 FROM placed p JOIN snippet_rows k USING (s)""".replace('\\"', '"'))
-cte("files", f"SELECT repo, path, {ext()} AS ext, strlen(content) AS size, content FROM rawfiles")
+cte("allfiles", """SELECT repo, path, content FROM rawfiles UNION ALL
+SELECT p.repo, CASE WHEN i BETWEEN 20 AND 39 THEN 'text' || i || '.txt' ELSE k.dir || '/d' || i || '/text.txt' END, text
+FROM placed p JOIN snippet_rows k USING (s) WHERE CASE WHEN i < 20 THEN r IN (4, 14) WHEN i < 40 THEN r <> 19 ELSE NOT k.app END""")
+cte("files", f"SELECT repo, path, {ext()} AS ext, strlen(content) AS size, content FROM allfiles")
 cte("bare", "SELECT page_id, html, regexp_replace(url, '[?#].*$', '') AS u FROM pages")
 cte("webparts", "SELECT page_id, html, regexp_extract(u, '^[a-z]+://([^/]+)', 1) AS host, regexp_replace(regexp_replace(u, '^[a-z]+://[^/]+/?', ''), '/+$', '') AS folder FROM bare")
 cte("web", "SELECT host AS repo, CASE WHEN folder = '' THEN '' ELSE folder || '/' END || 'd' || page_id || '/index.html' AS path, '.html' AS ext, strlen(html) AS size, html AS content FROM webparts")
@@ -125,6 +128,8 @@ q("role_buckets", "SELECT repo, " + ", ".join(f"count(*) FILTER (WHERE role = '{
 q("directory_rollup", """SELECT repo, array_to_string(list_slice(ps, 1, k), '/') AS dir, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS bytes
 FROM (SELECT repo, size, string_split(path, '/') AS ps, unnest(range(1, len(string_split(path, '/')))) AS k FROM both_files) GROUP BY ALL""")
 q("scan_with_category", f"SELECT repo, path, ext, size, CASE WHEN ext = '.md' THEN 'unknown' ELSE {CATEGORY} END AS category, CASE WHEN ext = '.md' THEN 0.0::DOUBLE ELSE {CONFIDENCE} END AS confidence FROM files")
+q("payload_files", "SELECT repo, path, ext, size, category, confidence FROM classified")
+q("payload_records", """SELECT repo, '{"path":' || to_json(path) || ',"ext":' || to_json(ext) || ',"size":' || size || ',"category":"' || category || '","confidence":' || confidence || '}' AS record FROM classified""")
 q("final_payload", """SELECT repo, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS bytes, count(*) FILTER (WHERE category = 'unknown') AS n_unknown,
  any_value(c.n) AS n_chunks, any_value(m.n) AS n_modules, any_value(score) AS score, any_value(valid) AS valid, any_value(n_issues) AS n_issues
 FROM classified JOIN (SELECT repo, count(*) n FROM chunks GROUP BY repo) c USING (repo) JOIN (SELECT repo, count(*) n FROM modules_norm GROUP BY repo) m USING (repo)

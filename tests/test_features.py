@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from corpuscope.operators import features as FT, numbering as N, quality as Q, repair as RP, report as R, requirements as RQ
 from corpuscope.plans import analyze as A
 from corpuscope.queries import Tables
-from corpuscope.rules import documents as D
+from corpuscope.rules import documents as D, packs as P
 from corpuscope.sources import sinks
 
 FLAGS = ["has_http_api", "has_grpc", "has_docker", "has_kubernetes", "has_android", "has_ios", "has_gdpr_mention"]
@@ -33,12 +33,25 @@ def test_batches(spark):
     assert [r["count"] for r in N.batches(df, ["repo"], ["id"], 8).groupBy("batch").count().orderBy("batch").collect()] == [8, 8, 4]
 
 
-def test_shared_keywords_are_counted_once(spark):
-    t = Tables(spark, "/root/testdata/sf0.001")
-    plain = FT.feature_file_counts(t.fallback, t.classified, shared_limit=10**6)
-    for limit in (0, 2):
-        other = FT.feature_file_counts(t.fallback, t.classified, shared_limit=limit)
-        assert plain.exceptAll(other).count() == 0 and other.exceptAll(plain).count() == 0
+def test_keywords_are_found_in_whole_files(spark, files):
+    """A keyword behind the first 500 characters counts; a file counts once for a feature; hot words by brute force."""
+    tree = {"hot": {f"src/f{i}.py": "x " * 300 + ("service " if i % 2 else "") + ("Billing\n" if i % 3 else "") + ("invoice service" if i % 5 == 0 else "") for i in range(30)},
+            "r2": {"tests/test_a.py": "billing", "b.py": "nothing here"}}
+    data = files(tree)
+    names = ["Billing Service", "Invoice Service", "Service", "Lost", "a_b", "billing invoice"]
+    feats = spark.createDataFrame([(r, f"f{k}", n, k) for r in ("hot", "r2") for k, n in enumerate(names)], "repo string, feature_id string, name string, ord int")
+    rows = [(r.repo, r.path, (r.path + "\n" + r.content).lower()) for r in data.collect()]
+    want = {}
+    for repo in ("hot", "r2"):
+        for k, n in enumerate(names):
+            words = [w for w in n.lower().replace(" ", "_").split("_") if len(w) >= 3]
+            hit = [p for r, p, t in rows if r == repo and any(w in t for w in words)]
+            if hit:
+                want[repo, f"f{k}"] = (len(hit), sum("test" in p for p in hit))
+    assert {(r.repo, r.feature_id): (r.n_files, r.n_negative) for r in FT.feature_file_counts(feats, data).collect()} == want
+    assert FT.feature_file_counts(feats, data, head=500).filter("repo = 'hot'").count() == 0
+    plan = FT.feature_file_counts(feats, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "content" not in plan  # texts end in the row of their file
 
 
 def test_contains_join_equals_cross_check(spark):
@@ -50,9 +63,39 @@ def test_contains_join_equals_cross_check(spark):
     assert got == sorted((w, x) for _, w in hay for _, x, _ in needles if x in w)
 
 
+FEATURE_NAMES = [
+    "container_orchestration_config", "ci_cd_pipeline_config", "token_based_authentication",
+    "secret_credential_management", "domain_entity_modelling", "domain_service_layer",
+    "Order Search", "order search", "User Login", "USER LOGIN", "dashboard_report", "test_suite_runner",
+]
+
+
+def _seed(spark):
+    """Twelve features of three repositories, with case variants and members of merge groups."""
+    rows = [(f"src{r}", f"in-{n:02d}", name, f"Feature {name}.", 30 + (17 * n + 5 * r) % 70, n) for r in range(3) for n, name in enumerate(FEATURE_NAMES, 1)]
+    return spark.createDataFrame(rows, "repo string, feature_id string, name string, description string, conf int, ord int")
+
+
+def test_merging_by_hand(spark):
+    """Case variants become one row with the best member; synonyms become one group; ids follow confidence."""
+    seed = _seed(spark)
+    deduped = {(r.repo, r.name.lower()): r for r in FT.dedupe_features(seed).collect()}
+    assert len(deduped) == 3 * 10 and deduped["src0", "order search"].members == 2
+    best = max((r for r in seed.collect() if r.repo == "src0" and r.name.lower() == "user login"), key=lambda r: (r.conf, -r.ord))
+    assert (deduped["src0", "user login"].name, deduped["src0", "user login"].conf) == (best.name, best.conf)
+    done = FT.validate_features(seed).collect()
+    groups = {n for n in FEATURE_NAMES if n in P.MERGE_GROUPS}
+    assert groups and all(sum(r.members for r in done if r.repo == f"src{k}") == 12 for k in range(3))
+    for k in range(3):
+        own = sorted((r for r in done if r.repo == f"src{k}"), key=lambda r: r.ord)
+        assert [r.feature_id for r in own] == [f"feat-{i:03d}" for i in range(1, len(own) + 1)]
+        assert [(-r.conf, r.name) for r in own] == sorted((-r.conf, r.name) for r in own)
+    members = FT.merge_members(seed, FT.validate_features(seed))
+    assert members.count() == 36 and members.select("repo", "merged_id").distinct().count() == 36
+
+
 def test_dedupe_is_idempotent(spark):
-    t = Tables(spark, "/root/testdata/sf0.001")
-    once = FT.dedupe_features(t.seed)
+    once = FT.dedupe_features(_seed(spark))
     twice = FT.dedupe_features(once)
     cols = ["repo", "name", "description", "conf", "members"]
     assert once.select(cols).exceptAll(twice.select(cols)).count() == 0
@@ -91,6 +134,24 @@ def test_repair_clears_phrases_and_claims(spark):
     assert any(r.iterations for r in rows)
 
 
+def test_revision_log_replays(spark):
+    """Edits are rows whose offsets point at the old text, and replaying them gives the repaired text."""
+    texts = ["User-friendly and USER-FRIENDLY, as needed.\n\n\n\nDocker and Docker\n| a | Kubernetes | b |\n", "", None, "  plain  ", "etc. etc.\n" * 3]
+    docs = spark.createDataFrame([(f"d{i}", "r", t) for i, t in enumerate(texts)], "doc_key string, repo string, text string").na.fill("", ["text"])
+    ev = _ev(spark)
+    log = RP.revision_log(docs, ev)
+    done = {r.doc_key: r.text for r in RP.logged_pass(docs, ev).collect()}
+    marked = docs.withColumn("iterations", F.lit(0))
+    scores = docs.select("doc_key", F.lit(True).alias("needs_revision"))
+    assert done == {r.doc_key: r.text for r in RP.repair_pass(marked, scores, ev).collect()}
+    assert done == {r.doc_key: r.text for r in RP.replay(docs, log).collect()}
+    first = [r for r in log.filter("doc_key = 'd0' and kind = 'clarity'").orderBy("step", "n").collect()]
+    assert [(r.old, r.at, r.n) for r in first][:2] == [("User-friendly", 1, 1), ("USER-FRIENDLY", 1 + len("User-friendly and "), 2)]
+    assert log.filter("doc_key = 'd4' and old = 'etc.'").count() == 6
+    t = Tables(spark, "/root/testdata/sf0.001")
+    assert RP.replay(t.docs, RP.revision_log(t.docs, t.evidence)).exceptAll(RP.logged_pass(t.docs, t.evidence).select("doc_key", "repo", "text")).count() == 0
+
+
 def test_full_run_and_report_parts(spark, files, tmp_path):
     tree = {"one": {"README.md": "# one\nGDPR", "src/main.py": '"""Doc."""\n@app.get("/orders/list")\ndef x(): pass\n', "Dockerfile": "FROM x",
                     "src/user_service.py": "class UserService: pass", "requirements.txt": "flask==2\nmysqlclient==1"},
