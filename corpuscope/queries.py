@@ -81,7 +81,7 @@ class Tables:
     def seed(self):
         """The features of the run, before they are deduplicated and merged."""
         return self._once("seed", lambda: A.collect_features({"modules": self.modules, "classified": self.classified, "scan": self.scan},
-                                                             {"deps": self.deps, "evidence": self.evidence}))
+                                                             {"deps": hold(self.deps), "evidence": hold(self.evidence)}))
 
     @property
     def features(self):
