@@ -166,6 +166,20 @@ def test_repeats(spark, odd_docs, small, monkeypatch, length, many):
     assert got == brute_cut(texts(docs), length)
 
 
+def test_planted_passages(spark):
+    """Passages shared by two documents go exactly from 400 bytes on, whatever their number of words."""
+    rows, want = [], {}
+    for i, n in enumerate([300, 350, 380, 399, 400, 401, 430, 500, 650, 800]):
+        passage = " ".join(words(500 + i, 300))[:n]
+        for k in range(2):
+            key = 2 * i + k
+            rows.append((key, " ".join(words(900 + key, 40)) + f"<{key}>" + passage + f"[{key}]" + " ".join(words(1900 + key, 40))))
+            want[key] = n if n >= 400 else 0
+    assert all(len(" ".join(words(500 + i, 300))[:n].split()) > 50 for i, n in enumerate([300, 350]))  # over 50 words, and shorter than 400 bytes
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_repeats_of_nothing(no_docs):
     assert suffix_dedup.remove_repeats(no_docs).count() == 0
 
