@@ -173,7 +173,7 @@ def test_planted_passages(spark):
         passage = " ".join(words(500 + i, 300))[:n]
         for k in range(2):
             key = 2 * i + k
-            rows.append((key, " ".join(words(900 + key, 40)) + f"<{key}>" + passage + f"[{key}]" + " ".join(words(1900 + key, 40))))
+            rows.append((key, " ".join(words(900 + key, 40)) + f"<{k}" + passage + f"{k}>" + " ".join(words(1900 + key, 40))))
             want[key] = n if n >= 400 else 0
     assert all(len(" ".join(words(500 + i, 300))[:n].split()) > 50 for i, n in enumerate([300, 350]))  # over 50 words, and shorter than 400 bytes
     got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
