@@ -172,8 +172,9 @@ def summed(fit: DataFrame, dimension: int, of: callable, shape: tuple[int, ...])
             x = decoded(b.column(0), dimension)
             if len(x):
                 total += of(x)
-                total[1:] += total[:-1] >> 32  # carried, so that no limb overflows however many batches there are
-                total[:-1] &= 0xFFFFFFFF
+                for k in range(LIMBS - 1):  # carried from limb to limb, so that none overflows however many batches there are
+                    total[k + 1] += total[k] >> 32
+                    total[k] &= 0xFFFFFFFF
         yield packed({"part": [TaskContext.get().partitionId()], "values": [total.tobytes()]}, schema)
 
     rows = fit.select("x")

@@ -57,6 +57,22 @@ def test_many_tasks_are_added_up_in_a_tree(spark, monkeypatch):
     assert got.keys() == whole.keys() and all(got[k]["deviation"] == whole[k][3] and abs(abs(got[k]["whitened"]) - abs(whole[k][4])) < 1e-12 for k in got)
 
 
+def test_batches_of_either_sign_add_up(spark):
+    """A carry runs through all limbs when the sum of a task changes its sign from one batch to the next."""
+    rng = np.random.default_rng(6)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(120, 3)) * [3, 100, .01])]
+    n, s, _, x, _ = brute(rows)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "4")
+    try:
+        got = whitening.whiten(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)).collect()
+    finally:
+        spark.conf.set(size, before)
+    want = {i: sum((n * a - b)**2 for a, b in zip(v, s)) for i, v in x}
+    assert len(got) == 3 * len(x) and all(r["n"] == n and r["deviation"] == want[r["vec_id"]] and r["identity_error"] < 1e-9 for r in got)
+
+
 def test_nothing_and_no_variance(spark):
     schema = "vec_id long, embedding array<float>"
     assert whitening.whiten(spark.createDataFrame([], schema)).count() == 0
