@@ -22,8 +22,13 @@ def drop_known(files: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def unknown_extensions(classified: DataFrame, cache: DataFrame, limit: int = 800) -> DataFrame:
-    """One readable snippet per repository and extension that nobody knows."""
-    return snippet_of(representative_per_ext(drop_known(classified, cache)), limit)
+    """One readable snippet per repository and extension that nobody knows.
+
+    Known extensions go last, from a row per repository and extension: a join of the files
+    themselves would send all contents of an extension to one task.
+    """
+    starts = classified.withColumn("content", F.substring("content", 1, limit))
+    return snippet_of(drop_known(representative_per_ext(starts), cache), limit)
 
 
 def infer_languages(snippets: DataFrame, rules=LANGUAGE_TOKENS, scorer=None) -> DataFrame:
