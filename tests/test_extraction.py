@@ -204,3 +204,12 @@ def test_root_with_regex_signs(spark, tmp_path):
     (root / "repo" / "src").mkdir(parents=True)
     (root / "repo" / "src" / "a.py").write_text("x")
     assert [(r.repo, r.path) for r in read_tree(spark, str(root)).collect()] == [("repo", "src/a.py")]
+
+
+def test_known_extensions_go_after_grouping(spark, files):
+    """Contents never meet the known extensions in a join, which would deal them by extension."""
+    tree = {"b/q.abcml": "later", "a/p.abcml": "  first " + "x" * 2000, "a/x.py": "print()", "a/z.qqq": " "}
+    snips = L.unknown_extensions(CL.classify_files(files(tree)), RG.lang_ext(spark).filter("ext <> '.abcml'"))
+    assert {(r.ext, r.path, r.snippet) for r in snips.collect()} == {(".abcml", "a/p.abcml", ("first " + "x" * 2000)[:798])}
+    plan = snips._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.index("Join LeftAnti") < plan.index("min_by(")
