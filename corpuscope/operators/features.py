@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.text import (contains_any, display, feature_key, lit_array, numbered, snake, title,
                               title_with_acronyms, trim_to_words)
 from ..rules import packs as P, signals as S
-from ..session import hold
+from ..session import fixed_rows, hold
 from .chunks import chunk_array
 from .classify import negative_path
 from .names import salted_join, with_names
@@ -430,10 +430,10 @@ def merge_pack_results(scores: DataFrame, features: DataFrame, signals: DataFram
     notes = [(p, "nfr_emphasis", v) for p, vs in P.PACK_EMPHASIS.items() for v in vs] \
         + [(p, "section_notes." + s, t) for p in P.PACK_EMPHASIS for s, t in P.PACK_HINTS[p].items()]
     spark = scores.sparkSession
-    note_dim = F.broadcast(spark.createDataFrame(notes, "pack string, key string, value string"))  # fixed notes
+    note_dim = F.broadcast(fixed_rows(spark, notes, "pack string, key string, value string"))  # fixed notes
     keyed = keyed.unionByName(active.join(note_dim, "pack").select("repo", F.concat("pack", F.lit("."), "key").alias("key"), "value")).distinct()
     hints = [(p, i, s, t) for i, (p, hs) in enumerate(P.PACK_HINTS.items()) for s, t in hs.items()]
-    hint_dim = F.broadcast(spark.createDataFrame(hints, "pack string, pack_no int, section string, hint string"))
+    hint_dim = F.broadcast(fixed_rows(spark, hints, "pack string, pack_no int, section string, hint string"))
     merged = active.join(hint_dim, "pack").groupBy("repo", "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
         F.struct((-F.col("score")).alias("s"), "pack_no", "hint"))), lambda x: x["hint"]), " ").alias("hint"))  # one row per pack
     return feats, keyed, merged

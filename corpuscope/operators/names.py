@@ -13,6 +13,8 @@ from ..session import hold
 
 #: Bytes of names in one automaton; it takes some hundred times that in memory.
 BLOCK_BYTES = 1 << 20
+#: Rows of a batch that a task has as Python objects at a time.
+PIECE_ROWS = 128
 #: Parts of a key that may hold many rows.
 SALTS = 16
 
@@ -48,12 +50,15 @@ def _matched(docs: DataFrame, block: DataFrame, text: str, out: str) -> DataFram
             find = lambda t: [i for i, w in enumerate(words) if w in t]
         values = pa.array(words, pa.string())
         for b in batches:
-            found = [sorted(find(t)) if t else [] for t in b.column(0).to_pylist()]
-            ends = [0]
-            for f in found:
-                ends.append(ends[-1] + len(f))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values.take(pa.array([i for f in found for i in f], pa.int64())))
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], lists], names=[*b.schema.names[1:], out])
+            for at in range(0, b.num_rows, PIECE_ROWS):
+                piece = b.slice(at, PIECE_ROWS)
+                found = [sorted(find(t)) if t else [] for t in piece.column(0).to_pylist()]
+                ends = [0]
+                for f in found:
+                    ends.append(ends[-1] + len(f))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values.take(pa.array([i for f in found for i in f], pa.int64())))
+                yield pa.RecordBatch.from_arrays([*piece.columns[1:], lists], names=[*b.schema.names[1:], out])
+            b = piece = None  # else they stay while the next batch is read
 
     schema = T.StructType([*kept, T.StructField(out, T.ArrayType(T.StringType()))])
     return docs.select(text, *[f.name for f in kept]).mapInArrow(part, schema)

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.paths import suffix
+from ..session import fixed_rows
 from .files import spread
 
 # (number, kind, dir, name, append the document text, content)
@@ -52,7 +53,7 @@ def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"), "doc_id")
     i, r = F.col("doc_id"), F.col("doc_id") % 20
     s = (7 * i + F.floor(i / 20)) % 31
-    snippets = F.broadcast(spark.createDataFrame(SNIPPETS, SNIPPET_SCHEMA))  # 31 rows, fixed
+    snippets = F.broadcast(fixed_rows(spark, SNIPPETS, SNIPPET_SCHEMA))  # 31 rows, fixed
     kinds = {0: F.lit(True), 1: r % 5 == 0, 2: r % 5 == 1, 3: r % 5 == 2, 4: r % 4 == 1, 5: r % 2 == 0,
              6: r % 3 != 0, 7: r % 2 == 1, 8: r % 7 == 0}
     kind_of = F.create_map(*[F.lit(x) for n, k, *_ in SNIPPETS for x in (n, k)])

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, ty
 
 from ..rules.languages import REGISTRY, Registry
 from ..rules.packs import ARCHETYPES, PACKS
-from ..session import small_rows
+from ..session import fixed_rows, small_rows
 
 LANGUAGE = T.StructType([
     T.StructField("extensions", T.ArrayType(T.StringType())), T.StructField("role", T.StringType()),
@@ -59,12 +59,12 @@ def registry_from(spark: SparkSession, path: str) -> Registry:
 
 
 def lang_ext(spark: SparkSession, registry: Registry = REGISTRY) -> DataFrame:
-    return spark.createDataFrame(list(registry.lang_ext), "ext string, language string, role string, tier string")
+    return fixed_rows(spark, list(registry.lang_ext), "ext string, language string, role string, tier string")
 
 
 def list_languages(spark: SparkSession, registry: Registry = REGISTRY) -> DataFrame:
     """Distinct language names of both tiers."""
-    rows = spark.createDataFrame(list(registry.languages), "language string, role string, tier string")
+    rows = fixed_rows(spark, list(registry.languages), "language string, role string, tier string")
     tier = lambda t: rows.filter(F.col("tier") == t).select("language")
     return tier("curated").union(tier("inferred")).filter(~F.col("language").startswith("_")).distinct()
 

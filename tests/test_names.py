@@ -76,3 +76,34 @@ def test_issue_texts(spark):
             (9, "[GROUNDING] BRD mentions 'Docker' but evidence key 'has_docker' is False. This claim may not be supported by the repository.")} <= got
     assert any(d == 5 and i.startswith("FR-77 does not contain a testable verb") for d, i in got) and any(d == 6 and i.startswith("NFR-3 contains") for d, i in got)
     assert any(d == 7 and "generic roles" in i for d, i in got)
+
+
+@pytest.mark.parametrize("reader", ["names", "matcher"])
+def test_a_task_has_a_piece_of_a_batch_at_a_time(spark, monkeypatch, reader):
+    import pyarrow as pa
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    from corpuscope.operators import matcher
+    sent = []
+    monkeypatch.setattr(Classic, "mapInArrow", lambda df, part, schema: sent.append(part) or df)
+    n = 1000
+    if reader == "names":
+        docs = spark.createDataFrame([("d", "r", "t")], "doc_key string, repo string, text string")
+        NM._matched(docs, spark.createDataFrame([("order",)], "name string"), "text", "names")
+        batch = pa.record_batch({"text": ["no order"] * n, "doc_key": [str(i) for i in range(n)], "repo": ["r"] * n})
+    else:
+        files = spark.createDataFrame([("r", "p", ".py", True, "t")], "repo string, path string, ext string, in_web boolean, content string")
+        matcher.tagged_matches(files, [matcher.Search("f", "s", "order", "in_web")])
+        batch = pa.record_batch({"repo": ["r"] * n, "path": [str(i) for i in range(n)], "ext": [".py"] * n, "in_web": [True] * n, "content": ["no order"] * n})
+    out = list(sent[0](iter([batch, batch.slice(0, 0)])))
+    assert max(b.num_rows for b in out) <= NM.PIECE_ROWS
+    assert [x for b in out for x in b.column(0 if reader == "names" else 1).to_pylist()] == [str(i) for i in range(n)]
+    assert all(len(x) == 1 for b in out for x in b.column(b.num_columns - 1).to_pylist())
+
+
+def test_fixed_rows_need_no_python_task(spark):
+    from corpuscope.session import fixed_rows
+    rows = [(1, "a", True), (2, None, False)]
+    df = fixed_rows(spark, rows, "i int, s string, b boolean")
+    assert [tuple(r) for r in df.collect()] == rows and df.dtypes == [("i", "int"), ("s", "string"), ("b", "boolean")]
+    assert "PythonRDD" not in df._jdf.queryExecution().toRdd().toDebugString()
