@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.text import display, word_count
 from ..rules import documents as D
 from ..session import hold
+from .chunks import bound
 from .names import salted_join, with_names
 
 DIMENSIONS = ["completeness", "traceability", "phantom_ids", "clarity", "testability", "nfr_specificity",
@@ -31,27 +32,40 @@ def _count(conds) -> Column:
     return sum((F.when(c, 1).otherwise(0) for c in conds), F.lit(0))
 
 
-def heading_positions(text: Column) -> Column:
-    return F.array(*[F.instr(text, F.lit(h)) for h in D.HEADINGS])
+def section_parts(text: Column) -> Column:
+    """The text cut before every ``## ``, so that a heading that occurs starts a part."""
+    return F.split(text, "(?=## )")
 
 
-def _bodies(text: Column, pos: Column):
+def heading_positions(parts: Column) -> Column:
+    """The first part, from 1, that starts with each heading; 0 where the heading is absent."""
+    label = lambda p: F.coalesce(*[F.when(p.startswith(h), F.lit(i)) for i, h in enumerate(D.HEADINGS)])
+    return bound(F.transform(parts, label), lambda labels: F.array(*[F.array_position(labels, i).cast("int") for i in range(len(D.HEADINGS))]))
+
+
+def _bodies(parts: Column, pos: Column):
     """(present, body) of every heading. A section ends at the next listed heading behind it."""
     out = []
     for i, heading in enumerate(D.HEADINGS):
         start = F.get(pos, F.lit(i))
         later = [F.when(F.get(pos, F.lit(j)) > start, F.get(pos, F.lit(j))) for j in range(i + 1, len(D.HEADINGS))]
-        end = F.coalesce(*later, F.length(text) + 1)
-        out.append((start > 0, F.substr(text, start + len(heading), F.greatest(F.lit(0), end - start - len(heading)))))
+        end = F.coalesce(*later, F.size(parts) + 1)
+        whole = F.array_join(F.slice(parts, F.greatest(start, F.lit(1)), F.greatest(F.lit(0), end - start)), "")
+        out.append((start > 0, F.substr(whole, F.lit(len(heading) + 1))))
     return out
 
 
+def _words_at_least(n: int) -> str:
+    """Regex of a text with ``n`` words or more: it is tried at the start only, and stops at the last word asked for."""
+    return r"\A\s*+\S++(?:\s++\S++){%d}" % (n - 1)
+
+
 def split_sections(docs: DataFrame) -> DataFrame:
     """(doc_key, section, heading, n_words) of the sections a document has."""
-    base = docs.withColumn("pos", heading_positions(F.col("text")))
+    base = docs.withColumn("parts", section_parts(F.col("text"))).withColumn("pos", heading_positions(F.col("parts")))
     parts = F.array(*[F.when(here, F.struct(F.lit(i + 1).alias("section"), F.lit(D.HEADINGS[i]).alias("heading"),
                                             word_count(body).alias("n_words")))
-                      for i, (here, body) in enumerate(_bodies(F.col("text"), F.col("pos")))])
+                      for i, (here, body) in enumerate(_bodies(F.col("parts"), F.col("pos")))])
     return base.select("doc_key", F.explode(F.array_compact(parts)).alias("s")).select("doc_key", "s.*")
 
 
@@ -81,9 +95,9 @@ def term_regex(term: str) -> str:
     return r"(?i)\b" + term + r"s?\b"
 
 
-def mentions(text: Column) -> Column:
+def mentions(text: Column, lowered: Column | None = None) -> Column:
     """Which of the technology terms a text mentions, in rule order; a byte search goes first."""
-    lowered = F.lower(text)
+    lowered = F.lower(text) if lowered is None else lowered
     return F.array(*[lowered.contains(t.lower()) & text.rlike(term_regex(t)) for t, _ in D.GROUNDING])
 
 
@@ -102,7 +116,7 @@ def _shared(docs: DataFrame) -> DataFrame:
     """What several scores use, in one projection, so that it is computed once per document."""
     text = F.col("text")
     base = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    base = base.withColumn("pos", heading_positions(text)).withColumn("lowered", F.lower("text")) \
+    base = base.withColumn("parts", section_parts(text)).withColumn("pos", heading_positions(F.col("parts"))).withColumn("lowered", F.lower("text")) \
                .withColumn("id_lines", F.filter(F.split(text, "\n"), lambda x: x.contains("FR-")))
     return base.withColumn("fr", F.filter("id_lines", lambda x: x.rlike(D.FR_ID))) \
                .withColumn("nfr", F.filter("id_lines", lambda x: x.rlike(D.NFR_ID)))
@@ -110,8 +124,8 @@ def _shared(docs: DataFrame) -> DataFrame:
 
 def _score_columns() -> list[Column]:
     text, lower, fr, nfr = F.col("text"), F.col("lowered"), F.col("fr"), F.col("nfr")
-    bodies = _bodies(text, F.col("pos"))
-    deep = [here & (F.regexp_count(body, F.lit(r"\S+")) >= (60 if i == 0 else 30)) for i, (here, body) in enumerate(bodies)]
+    bodies = _bodies(F.col("parts"), F.col("pos"))
+    deep = [here & body.rlike(_words_at_least(60 if i == 0 else 30)) for i, (here, body) in enumerate(bodies)]
     return [
         ratio(_count([here for here, _ in bodies]), F.lit(len(bodies))).alias("completeness"),
         F.greatest(F.lit(0), 10000 - 1000 * _count([lower.contains(p) for p in D.CLARITY])).alias("clarity"),
@@ -119,7 +133,7 @@ def _score_columns() -> list[Column]:
         ratio(F.size(F.filter(nfr, lambda x: ~x.rlike(D.PLACEHOLDER))), F.size(nfr)).alias("nfr_specificity"),
         _stakeholder_points(text).alias("stakeholders"),
         ratio(_count(deep), F.greatest(_count([here for here, _ in bodies]), F.lit(1))).alias("depth"),
-        mentions(text).alias("mentioned")]
+        mentions(text, lower).alias("mentioned")]
 
 
 def text_scores(docs: DataFrame) -> DataFrame:
@@ -298,7 +312,7 @@ def _text_issues() -> Column:
     points = _stakeholder_points(text)
     own.append(F.array_compact(F.array(F.when(points == 5000, _issue(7, T["no_stakeholders"])), F.when(points == 6000, _issue(7, T["generic_roles"])))))
     shallow = []
-    for i, (here, body) in enumerate(_bodies(text, F.col("pos"))):
+    for i, (here, body) in enumerate(_bodies(F.col("parts"), F.col("pos"))):
         n, least = word_count(body), 60 if i == 0 else 30
         before, behind = T["summary"] if i == 0 else (T["shallow"][0] + D.HEADINGS[i][3:] + T["shallow"][1], T["shallow"][2])
         shallow.append(F.when(here & (n < least), _issue(8, before, n.cast("string"), behind)))

@@ -5,18 +5,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import contains_any, display
 from ..rules import documents as D
-from ..session import hold
+from ..session import hold, release
 from . import quality as Q
 from .chunks import bound
 from .names import salted_join
 
 
-def clear_phrases(text: Column) -> Column:
-    """Precise phrases for vague ones; a text that holds none is left alone after a byte search."""
+def clear_phrases(text: Column, vague: Column) -> Column:
+    """Precise phrases for vague ones in the texts marked ``vague``; the others are left alone."""
     clear = text
     for phrase, precise in D.CLARITY.items():
         clear = F.regexp_replace(clear, Q.quoted(phrase), precise)
-    return F.when(contains_any(F.lower(text), D.CLARITY), clear).otherwise(text)
+    return F.when(vague, clear).otherwise(text)
 
 
 def repair_clarity(docs: DataFrame) -> DataFrame:
@@ -53,19 +53,27 @@ def structure_text(text: Column) -> Column:
 
 
 def tidy(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    """No runs of blank lines, and no white space at the ends.
+
+    The end of the regex may also stand before a last line separator, so it is left to texts with one.
+    """
+    fewer = F.when(text.contains("\n\n\n"), F.regexp_replace(text, r"\n{3,}", "\n\n")).otherwise(text)
+    odd = text.endswith("\u0085") | text.endswith("\u2028") | text.endswith("\u2029")
+    return F.when(odd, F.regexp_replace(fewer, r"^\s+|\s+$", "")).otherwise(F.btrim(fewer, F.lit(" \t\n\x0b\f\r")))
 
 
 def _with_bad_terms(docs: DataFrame, ev: DataFrame) -> DataFrame:
-    """Documents with the ungrounded terms they mention. Flags join on the repository."""
-    out = salted_join(docs.withColumn("mentioned", Q.mentions(F.col("text"))), Q._flags(ev), ["repo"], how="left")
+    """Documents with the ungrounded terms they mention, and whether they hold a vague phrase. Flags join on the repository."""
+    told = docs.withColumn("lowered", F.lower("text"))  # once, it is dear where a text is not ASCII
+    told = told.select(*docs.columns, Q.mentions(F.col("text"), F.col("lowered")).alias("mentioned"), contains_any(F.col("lowered"), D.CLARITY).alias("vague"))
+    out = salted_join(told, Q._flags(ev), ["repo"], how="left")
     bad = F.when(F.col("known"), Q.ungrounded(F.col("mentioned"))).otherwise(F.expr("cast(array() as array<string>)"))
-    return out.withColumn("bad", bad).select(*docs.columns, "bad")
+    return out.withColumn("bad", bad).select(*docs.columns, "bad", "vague")
 
 
 def repair_grounding(docs: DataFrame, ev: DataFrame) -> DataFrame:
     """I16: neutral wording for technology claims without evidence."""
-    return ground_text(_with_bad_terms(docs, ev)).drop("bad")
+    return ground_text(_with_bad_terms(docs, ev)).drop("bad", "vague")
 
 
 def repair_structure(docs: DataFrame) -> DataFrame:
@@ -161,26 +169,34 @@ def replay(docs: DataFrame, log: DataFrame) -> DataFrame:
     return docs.join(per_doc, "doc_key", "left").withColumn("text", text).drop("edits")
 
 
-def repair_pass(docs: DataFrame, scores: DataFrame, ev: DataFrame) -> DataFrame:
-    """One pass: documents that need a revision are repaired, the others stay as they are."""
+def repair_pass(docs: DataFrame, scores: DataFrame, ev: DataFrame, note: bool = False) -> DataFrame:
+    """One pass: documents that need a revision are repaired, the others stay as they are.
+
+    With ``note`` the rows also say whether the text has ``changed``.
+    """
     marked = docs.join(scores.select("doc_key", "needs_revision"), "doc_key")
     fixed = _with_bad_terms(marked, ev).withColumn("old", F.col("text"))
-    fixed = ground_text(fixed.withColumn("text", structure_text(clear_phrases(F.col("text")))))
+    fixed = ground_text(fixed.withColumn("text", structure_text(clear_phrases(F.col("text"), F.col("vague")))))
     text = F.when(F.col("needs_revision"), tidy(F.col("text"))).otherwise(F.col("old"))
-    return fixed.select("doc_key", "repo", text.alias("text"),
-                        (F.col("iterations") + F.col("needs_revision").cast("int")).alias("iterations"))
+    out = fixed.select("doc_key", "repo", text.alias("text"), (F.col("iterations") + F.col("needs_revision").cast("int")).alias("iterations"), "old")
+    return out.withColumn("changed", ~F.col("text").eqNullSafe(F.col("old"))).drop("old") if note else out.drop("old")
 
 
 def repair_loop(docs: DataFrame, features: DataFrame, frs: DataFrame, ev: DataFrame, passes: int = 2) -> DataFrame:
     """Score, repair where needed, score again; two passes, held in between.
 
-    A document that passes keeps its text and its score, so the unrolled passes give what a
-    loop with an early stop gives.
+    A document whose text a pass leaves as it was keeps its scores, so only the texts that a pass
+    changes are read again, and the unrolled passes give what a loop with an early stop gives.
     """
     state = docs.select("doc_key", "repo", "text").withColumn("iterations", F.lit(0))
-    first = scores = Q.score_document(state, features, frs, ev)
+    first = scores = hold(Q.score_document(state, features, frs, ev))
     for _ in range(passes):
-        state = hold(repair_pass(state, scores, ev))
-        scores = Q.score_document(state, features, frs, ev)
+        before, known = state, scores
+        state = hold(repair_pass(state, scores, ev, note=True))
+        again = Q.score_document(state.filter("changed").select("doc_key", "repo", "text"), features, frs, ev)
+        kept = known.join(state.filter("changed").select("doc_key").distinct(), "doc_key", "left_anti")
+        scores = hold(kept.unionByName(again))
+        release(before, *([known] if known is not first else []))
+        state = state.drop("changed")
     before = first.select("doc_key", F.col("score").alias("first_score"))
     return state.join(scores.drop("repo"), "doc_key").join(before, "doc_key")

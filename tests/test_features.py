@@ -184,3 +184,15 @@ def test_a_long_report_is_scored_and_repaired(spark, files):
         .withColumn("line", F.concat(F.lit("row "), F.col("k").cast("string"))).select(*lines.columns)
     r = R.render_report(lines.unionByName(more)).first()
     assert r.part == 0 and r.n_lines > 25_000 and r.text.count("\n") == r.n_lines - 1
+
+
+def test_repair_loop_reads_changed_texts_only(spark, monkeypatch):
+    """The scoring after a pass meets the documents whose text it changed; the others keep their scores."""
+    docs = spark.createDataFrame([("d0", "r", "User-friendly, etc.\n\n\n\nFR-9 runs"), ("d1", "r", "  plain  "), ("d2", "r", "")], "doc_key string, repo string, text string")
+    features = spark.createDataFrame([("r", "feat-001", "order_search", 1)], "repo string, feature_id string, name string, ord int")
+    frs = spark.createDataFrame([("r", "FR-1", "order_search", 1)], "repo string, req_id string, linked_feature string, ord int")
+    asked, score = [], Q.score_document
+    monkeypatch.setattr(Q, "score_document", lambda d, *rest: asked.append(d.count()) or score(d, *rest))
+    rows = RP.repair_loop(docs, features, frs, _ev(spark)).collect()
+    assert [r.iterations for r in rows] == [2, 2, 2] and asked == [3, 3, 0]
+    assert {r.doc_key: r.score for r in rows} == {r.doc_key: r.score for r in score(docs.sparkSession.createDataFrame([(r.doc_key, r.repo, r.text) for r in rows], "doc_key string, repo string, text string"), features, frs, _ev(spark)).collect()}
