@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import json
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -83,6 +84,25 @@ def best_fit_decreasing(lengths: list[int], window: int) -> tuple[list[tuple[int
     return out, opened
 
 
+class _Blank(Exception):
+    """A piece of a text has blanks of its own."""
+
+
+class _Known(dict):
+    """Ids of pieces that follow a space, remembered up to a bound."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            raise _Blank
+        if len(self) >= MEMORY:
+            self.clear()
+        ids = self[piece] = self.encode(" " + piece)
+        return ids
+
+
 class WordIds:
     """Token ids of a text as little-endian 32-bit numbers.
 
@@ -98,12 +118,13 @@ class WordIds:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self.whole)
         self.added = {t: i.to_bytes(4, "little") for t, i in (added or {}).items()}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split
 
     def whole(self, text: str) -> bytes:
-        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        ids = self.encoding.encode_ordinary(text)  # does not look for special tokens, of which there are none, at every character
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def of(self, text: str) -> bytes:
         if any(t in text for t in self.added):
@@ -112,22 +133,12 @@ class WordIds:
 
     def between(self, text: str) -> bytes:
         first, *rest = text.split(" ")
-        if not rest:
+        if not rest or not first or first[-1].isspace():
             return self.whole(text)
-        known, out = self.known, [self.whole(first)] if first else []
-        if not first or first[-1].isspace():
+        try:
+            return self.whole(first) + b"".join(map(self.known.__getitem__, rest))
+        except _Blank:
             return self.whole(text)
-        for piece in rest:
-            ids = known.get(piece)
-            if ids is None:
-                if not piece or piece[0].isspace() or piece[-1].isspace():
-                    return self.whole(text)
-                ids = self.whole(" " + piece)
-                if len(known) >= MEMORY:
-                    known.clear()
-                known[piece] = ids
-            out.append(ids)
-        return b"".join(out)
 
 
 def added_tokens(tokenizer: str) -> dict[str, int]:

@@ -55,6 +55,21 @@ def test_ids_of_added_tokens(spark, tmp_path):
         assert sorted((r["doc_id"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in got.collect()) == want
 
 
+def test_ids_without_looking_for_special_tokens(monkeypatch):
+    """No text or word goes through the encoder that tries for a special token at every character."""
+    import tiktoken
+
+    def searched(*_, **__):
+        raise AssertionError("looked for special tokens")
+    monkeypatch.setattr(tiktoken.Encoding, "encode_to_numpy", searched)
+    monkeypatch.setattr(packing, "MEMORY", 3)
+    coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = packing.WordIds(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, packing.added_tokens("byte_bpe_50k.tiktoken"))
+    for t in ["", " ", "one", " one", "one ", "a  b", "a b\t c d", "one two, (three) 4th one two five six", "über 日本 語!", "x <|endoftext|>y z", "a\u00a0 b", "a \u00a0b", "\n a b", "a b \r\nc"]:
+        assert ids.of(t) == np.array(coder.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+        assert len(ids.known) <= 3
+
+
 def test_best_fit():
     rng = np.random.default_rng(1)
     for _ in range(30):
