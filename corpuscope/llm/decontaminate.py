@@ -15,7 +15,7 @@ equal items are each reported; rows that repeat an id are reported once for each
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +28,9 @@ Q, WINDOW, STEP, EDITS, BAND = 8, 100, 50, 0.08, 32
 #: Shared q-grams asked of a band at least: what a window has to share beyond is spent on leaving
 #: its q-grams that most windows have out of the index.
 ASKED = 6
-#: Bytes of items sent to the tasks at a time; bytes of documents looked at together.
-BLOCK_BYTES, TEXT_BYTES = 16_000_000, 4_000_000
+#: Bytes of items sent to the tasks at a time; bytes of documents looked at together, and whose
+#: q-grams a task has as numbers at a time.
+BLOCK_BYTES, TEXT_BYTES, CODED = 16_000_000, 4_000_000, 1 << 18
 _FILTER = 20
 
 
@@ -95,15 +96,23 @@ class Patterns:
         self.filter = np.zeros(1 << _FILTER, bool)
         self.filter[_slot(self.code)] = True
 
+    def shared(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the text, number of the q-gram) of every q-gram of the index in the text."""
+        wheres, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in range(0, len(text) if len(self.code) else 0, CODED):
+            c = codes(text[at:at + CODED + Q - 1])
+            where = np.flatnonzero(self.filter[_slot(c)])
+            place = np.minimum(np.searchsorted(self.code, c[where]), len(self.code) - 1)
+            same = self.code[place] == c[where]
+            wheres.append(where[same] + at)
+            places.append(place[same])
+        return np.concatenate(wheres), np.concatenate(places)
+
     def candidates(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, first diagonal) of the bands with enough shared q-grams."""
-        c = codes(text)
-        where = np.flatnonzero(self.filter[_slot(c)])
-        if not len(where) or not len(self.code):
+        where, place = self.shared(text)
+        if not len(where):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        place = np.minimum(np.searchsorted(self.code, c[where]), len(self.code) - 1)
-        same = self.code[place] == c[where]
-        where, place = where[same], place[same]
         n = self.count[place]
         rows = np.repeat(self.first[place] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         owner, diagonal = self.owner[rows], np.repeat(where, n) - self.at[rows] + WINDOW * 2
@@ -158,15 +167,17 @@ def look(patterns: Patterns, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray
     return doc, window, edits, end - starts[doc]
 
 
-def in_chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+def in_chunks(texts: Iterable[bytes]) -> Iterator[tuple[int, list[bytes]]]:
     """(number of the first, normalised texts) of runs of texts of bounded size."""
     first, some, size = 0, [], 0
-    for i, t in enumerate(texts):
+    for t in texts:
         some.append(normal(t))
         size += len(some[-1])
-        if size >= TEXT_BYTES or i == len(texts) - 1:
+        if size >= TEXT_BYTES:
             yield first, some
-            first, some, size = i + 1, [], 0
+            first, some, size = first + len(some), [], 0
+    if some:
+        yield first, some
 
 
 FOUND = "doc_id long, item_id long, edits int, at long"
@@ -181,7 +192,7 @@ def matches(docs: DataFrame, items: list[tuple[int, bytes]], doc_id: str = "doc_
         patterns = Patterns(shared.value)
         for b in batches:
             keys = b.column(0).to_pylist()
-            for first, some in in_chunks(b.column(1).to_pylist()):
+            for first, some in in_chunks(t.as_py() for t in b.column(1)):
                 doc, window, edits, at = look(patterns, some)
                 yield packed({"doc_id": [keys[first + i] for i in doc], "item_id": [patterns.item[w] for w in window], "edits": edits, "at": at}, schema)
 
@@ -217,7 +228,7 @@ def without_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text")
             patterns = Patterns(shared.value)
             for b in batches:
                 clean = np.ones(b.num_rows, bool)
-                for first, some in in_chunks([(t or "").encode() for t in b.column(at).to_pylist()]):
+                for first, some in in_chunks((t.as_py() or "").encode() for t in b.column(at)):
                     clean[first + look(patterns, some)[0]] = False
                 yield b.filter(pa.array(clean))
 

@@ -47,6 +47,8 @@ CELLS, FREQUENT = 1 << 20, 8
 SUBCLASSES, SHORT = 64, 96
 #: Entries with at most so many sets give all their pairs; others work by a hub.
 FEW = 6
+#: Entries of a set that its rows carry along, so that a pair comes out of one of those it shares.
+CARRIED = 32
 #: Index entries per task, texts handled before a task hands on its entries.
 ENTRIES, TEXTS = 1_000_000, 1000
 #: Bits of the filter of needed documents for each of them, and at most; a full filter lets more texts be read into sets.
@@ -56,25 +58,15 @@ SALTS, PARTS, FAN = 32, 8, 32
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
-class _Hashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(29))
 
 
-def shingle_hashes(text: bytes, known: _Hashes) -> tuple[np.ndarray, np.ndarray]:
+def shingle_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words and of the 5-shingles, in order; one shingle for one to four words."""
     words = text.lower().split()
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = len(h)
     if n == 0:
         return h, h
@@ -118,7 +110,6 @@ def read_sets(docs: DataFrame) -> DataFrame:
     block = 1 << 14
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Hashes()
         counts = np.zeros(2 * CELLS, np.uint32)
         for b in batches:
             ids = b.column(0).to_pylist()
@@ -126,7 +117,7 @@ def read_sets(docs: DataFrame) -> DataFrame:
             out: dict[str, list] = {"doc_id": ids, "n": [], "set_id": [], "bits": []}
             gathered: list[np.ndarray] = []
             for t in texts:
-                w, s = shingle_hashes(t, known)
+                w, s = shingle_hashes(t)
                 s = np.unique(s)
                 out["n"].append(len(s))
                 out["set_id"].append(set_id(s) if len(s) else None)
@@ -211,12 +202,12 @@ def index(docs: DataFrame, level: np.ndarray, common: np.ndarray, hot: np.ndarra
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, common, hot = shared.value
-        known, seen = _Hashes(), set()
+        seen = set()
         for b in batches:
             for at in range(0, b.num_rows, TEXTS):
                 found, ids, sizes, ranks = [], [], [], []
                 for t in b.column(1).slice(at, TEXTS).to_pylist():
-                    w, s = shingle_hashes(t, known)
+                    w, s = shingle_hashes(t)
                     if not len(s):
                         continue
                     s, place = np.unique(s, return_index=True)
@@ -324,7 +315,7 @@ def whole_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
     schema = pa.schema([("set_id", pa.int64()), ("shingles", pa.binary())])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, known = shared.value, _Hashes()
+        bits = shared.value
         for b in batches:
             h = b.column(2).to_numpy()
             p, q = h & mask, (h >> 32) & mask
@@ -333,7 +324,7 @@ def whole_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
             for at in range(0, len(texts), TEXTS):
                 out: dict[str, list] = {"set_id": [], "shingles": []}
                 for t in texts.slice(at, TEXTS).to_pylist():
-                    s = np.unique(shingle_hashes(t, known)[1])
+                    s = np.unique(shingle_hashes(t)[1])
                     if len(s):
                         out["set_id"].append(set_id(s))
                         out["shingles"].append(s.tobytes())
@@ -426,14 +417,25 @@ def _hub_pairs(members: DataFrame, least: Column) -> DataFrame:
     return met.select(F.least("a", "hub").alias("a"), F.greatest("a", "hub").alias("b")).distinct()
 
 
-def _apart(members: DataFrame) -> DataFrame:
-    """Pairs of each entry's sets outside its largest component with its sets of other components."""
+def _apart_rows(members: DataFrame) -> DataFrame:
+    """Pairs of each entry's sets outside its largest component with its sets of other components.
+
+    Sets of a family share most of their entries. A pair is left out of an entry if an earlier one
+    that both carry gives it, so only what neither carries can give it again.
+    """
+    own = members.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("entry", "rank"))), 1, CARRIED).alias("own"))
     counts = members.groupBy("entry", "root").agg(F.count("*").alias("k"))
     largest = counts.groupBy("entry").agg(F.max(F.struct("k", "root")).alias("m")).select("entry", F.col("m.root").alias("main"))
-    few = members.join(largest, "entry").filter("root != main").select(
-        "entry", F.col("a").alias("b"), F.col("size").alias("b_size"), F.col("rank").alias("b_rank"), F.col("root").alias("b_root"))
-    met = _dealt(members).join(_everywhere(few), ["entry", "salt"]).filter((F.col("root") != F.col("b_root")) & _meet("size", "rank", "b_size", "b_rank"))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rows = members.join(own, "a")
+    few = rows.join(largest, "entry").filter("root != main").select(
+        "entry", "main", F.col("a").alias("b"), F.col("size").alias("b_size"), F.col("rank").alias("b_rank"), F.col("root").alias("b_root"), F.col("own").alias("b_own"))
+    need = F.floor((3 * (F.col("size") + F.col("b_size")) + 6) / 7)
+    earlier = F.exists("own", lambda x: (x["entry"] < F.col("entry")) & (x["rank"] <= F.col("size") - need) & F.exists(
+        "b_own", lambda y: (y["entry"] == x["entry"]) & (y["rank"] <= F.col("b_size") - need)))
+    once = (F.col("root") == F.col("main")) | (F.col("a") < F.col("b"))  # two sets outside meet from both sides
+    met = _dealt(rows).join(_everywhere(few), ["entry", "salt"]).filter(
+        (F.col("root") != F.col("b_root")) & once & _meet("size", "rank", "b_size", "b_rank") & ~earlier)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def links_and_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -449,7 +451,7 @@ def links_and_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     links = roots = None
     still = members.withColumn("root", F.col("a"))
     for step in [*HUBS, None]:
-        pairs = _apart(still) if step is None else _hub_pairs(still, step())
+        pairs = _apart_rows(still).distinct() if step is None else _hub_pairs(still, step())
         if links is None:
             pairs = pairs.union(found.filter("b is not null").select("a", "b")).distinct()
         some = hold(_bounded(pairs, sets))

@@ -76,6 +76,21 @@ def test_components(spark, odd_docs, small, monkeypatch, few, frequent):
     assert got == brute_components(texts(docs))
 
 
+@pytest.mark.parametrize("carried", [ngram_join.CARRIED, 2])
+def test_a_pair_comes_from_one_of_its_entries(spark, monkeypatch, carried):
+    """Sets that share many entries meet once, and none of the pairs that ranks allow is lost."""
+    monkeypatch.setattr(ngram_join, "CARRIED", carried)
+    rng = np.random.default_rng(2)
+    size, root, ranks = 100, rng.integers(0, 12, 30), rng.integers(0, 26, (30, 20))
+    held = [(e * 7 - 50, a) for e in range(20) for a in range(30) if rng.random() < .8]
+    members = spark.createDataFrame([(e, a, size, int(ranks[a, (e + 50) // 7]), int(root[a])) for e, a in held], "entry long, a long, size int, rank int, root long")
+    got = [(r["a"], r["b"]) for r in ngram_join._apart_rows(members).collect()]
+    spare = size - (6 * size + 6) // 7
+    met = [(a, b) for e, a in held for f, b in held if e == f and a < b and root[a] != root[b] and max(ranks[a, (e + 50) // 7], ranks[b, (e + 50) // 7]) <= spare]
+    assert set(got) == set(met)
+    assert carried == 2 or len(got) == len(set(got)) < len(met) / 2
+
+
 def test_components_of_nothing(no_docs):
     assert ngram_join.ngram_components(no_docs).count() == 0
     assert ngram_join.keep_one(no_docs).columns == no_docs.columns

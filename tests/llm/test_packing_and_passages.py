@@ -127,6 +127,22 @@ def test_passages(spark, odd_docs, no_docs):
     assert decontaminate.find_passages(no_docs, bench).count() == 0 and decontaminate.find_passages(docs, bench.limit(0)).count() == 0
 
 
+def test_texts_are_coded_in_pieces(monkeypatch):
+    """What a task holds of q-grams is bounded, and no q-gram or band at a cut is lost."""
+    items = [(i, " ".join(words(40 + i, 40)).encode()) for i in range(5)]
+    texts = [" ".join(words(60 + i, 30)).encode() + b" " + items[i % 5][1] + b" tail" for i in range(12)]
+    patterns = decontaminate.Patterns(items)
+    want = [x.tolist() for x in decontaminate.look(patterns, texts)]
+    longest = []
+    codes = decontaminate.codes
+    monkeypatch.setattr(decontaminate, "codes", lambda a: longest.append(len(a)) or codes(a))
+    for piece in (1, 9, 100):
+        monkeypatch.setattr(decontaminate, "CODED", piece)
+        assert [x.tolist() for x in decontaminate.look(patterns, texts)] == want and set(want[0]) == set(range(12))
+        assert max(longest) <= piece + decontaminate.Q - 1
+        longest.clear()
+
+
 def test_item_blocks_lose_nothing(spark, monkeypatch):
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
