@@ -212,19 +212,19 @@ def score_phantom_ids(docs: DataFrame, frs: DataFrame) -> DataFrame:
     return _phantom_scores(docs.select("doc_key", "repo", F.explode(fr_ids(F.col("text"))).alias("req_id")), frs)
 
 
-def _named(features: DataFrame) -> DataFrame:
+def named_features(features: DataFrame) -> DataFrame:
     """Features that have a name, with the form readers see; (repo, ord) identifies one."""
     return features.filter("name <> ''").select("repo", "name", "ord", display(F.col("name")).alias("shown"))
 
 
 def _searched(features: DataFrame) -> DataFrame:
     """Both forms of every name, as the names to look for."""
-    return _named(features).select(F.explode(F.array("name", "shown")).alias("name"))
+    return named_features(features).select(F.explode(F.array("name", "shown")).alias("name"))
 
 
 def found_features(refs: DataFrame, features: DataFrame) -> DataFrame:
     """(doc_key, ord) of the features of its repository that a document names, in either form."""
-    forms = _named(features).select("repo", "ord", F.explode(F.array_distinct(F.array("name", "shown"))).alias("form"))
+    forms = named_features(features).select("repo", "ord", F.explode(F.array_distinct(F.array("name", "shown"))).alias("form"))
     told = refs.select("doc_key", "repo", F.explode("names").alias("form"))
     return salted_join(told, forms, ["repo", "form"]).select("doc_key", "ord").distinct()
 
@@ -234,7 +234,7 @@ def lacking_features(refs: DataFrame, features: DataFrame) -> DataFrame:
 
     Rows of this list are what the caller asked for; there is none for a feature that is named.
     """
-    wanted = salted_join(refs.select("doc_key", "repo"), _named(features), ["repo"])
+    wanted = salted_join(refs.select("doc_key", "repo"), named_features(features), ["repo"])
     return wanted.join(found_features(refs, features), ["doc_key", "ord"], "left_anti").select("doc_key", "repo", "name", "shown", "ord")
 
 
@@ -264,7 +264,7 @@ def _trace(refs: DataFrame, features: DataFrame, frs: DataFrame) -> DataFrame:
     """Counts only: what a document names against what its repository has."""
     names = found_features(refs, features).groupBy("doc_key").agg(F.count("*").alias("ok"))
     ids = found_ids(refs, frs).groupBy("doc_key").agg(F.count("*").alias("id_ok"))
-    has = _named(features).groupBy("repo").agg(F.count("*").alias("n"))
+    has = named_features(features).groupBy("repo").agg(F.count("*").alias("n"))
     needs = frs.groupBy("repo").agg(F.count_distinct("req_id").alias("id_n"))
     per_repo = has.join(needs, "repo", "full")
     out = (salted_join(refs.select("doc_key", "repo"), per_repo, ["repo"], how="left").join(names, "doc_key", "left")

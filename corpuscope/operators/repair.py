@@ -81,6 +81,53 @@ def repair_structure(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text", tidy(structure_text(F.col("text"))))
 
 
+def _feature_line(shown: Column, ids: Column) -> Column:
+    return F.concat(F.lit("| "), shown, F.lit(" | "), F.when(ids == "", "—").otherwise(ids), F.lit(" | — |"))
+
+
+def _id_rows(frs: DataFrame) -> DataFrame:
+    """(repo, req_id, ord, line) of the rows for ids on their own, behind those of the features."""
+    return frs.select("repo", "req_id", (F.col("ord").cast("long") + 1_000_000_000_000).alias("ord"), F.concat(
+        F.lit("| "), display(F.col("linked_feature")), F.lit(" | "), "req_id", F.lit(" | _(see FR section)_ |")).alias("line"))
+
+
+def _listed_ids(ids: Column) -> Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list(ids)), lambda s: s["req_id"]), ", ")  # three per feature at most
+
+
+def _own_appendix(refs: DataFrame, named: DataFrame, linked: DataFrame, frs: DataFrame) -> DataFrame:
+    """The appendix of documents whose key is theirs alone.
+
+    Every line is made once for its repository, and a document keeps the lines that its own names
+    and ids ask for, so rows of documents and features are neither shuffled nor grouped.
+    """
+    names = named.join(linked, ["repo", "name"], "left").withColumn("id", F.when(F.col("req_id").isNotNull(), F.struct("fr_ord", "req_id")))
+    lines = names.groupBy("repo", "name", "shown", "ord").agg(_listed_ids(F.col("id")).alias("ids")).select(
+        "repo", "name", "shown", F.col("ord").cast("long").alias("ord"), _feature_line(F.col("shown"), F.col("ids")).alias("line"))
+    absent = lambda f: ~(F.array_contains("names", f["name"]) | F.array_contains("names", f["shown"]))
+    by_name = salted_join(refs.drop("id_forms"), lines.withColumn("f", F.struct("name", "shown")).drop("name", "shown"), ["repo"]) \
+        .filter(absent(F.col("f"))).select("doc_key", "ord", "line")
+    owners = linked.join(named.select("repo", "name", "shown").distinct(), ["repo", "name"]).groupBy("repo", "req_id").agg(
+        F.collect_set(F.struct("name", "shown")).alias("owners"))  # an id is of one feature
+    ids = _id_rows(frs.filter("req_id is not null")).join(owners, ["repo", "req_id"], "left")
+    by_id = salted_join(refs, ids, ["repo"]).filter(~F.array_contains("id_forms", F.col("req_id"))) \
+        .filter(~F.coalesce(F.exists("owners", absent), F.lit(False))).select("doc_key", "ord", "line")
+    return by_name.unionByName(by_id)
+
+
+def _shared_appendix(refs: DataFrame, features: DataFrame, linked: DataFrame, frs: DataFrame) -> DataFrame:
+    """The appendix of keys that several documents have, or none: one list for a key, of what all of them lack."""
+    lacking = Q.lacking_features(refs, features)
+    with_ids = salted_join(lacking, linked, ["repo", "name"], how="left")
+    rows = with_ids.groupBy("doc_key", "name", "shown", "ord").agg(
+        _listed_ids(F.when(F.col("req_id").isNotNull(), F.struct("fr_ord", "req_id"))).alias("ids"))
+    named = rows.select("doc_key", F.col("ord").cast("long").alias("ord"), _feature_line(F.col("shown"), F.col("ids")).alias("line"))
+    absent = salted_join(Q.lacking_ids(refs, frs), _id_rows(frs), ["repo", "req_id"])
+    listed = with_ids.filter("req_id is not null").select("doc_key", "req_id").distinct()
+    alone = absent.join(listed, ["doc_key", "req_id"], "left_anti").select("doc_key", "ord", "line")
+    return named.unionByName(alone)
+
+
 def traceability_appendix(docs: DataFrame, features: DataFrame, frs: DataFrame) -> DataFrame:
     """Appendix rows (doc_key, ord, line) for names and ids a document lacks.
 
@@ -88,19 +135,10 @@ def traceability_appendix(docs: DataFrame, features: DataFrame, frs: DataFrame)
     A missing id is listed on its own unless the row of its missing feature lists it already.
     """
     refs = Q.references(docs, features)
-    lacking = Q.lacking_features(refs, features)
     linked = frs.select("repo", F.col("linked_feature").alias("name"), "req_id", F.col("ord").alias("fr_ord"))
-    with_ids = salted_join(lacking, linked, ["repo", "name"], how="left")
-    rows = with_ids.groupBy("doc_key", "name", "shown", "ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
-        F.when(F.col("req_id").isNotNull(), F.struct("fr_ord", "req_id")))), lambda s: s["req_id"]), ", ").alias("ids"))  # three per feature at most
-    named = rows.select("doc_key", F.col("ord").cast("long").alias("ord"), F.concat(
-        F.lit("| "), "shown", F.lit(" | "), F.when(F.col("ids") == "", "—").otherwise(F.col("ids")), F.lit(" | — |")).alias("line"))
-    absent = salted_join(Q.lacking_ids(refs, frs), frs.select("repo", "req_id", "linked_feature", F.col("ord").alias("fr_ord")), ["repo", "req_id"])
-    listed = with_ids.filter("req_id is not null").select("doc_key", "req_id").distinct()
-    alone = absent.join(listed, ["doc_key", "req_id"], "left_anti").select(
-        "doc_key", (F.col("fr_ord").cast("long") + 1_000_000_000_000).alias("ord"),
-        F.concat(F.lit("| "), display(F.col("linked_feature")), F.lit(" | "), "req_id", F.lit(" | _(see FR section)_ |")).alias("line"))
-    return named.unionByName(alone)
+    single = hold(refs.groupBy("doc_key").agg(F.count("*").alias("n")).filter("n = 1 and doc_key is not null").select("doc_key"))
+    own = _own_appendix(refs.join(single, "doc_key", "left_semi"), Q.named_features(features), linked, frs)
+    return own.unionByName(_shared_appendix(refs.join(single, "doc_key", "left_anti"), features, linked, frs))
 
 
 # ---- the revision log --------------------------------------------------------------------

@@ -52,6 +52,26 @@ def test_traceability_by_pairs(spark):
     assert {r["doc_key"]: (r["traceability"], r["n_missing"]) for r in Q.score_traceability(docs, feats, frs).collect()} == score
 
 
+@pytest.mark.parametrize("keys", ["own", "shared"])
+def test_appendix_of_own_and_shared_keys(spark, monkeypatch, keys):
+    """Both ways list the same, and only keys that are not a document's own meet the features row by row."""
+    docs, feats, frs = _inputs(spark)
+    docs = docs.withColumn("text", F.when(F.col("doc_key") == "d4", None).when(F.col("doc_key") == "d5", "lost_thing and FR-2").otherwise(F.col("text")))
+    frs = frs.unionByName(spark.createDataFrame([("hot", "FR-13", "elsewhere", 13), ("hot", "FR-14", "order_search", 14), ("hot", None, "lost_thing", 15), ("hot", "FR-1", "lost_thing", 16)], frs.schema))
+    refs, linked = Q.references(docs, feats), frs.select("repo", F.col("linked_feature").alias("name"), "req_id", F.col("ord").alias("fr_ord"))
+    plain = sorted(map(tuple, RP._shared_appendix(refs, feats, linked, frs).collect()))
+    met, lacking = [], Q.lacking_features
+    monkeypatch.setattr(Q, "lacking_features", lambda r, f: met.extend(x["doc_key"] for x in r.collect()) or lacking(r, f))
+    if keys == "own":
+        assert sorted(map(tuple, RP.traceability_appendix(docs, feats, frs).collect())) == plain and not met
+        assert {(0, "| Order Search | FR-1, FR-14 | — |"), (2, "| Lost Thing | FR-12, FR-1 | — |")} <= {x[1:] for x in plain if x[0] == "d4"}
+        return
+    more = docs.unionByName(docs.filter("doc_key in ('d5', 'd7')")).unionByName(docs.filter("doc_key in ('d8', 'd10')").withColumn("doc_key", F.lit(None).cast("string")))
+    want = sorted(map(repr, map(tuple, RP._shared_appendix(Q.references(more, feats), feats, linked, frs).collect())))
+    met.clear()
+    assert sorted(map(repr, map(tuple, RP.traceability_appendix(more, feats, frs).collect()))) == want and set(met) == {"d5", "d7", None}
+
+
 def _joins_with_text(df):
     """Joins of the plan with a text below them; held tables do not have it any more."""
     plan = df._jdf.queryExecution().optimizedPlan().toString()
