@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corpuscope.llm.common import bytes_of, packed
+from corpuscope.llm.common import bytes_of, in_slices, packed
 
 #: Length of q-grams, window length and step, edits per byte of a window, width of a band.
 Q, WINDOW, STEP, EDITS, BAND = 8, 100, 50, 0.08, 32
@@ -226,7 +226,7 @@ def without_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text")
 
         def part(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             patterns = Patterns(shared.value)
-            for b in batches:
+            for b in in_slices(batches, 1000):
                 clean = np.ones(b.num_rows, bool)
                 for first, some in in_chunks((t.as_py() or "").encode() for t in b.column(at)):
                     clean[first + look(patterns, some)[0]] = False

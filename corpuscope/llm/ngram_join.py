@@ -39,7 +39,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpuscope.llm.common import bytes_of, hold, packed, release, whole_rows
+from corpuscope.llm.common import bytes_of, hold, in_slices, packed, release, whole_rows
 
 #: Cells of the count sketches; a shingle is frequent when its cell has so many times the mean.
 CELLS, FREQUENT = 1 << 20, 8
@@ -111,7 +111,7 @@ def read_sets(docs: DataFrame) -> DataFrame:
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(2 * CELLS, np.uint32)
-        for b in batches:
+        for b in in_slices(batches, 2000):
             ids = b.column(0).to_pylist()
             texts = b.column(1).to_pylist()
             out: dict[str, list] = {"doc_id": ids, "n": [], "set_id": [], "bits": []}
@@ -129,10 +129,11 @@ def read_sets(docs: DataFrame) -> DataFrame:
             if gathered:
                 counts += np.bincount(np.concatenate(gathered), minlength=2 * CELLS).astype(np.uint32)
             yield packed(out | {"sketch": [None] * len(ids), "part": [None] * len(ids), "cells": [None] * len(ids)}, schema)
-        places = range(0, 2 * CELLS, block)
-        none = [None] * len(places)
-        yield packed({"doc_id": none, "n": none, "set_id": none, "bits": none, "sketch": [i // block for i in places],
-                      "part": [TaskContext.get().partitionId()] * len(places), "cells": [counts[i:i + block].astype(np.uint64).tobytes() for i in places]}, schema)
+        for first in range(0, 2 * CELLS, 16 * block):  # some blocks at a time
+            places = range(first, min(first + 16 * block, 2 * CELLS), block)
+            none = [None] * len(places)
+            yield packed({"doc_id": none, "n": none, "set_id": none, "bits": none, "sketch": [i // block for i in places],
+                          "part": [TaskContext.get().partitionId()] * len(places), "cells": [counts[i:i + block].astype(np.uint64).tobytes() for i in places]}, schema)
 
     return docs.mapInArrow(part, SETS)
 

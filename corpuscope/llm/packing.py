@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from corpuscope.llm.common import packed, text_of
+from corpuscope.llm.common import in_slices, packed, text_of
 
 WINDOW, END_ID = 2048, 1
 #: Remainders packed together, which bounds a task's memory.
@@ -183,7 +183,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: in
             return opened
 
         for b in batches:
-            for key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for key, t in ((key, t) for s in in_slices([b]) for key, t in zip(s.column(0).to_pylist(), s.column(1).to_pylist())):
                 ids = words.of(t) + end
                 n = len(ids) // 4
                 view = memoryview(ids)

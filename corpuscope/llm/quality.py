@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from corpuscope.llm.common import adam, bytes_of, hold, in_few_files, packed, release, summed_gradient
+from corpuscope.llm.common import adam, bytes_of, hold, in_few_files, in_slices, packed, release, summed_gradient
 from corpuscope.llm.toxicity import SAMPLE, labelled_sample, learning_labels
 
 #: Pairs made of each good document of the sample; the score at the cut.
@@ -62,7 +62,7 @@ def measure_table(docs: DataFrame, keep: list[str]) -> DataFrame:
     types = [(f.name, f.dataType.simpleString()) for f in docs.select(*keep).schema]
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_slices(batches):
             x = pa.array([measures(t) for t in b.column(len(keep)).to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), x], names=[*keep, "x"])
 
@@ -124,7 +124,7 @@ def learn(docs: DataFrame, labels: DataFrame, which: Column, n: int = SAMPLE, cu
     schema = pa.schema([("doc_id", pa.int64()), ("s", pa.float64())])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_slices(batches):
             if b.num_rows:
                 x = np.array([measures(t) for t in b.column(1).to_pylist()])
                 yield packed({"doc_id": b.column(0), "s": _expand(x, model["centre"], model["spread"]) @ model["w"]}, schema)
@@ -166,7 +166,7 @@ def score(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "tex
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_slices(batches):
             if b.num_rows:
                 x = np.array([measures(t) for t in b.column(1).to_pylist()])
                 yield packed({"doc_id": b.column(0), "score": scores(model, x)}, schema)
@@ -180,7 +180,7 @@ def keep_good(docs: DataFrame, model: dict, text: str = "text", cut_score: float
     at = names.index(text)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_slices(batches):
             if b.num_rows:
                 x = np.array([measures((t or "").encode()) for t in b.column(at).to_pylist()])
                 yield b.filter(pa.array(scores(model, x) >= cut_score))

@@ -183,3 +183,25 @@ def test_pipeline(spark):
     for r in corpus_pipeline.run(spark, folder).collect():
         pieces[r["doc_id"]] += r["length"]
     assert pieces.keys() == kept.keys()
+
+
+@pytest.mark.parametrize("stage", ["quality", "passages"])
+def test_stages_send_slices_of_a_batch(spark, monkeypatch, stage):
+    """A task does not make Python objects, or a filtered copy, of a whole Arrow batch."""
+    import pyarrow as pa
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    from corpuscope.llm import quality
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "a passage of the benchmark that is long enough to have windows, and that no document holds")], "item_id long, text string")
+    sent = []
+    monkeypatch.setattr(Classic, "mapInArrow", lambda df, part, schema: sent.append(part) or df)
+    if stage == "quality":
+        quality.keep_good(docs, {"constant": 1.0, "cut": 0.0})
+    else:
+        decontaminate.without_passages(docs, bench)
+    n = 5000
+    batch = pa.record_batch({"doc_id": list(range(n)), "text": ["some words"] * n})
+    out = list(sent[0](iter([batch, batch.slice(0, 0)])))
+    assert max(b.num_rows for b in out) <= 1000
+    assert [x for b in out for x in b.column(0).to_pylist()] == list(range(n))
